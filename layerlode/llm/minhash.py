@@ -18,6 +18,7 @@ CHUNK = 8192
 _RUN = 1 << 20
 
 _seeds = mix64(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64))
+_STEPS = np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _XOR = _seeds[:PERMUTATIONS].astype(np.uint32)
 _MUL = _seeds[PERMUTATIONS:].astype(np.uint32) | np.uint32(1)
 
@@ -45,7 +46,7 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     firsts = np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if n else np.zeros(0, dtype=np.int64)
     left = firsts + counts[rows] - np.arange(n)  # tokens of the same text from here on
     for k in range(SHINGLE):
-        part = mix64(padded[k : k + n] + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
+        part = mix64(padded[k : k + n] + _STEPS[k])
         whole += np.where(left > k, part, np.uint64(0))
     keep = (left >= SHINGLE) | ((np.arange(n) == firsts) & (counts[rows] < SHINGLE))
     hashes, rows = (mix64(whole[keep]) >> np.uint64(32)).astype(np.uint32), rows[keep]
