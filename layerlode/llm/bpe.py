@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerlode.llm.common import runs, utf8_column
+from layerlode.llm.common import runs, small_batches, utf8_column
 
 #: Ranks of a public byte-level vocabulary; the split of texts into words that it was made with.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -183,6 +183,7 @@ def bpe_encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN)
     are encoded whole; repeated rows and null ids are rows like others; an empty table gives no rows; other columns
     aren't read. ``path`` is read by every executor.
     """
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(_encode(path, pattern), _ROWS)
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: A table of at most so many rows may be collected by the driver or broadcast; beyond it every operator has a distributed way.
 DRIVER_ROWS = 1_000_000
 
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1000
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -56,6 +59,13 @@ def _remove(path: str) -> None:
         shutil.rmtree(path[len("file://") :], ignore_errors=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send at most ``BATCH_ROWS`` rows at once to Python in this session, unless it was set: texts make rows large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     """64 bits that identify a row by id and text; equal for repeated rows, never null."""
     return F.xxhash64(F.col(id_col), F.col(text_col))

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerlode.llm.common import mix64, materialise, row_key, runs, split_by_size, token_hashes, utf8_column
+from layerlode.llm.common import DRIVER_ROWS, mix64, materialise, row_key, runs, small_batches, split_by_size, token_hashes, utf8_column
 from layerlode.llm.components import connected_components
 
 SHINGLE, PERMUTATIONS, BAND_ROWS, BITS, THRESHOLD = 3, 128, 4, 4, 0.5
 #: Buckets with more members are compared chunk against chunk, by tasks of their own.
-CHUNK = 8192
+CHUNK = 2048
 _RUN = 1 << 20
 
 _seeds = mix64(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64))
@@ -140,6 +140,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(key, doc_id, node, packed, bands) for every row with a text that isn't empty; equal nodes have equal minima."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(row_key().alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.where("length(text) > 0").mapInArrow(_sign, "key bigint, doc_id bigint, node bigint, packed binary, bands array<bigint>")
 
@@ -201,26 +202,25 @@ def similar_nodes(sigs: DataFrame, threshold: float = THRESHOLD, chunk: int = CH
 
     A bucket of any size is compared in full. One with more than ``chunk`` members is cut into chunks by a hash of
     the node before it is gathered, and each pair of chunks becomes a bucket of its own, which may run anywhere.
+    Signatures move only to bands that two nodes or more share.
     """
     nodes = sigs.groupBy("node").agg(F.first("packed").alias("packed"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "nodes")
-    banded = nodes.select(F.explode("bands").alias("band"), "node", "packed")
+    sizes = nodes.select(F.explode("bands").alias("band")).groupBy("band").count().where("count > 1")
+    shared = materialise(sizes.select("band", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "shared")
+    if shared.limit(DRIVER_ROWS + 1).count() <= DRIVER_ROWS:
+        banded = nodes.select(F.explode("bands").alias("band"), "node", "packed").join(F.broadcast(shared), "band")
+    else:  # signatures follow only the nodes that share a band
+        pairs = nodes.select(F.explode("bands").alias("band"), "node").join(shared, "band")
+        banded = pairs.join(nodes.select("node", "packed"), "node").select("band", "node", "packed", "chunks")
     member = F.struct("node", "packed")
-    sizes = nodes.select(F.explode("bands").alias("band")).groupBy("band").count()
-    hot = materialise(sizes.where(F.col("count") > chunk).select("band", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "hot")
-    if hot.limit(1).count() == 0:
-        buckets = banded.groupBy("band").agg(F.collect_list(member).alias("ms"))
-        buckets = buckets.where("size(ms) > 1").select("ms", F.lit(None).cast("array<bigint>").alias("split"))
-        return buckets.mapInArrow(_link_buckets(threshold), "a bigint, b bigint")
-    small = banded.join(split_by_size(hot), "band", "left_anti").groupBy("band").agg(F.collect_list(member).alias("ms"))
-    small = small.where("size(ms) > 1").select("ms", F.lit(None).cast("array<bigint>").alias("split"))
-    cut = banded.join(split_by_size(hot), "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    cut = banded.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cut = cut.groupBy("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     firsts = F.array_compact(F.collect_list(F.when(F.col("own") < F.col("other"), F.col("node"))))
-    large = cut.agg(F.collect_list(member).alias("ms"), firsts.alias("split"))
-    large = large.where("size(ms) > 1").select("ms", F.when(F.col("i") < F.col("j"), F.col("split")).alias("split"))
-    return small.unionByName(large).mapInArrow(_link_buckets(threshold), "a bigint, b bigint")
+    buckets = cut.agg(F.collect_list(member).alias("ms"), firsts.alias("split"))
+    buckets = buckets.where("size(ms) > 1").select("ms", F.when(F.col("i") < F.col("j"), F.col("split")).alias("split"))
+    return buckets.mapInArrow(_link_buckets(threshold), "a bigint, b bigint")
 
 
 def membership(docs: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerlode.llm.common import materialise, runs, utf8_column
+from layerlode.llm.common import materialise, runs, small_batches, utf8_column
 
 #: Longest context in bytes; weight of the parent's distribution in smoothing, in observations.
 DEPTH, SMOOTHING = 5, 4.0
@@ -274,6 +274,7 @@ def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, smoothing: float = S
     ``table_bytes``, else joined to the grams of each text; the results are equal but for rounding to float32.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     grams = materialise(gram_counts(docs, depth), "grams")
     dist = materialise(distributions(grams, depth), "distributions")
     entries = materialise(dist.join(retained_contexts(dist), ["d", "ctx"], "left_semi"), "states")

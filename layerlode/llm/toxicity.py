@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerlode.llm.boosting import Boosted, Isotonic
+from layerlode.llm.common import small_batches
 
 #: At most so many labelled documents, in the order of a hash, are fitted on; every fifth calibrates.
 TRAIN_ROWS, THRESHOLD, NEAR = 6000, 0.5, 8
@@ -248,6 +249,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     empty one is scored. Without labels of both kinds every probability is null. Repeated rows score alike, null ids
     are kept, an empty table gives no rows, and other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     model = fit_toxicity(docs, labels, train_rows)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if model is None:
@@ -260,6 +262,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, that aren't toxic as ``toxicity_scores`` has it. Rows pass through one task;
     nothing is joined or moved. Without a model all stay."""
+    small_batches(docs.sparkSession)
     model = fit_toxicity(docs, labels, train_rows)
     if model is None:
         return docs
