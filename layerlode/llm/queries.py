@@ -13,6 +13,7 @@ from layerlode.llm.minhash import near_duplicate_groups
 from layerlode.llm.mixing import ALPHAS, ITERATIONS, SEED, mix_documents
 from layerlode.llm.suffix_tree import suffix_tree_scores
 from layerlode.llm.toxicity import toxicity_scores
+from layerlode.llm.warc import CHUNK_BYTES, SEGMENT_BYTES, page_records, reassemble
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reassemble(page_records(table(spark, sf_dir, "pages")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"))
 
@@ -81,5 +86,18 @@ from facts join drawn using (source, lang, topic)
 where cast(('0x' || substr(md5('{SEED}-' || ident), 1, 13)) as bigint) / {float(1 << 52)} < probability
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_mixing, op4_toxicity, op5_near_dedup, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": _MIXING_SQL}
+#: The head of 87 bytes, and for each chunk its hexadecimal size and two line ends.
+_WARC_SQL = f"""
+with sized as (
+    select page_id, url, html, octet_length(encode(html)) as n from pages where html is not null
+), framed as (
+    select *, 87 + (n // {CHUNK_BYTES}) * ({CHUNK_BYTES} + 4 + {len(f"{CHUNK_BYTES:x}")})
+        + case when n % {CHUNK_BYTES} > 0 then n % {CHUNK_BYTES} + 4 + length(to_hex(n % {CHUNK_BYTES})) else 0 end + 5 as block from sized
+)
+select coalesce(cast(page_id as varchar), 'none') || '-' || md5(coalesce(url, '') || html) as record_id, url as target_uri, 200 as status,
+    cast((block + {SEGMENT_BYTES - 1}) // {SEGMENT_BYTES} as int) as n_segments, cast(n as bigint) as n_bytes, html as body, cast(null as varchar) as problem
+from framed
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_mixing, op4_toxicity, op5_near_dedup, op6_warc, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": _MIXING_SQL, "op6_warc": _WARC_SQL}
