@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from layerlode.llm.ann import DIGITS, NEIGHBOURS, nearest_neighbours
 from layerlode.llm.bpe import bpe_encode
 from layerlode.llm.common import table
+from layerlode.llm.html import extract_text
 from layerlode.llm.kdtree import kd_tree_shards
 from layerlode.llm.minhash import near_duplicate_groups
 from layerlode.llm.mixing import ALPHAS, ITERATIONS, SEED, mix_documents
+from layerlode.llm.quantisation import THRESHOLD, near_duplicate_vectors
 from layerlode.llm.suffix_tree import suffix_tree_scores
 from layerlode.llm.toxicity import toxicity_scores
 from layerlode.llm.warc import CHUNK_BYTES, SEGMENT_BYTES, page_records, reassemble
@@ -40,6 +43,18 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reassemble(page_records(table(spark, sf_dir, "pages")))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"))
 
@@ -99,5 +114,27 @@ select coalesce(cast(page_id as varchar), 'none') || '-' || md5(coalesce(url, ''
 from framed
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_mixing, op4_toxicity, op5_near_dedup, op6_warc, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": _MIXING_SQL, "op6_warc": _WARC_SQL}
+_VECTORS = "select vec_id, min(cast(embedding as double[])) as v from embeddings where vec_id is not null and len(embedding) > 0 group by vec_id"
+_NEIGHBOURS_SQL = f"""
+with vectors as ({_VECTORS}), pairs as (
+    select a.vec_id, b.vec_id as neighbour_id, round(list_cosine_similarity(a.v, b.v), {DIGITS}) as cosine
+    from vectors a join vectors b on a.vec_id <> b.vec_id
+), ranked as (
+    select *, row_number() over (partition by vec_id order by cosine desc, neighbour_id) as rank from pairs
+)
+select vec_id, cast(rank as int) as rank, neighbour_id, cosine from ranked where rank <= {NEIGHBOURS}
+"""
+#: Groups by reachability; the search is approximate, at this size it finds all.
+_VECTOR_GROUPS_SQL = f"""
+with recursive vectors as ({_VECTORS}), edges as (
+    select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= {THRESHOLD}
+), reach as (
+    select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a
+), least as (
+    select a, least(a, min(b)) as group_id from reach group by a
+)
+select group_id, count(*) as n_vectors, list_sort(list(a)) as vec_ids from least group by group_id
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_mixing, op4_toxicity, op5_near_dedup, op6_warc, op7_html, op8_neighbours, op9_embedding_dedup, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": _MIXING_SQL, "op6_warc": _WARC_SQL, "op8_neighbours": _NEIGHBOURS_SQL, "op9_embedding_dedup": _VECTOR_GROUPS_SQL}
