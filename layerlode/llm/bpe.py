@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,8 @@ from layerlode.llm.common import runs, small_batches, utf8_column
 #: Ranks of a public byte-level vocabulary; the split of texts into words that it was made with.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_CACHE = 1 << 18
+_CACHE, _LONG, _NONE = 1 << 17, 64, 1 << 62
+_ODD, _CUT = re.compile(r" (?:\s|\Z)"), re.compile(r" (?=\S)")
 _RUN = 1 << 20
 
 
@@ -37,10 +40,29 @@ def allowed_pairs(ranks: dict[bytes, int]) -> np.ndarray:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The tokens of ``piece``: again and again the leftmost pair of least rank is merged. A heap keeps it O(n log n)."""
-    n = len(piece)
+    """The tokens of ``piece``: again and again the leftmost pair of least rank is merged."""
     if piece in ranks:
         return [ranks[piece]]
+    return _merge_short(piece, ranks) if len(piece) <= _LONG else _merge_long(piece, ranks)
+
+
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    get = ranks.get
+    cuts = list(range(len(piece) + 1))
+    pairs = [get(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) != _NONE:
+        i = pairs.index(least)
+        del cuts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(piece[cuts[i] : cuts[i + 2]], _NONE)
+        if i:
+            pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], _NONE)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """With a heap of pairs: O(n log n)."""
+    n = len(piece)
     end = list(range(1, n + 1))  # end[i]: where the part that starts at i ends; 0 when it was merged away
     before = list(range(-1, n - 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -64,6 +86,27 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Memory(dict):
+    """What ``make`` gives for a key, remembered in two generations: when the younger is full it becomes the older, and
+    what is asked for again moves back, so frequent keys stay. Keys beyond ``_LONG`` aren't kept."""
+
+    def __init__(self, make: Callable, most: int = _CACHE):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > _LONG:
+                return value
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Encodes and decodes in one process. Words and fragments that came before are remembered, up to a bound."""
 
@@ -71,47 +114,57 @@ class Encoder:
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
         self.inside = allowed_pairs(self.ranks)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.fragments: dict[bytes, list[int]] = {}
+        self.stretches = _Memory(lambda text: self.stretch(" " + text))
+        self.words = _Memory(self.word)
+        self.fragments = _Memory(self.merged)
+        self.rows = self.inside.tolist()
+        self.packed = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
         by_id = {rank: token for token, rank in self.ranks.items()}
         self.tokens = [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
         self.lengths = np.array([len(x) for x in self.tokens])
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
+
+    def cuts(self, raw: bytes) -> list[int]:
+        """Where a word is cut for certain: between bytes that are neighbours in no token."""
+        if len(raw) <= _LONG:
+            rows = self.rows
+            return [i for i, (a, b) in enumerate(zip(raw, raw[1:], strict=False), 1) if not rows[a][b]]
+        own = np.frombuffer(raw, dtype=np.uint8)
+        return (np.flatnonzero(~self.inside[own[:-1], own[1:]]) + 1).tolist()
+
+    def merged(self, piece: bytes) -> bytes:
+        return np.array(merge(piece, self.ranks), dtype="<i4").tobytes()
 
-    def fragment(self, piece: bytes) -> list[int]:
-        ids = self.fragments.get(piece)
-        if ids is None:
-            ids = merge(piece, self.ranks)
-            if len(piece) <= 64:
-                if len(self.fragments) >= _CACHE:
-                    self.fragments.clear()
-                self.fragments[piece] = ids
-        return ids
-
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         raw = word.encode("utf-8")
-        if raw in self.ranks:
-            return (self.ranks[raw],)
-        own = np.frombuffer(raw, dtype=np.uint8)
-        cuts = (np.flatnonzero(~self.inside[own[:-1], own[1:]]) + 1).tolist()
+        if raw in self.packed:
+            return self.packed[raw]
+        cuts = self.cuts(raw)
         if not cuts:
-            return tuple(self.fragment(raw))
-        return tuple(x for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True) for x in self.fragment(raw[a:b]))
+            return self.merged(raw)
+        return b"".join([self.fragments[raw[a:b]] for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True)])
+
+    def stretch(self, text: str) -> bytes:
+        found = self.pattern.findall(text)
+        return self.words[found[0]] if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
+
+    def encode_packed(self, text: str) -> bytes:
+        """Tokens as 32-bit integers, end to end.
+
+        A space before a character that isn't white space always begins a word of the pattern, so texts are first cut
+        there and whole stretches between such spaces are remembered.
+        """
+        first, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        return self.stretch(first) + b"".join(map(self.stretches.__getitem__, rest))
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.words, []
-        for word in self.pattern.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.word(word)
-                if len(word) <= 64:
-                    if len(known) >= _CACHE:
-                        known.clear()
-                    known[word] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.encode_packed(text), dtype="<i4").tolist()
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        return self.bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - ends + lengths, lengths)].tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; bytes that aren't UTF-8 become U+FFFD."""
@@ -138,15 +191,10 @@ def _encode(path: str, pattern: str):
             raw, offsets = utf8_column(batch.column(1))
             null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             for first, last in runs(offsets, _RUN):
-                ids: list[int] = []
-                counts = np.zeros(last - first, dtype=np.int64)
-                for i in range(first, last):
-                    if offsets[i + 1] > offsets[i]:
-                        found = own.encode(raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8"))
-                        counts[i - first] = len(found)
-                        ids += found
-                flat = np.array(ids, dtype=np.int32)
-                del ids
+                parts = [own.encode_packed(raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8")) if offsets[i + 1] > offsets[i] else b"" for i in range(first, last)]
+                counts = np.array([len(x) // 4 for x in parts], dtype=np.int64)
+                flat = np.frombuffer(b"".join(parts), dtype="<i4")
+                del parts
                 whole = own.decode_bytes(flat)
                 stops = np.concatenate([[0], np.cumsum(counts)])
                 lengths = np.diff(np.concatenate([[0], np.cumsum(own.lengths[flat])])[stops])
