@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerlode.llm.boosting import Boosted, Isotonic
-from layerlode.llm.common import small_batches
+from layerlode.llm.common import bounded_sample, small_batches
 
 #: At most so many labelled documents, in the order of a hash, are fitted on; every fifth calibrates.
 TRAIN_ROWS, THRESHOLD, NEAR = 6000, 0.5, 8
@@ -44,36 +44,36 @@ class Lexicon:
         return max(((self.prefixes[word[:k]], 2) for k in _PREFIXES if word[:k] in self.prefixes), default=(0.0, 0))
 
 
-def build_lexicon(texts: list[str], toxic: np.ndarray, least_docs: int = 8, least_odds: float = 2.0) -> Lexicon:
-    """Words and beginnings of 4 to 8 letters whose share of tokens is at least e^``least_odds`` times as high in toxic
-    texts as in others and which occur in ``least_docs`` toxic texts that differ, with a z-score of at least 6."""
-    used: list[list[Counter]] = [[Counter(), Counter()], [Counter(), Counter()]]  # [toxic][docs or tokens]
+def build_lexicon(texts: list[str], toxic: np.ndarray, least_docs: int = 4, least_odds: float = 1.5, chance: float = 0.05) -> Lexicon:
+    """Words and beginnings of 4 to 8 letters that toxic texts hold more often.
+
+    One is taken if ``least_docs`` different toxic texts hold it, its odds are e^``least_odds`` times as high in them and
+    the likelihood ratio statistic of its presence is one that, over all words tried, comes up by chance with a probability
+    under ``chance``; its weight is the logarithm of the odds ratio. A beginning covers words only where it has more evidence than each.
+    """
+    held: list[Counter] = [Counter(), Counter()]
     totals = [0, 0]
     for text, kind in {t: int(k) for t, k in zip(texts, toxic, strict=True)}.items():
-        tokens = [t.lower() for t in _TOKEN.findall(text)]
-        own = Counter(tokens)
-        totals[kind] += len(tokens)
-        begin: Counter = Counter()
-        for w, n in own.items():
-            for k in _PREFIXES:
-                if len(w) > k:
-                    begin["^" + w[:k]] += n
-        for counts in (own, begin):
-            for w, n in counts.items():
-                used[kind][0][w] += 1
-                used[kind][1][w] += min(n, 20)  # a text that repeats a word hundreds of times doesn't decide alone
-    odds: dict[str, float] = {}
-    for w, docs in used[1][0].items():
-        if docs < least_docs:
+        own = {t.lower() for t in _TOKEN.findall(text)}
+        totals[kind] += 1
+        held[kind].update(own)
+        held[kind].update({"^" + w[:k] for w in own for k in _PREFIXES if len(w) > k})
+    names = [w for w, n in held[1].items() if n >= least_docs]
+    a, b = np.array([held[1][w] for w in names], dtype=float), np.array([held[0][w] for w in names], dtype=float)
+    odds = np.log((a + 0.5) / (totals[1] - a + 0.5)) - np.log((b + 0.5) / (totals[0] - b + 0.5))
+    share = (a + b) / max(sum(totals), 1)
+    evidence = np.zeros(len(names))
+    for n, total in ((a, totals[1]), (b, totals[0])):
+        for part, expected in ((n, total * share), (total - n, total * (1 - share))):
+            evidence += 2 * part * np.log(np.where(part > 0, part / np.maximum(expected, 1e-12), 1))
+    words: dict[str, float] = {}
+    prefixes: dict[str, float] = {}
+    good = np.flatnonzero((odds >= least_odds) & (evidence >= 2 * np.log(max(len(names), 1) / chance)))
+    for i in sorted(good.tolist(), key=lambda i: (-evidence[i], -len(names[i]), names[i])):
+        name = names[i].removeprefix("^")
+        if any(name[:k] in prefixes for k in _PREFIXES if k <= len(name)) or (name != names[i] and any(w.startswith(name) for w in (*words, *prefixes))):
             continue
-        a, b = used[1][1][w] + 0.5, used[0][1][w] + 0.5
-        ratio = np.log(a / max(totals[1], 1)) - np.log(b / max(totals[0], 1))
-        if ratio >= least_odds and ratio / np.sqrt(1 / a + 1 / b) >= 6:
-            odds[w] = float(ratio)
-    prefixes = {w[1:]: v for w, v in odds.items() if w[0] == "^"}
-    # A beginning goes where a shorter one covers it, or where one word alone makes it up.
-    prefixes = {w: v for w, v in prefixes.items() if not any(w[:k] in prefixes for k in range(4, len(w)))}
-    words = {w: v for w, v in odds.items() if w[0] != "^" and not any(w[:k] in prefixes for k in _PREFIXES)}
+        (words if name == names[i] else prefixes)[name] = float(odds[i])
     return Lexicon(words, prefixes)
 
 
@@ -173,19 +173,20 @@ class ToxicityModel:
 
 
 def fit_texts(texts: list[str], toxic: np.ndarray) -> ToxicityModel | None:
-    """Fit on texts in this order: the lexicon on the first two fifths, trees on the next two, calibration on the last.
+    """Fit on texts in this order: lexicon and trees on four of five, calibration on every fifth.
 
-    The parts hold different rows, so that the trees see lexicon densities as those of new texts.
-    Null if either class is missing from a part.
+    Trees see each half of their rows through the lexicon of the other half, so that densities are those of new texts;
+    the lexicon of both halves is kept. Null if either class is missing from a part.
     """
     part = np.arange(len(texts)) % 5
-    kinds = [part < 2, (part >= 2) & (part < 4), part == 4]
+    kinds = [(part == 0) | (part == 2), (part == 1) | (part == 3), part == 4]
     if any(len(np.unique(toxic[k])) < 2 for k in kinds):
         return None
-    lexicon = build_lexicon([t for t, k in zip(texts, kinds[0], strict=True) if k], toxic[kinds[0]])
-    x = Featuriser(lexicon).matrix(texts)
-    trees = Boosted().fit(x[kinds[1]], toxic[kinds[1]])
-    return ToxicityModel(lexicon, trees, Isotonic().fit(trees.margin(x[kinds[2]]), toxic[kinds[2]]))
+    own = [([t for t, k in zip(texts, kind, strict=True) if k], toxic[kind]) for kind in kinds]
+    rows = [Featuriser(build_lexicon(*own[1 - i])).matrix(own[i][0]) for i in (0, 1)]
+    trees = Boosted().fit(np.concatenate(rows), np.concatenate([own[0][1], own[1][1]]))
+    lexicon = build_lexicon(own[0][0] + own[1][0], np.concatenate([own[0][1], own[1][1]]))
+    return ToxicityModel(lexicon, trees, Isotonic().fit(trees.margin(Featuriser(lexicon).matrix(own[2][0])), own[2][1]))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel | None:
@@ -195,7 +196,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     texts with the same id the least is used.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    chosen = bounded_sample(known, train_rows, F.xxhash64("doc_id"), known.count()).drop("_hash")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = rows.toArrow().to_pandas() if train_rows else None
