@@ -10,7 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of at most so many rows may be collected by the driver or broadcast; beyond it every operator has a distributed way.
@@ -59,6 +59,19 @@ def _remove(path: str) -> None:
         shutil.rmtree(path[len("file://") :], ignore_errors=True)
 
 
+def bounded_sample(df: DataFrame, rows: int, hashed: Column, total: int) -> DataFrame:
+    """The first ``rows`` of the ``total`` rows of ``df`` in the order of a 64-bit hash, for fitting a model.
+
+    A share of the hash's range is filtered first, so that no more than little over ``rows`` leave their partitions
+    however large the table is.
+    """
+    share = min(1.0, (rows + 10 * rows**0.5 + 50) / max(total, 1))
+    own = df.withColumn("_hash", hashed)
+    if share < 1:
+        own = own.where(F.col("_hash") < int(-(1 << 63) + share * ((1 << 64) - 1)))
+    return own.orderBy("_hash").limit(rows)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Send at most ``BATCH_ROWS`` rows at once to Python in this session, unless it was set: texts make rows large."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

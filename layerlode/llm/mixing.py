@@ -39,6 +39,8 @@ def topics_of(embeddings: DataFrame) -> DataFrame:
 def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], iterations: int = ITERATIONS) -> np.ndarray:
     """Weights of cells, columns ``DIMENSIONS`` and ``tokens``, whose marginals meet the targets: factors that multiply
     the tokens. Each iteration scales the cells to one marginal after the other."""
+    if cells.empty:
+        return np.zeros(0)
     tokens = cells["tokens"].to_numpy("float64")
     weights = tokens / max(tokens.sum(), 1)
     coded = {d: np.unique(cells[d].to_numpy(), return_inverse=True) for d in DIMENSIONS}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerlode.llm.common import materialise, split_by_size
+from layerlode.llm.common import bounded_sample, materialise, split_by_size
 from layerlode.llm.components import connected_components
 from layerlode.llm.vectors import clean_vectors, matrix, unit
 
@@ -169,7 +169,7 @@ def _edges_of(nodes: DataFrame, dim: int, count: int, threshold: float, probes:
     """(a, b) edges that span the near-duplicate groups of the vectors of one length."""
     spark = nodes.sparkSession
     own = nodes.where(F.col("dim") == dim).select("node", "v")
-    sample = own.orderBy(F.xxhash64("node"), "node").limit(train_rows).select("v").toArrow()
+    sample = bounded_sample(own, train_rows, F.xxhash64("node"), count).select("v").toArrow()
     books = fit_codebooks(unit(matrix(sample.column("v"))), min(LISTS, max(1, math.ceil(math.sqrt(count)))))
     shared = spark.sparkContext.broadcast(books)
     kind = dict(own.dtypes)["v"]
