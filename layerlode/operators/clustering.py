@@ -55,7 +55,7 @@ def relabel(assignments: DataFrame, min_clusters: int = 1, max_layers: int | Non
     layers = layers.withColumn("new_layer", (F.row_number().over(Window.orderBy("layer")) - 1).cast("int"))
     if max_layers is not None:
         layers = layers.where(F.col("new_layer") < max_layers)
-    kept = assignments.join(F.broadcast(layers.select("layer", "new_layer")), "layer")
+    kept = assignments.join(layers.select("layer", "new_layer"), "layer")
     return kept.join(known, ["layer", "cluster"], "left").select("object_id", F.col("new_layer").alias("layer"), F.coalesce("new", F.lit(-1)).alias("cluster"))
 
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerlode.sources.store import written
+
 #: Rows of a block; edges that the driver takes.
 BLOCK, DRIVER_EDGES = 2048, 20_000_000
 
@@ -117,9 +119,10 @@ def spanning_tree(points: DataFrame, min_samples: int = 5, block: int = BLOCK, d
         u, v, w = _prim(rows["object_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()), rows["core_distance"].to_numpy())
         return pd.DataFrame({"u": u, "v": v, "w": w})
 
-    edges = _block_pairs(own, block).groupBy("i", "j").applyInPandas(run, "u bigint, v bigint, w double").distinct().toPandas()
-    if len(edges) > driver_edges:
-        raise ValueError(f"{len(edges)} edges are more than the driver takes; raise driver_edges or cluster a sample")
+    found = written(_block_pairs(own, block).groupBy("i", "j").applyInPandas(run, "u bigint, v bigint, w double").distinct(), "block_trees")
+    if (n := found.count()) > driver_edges:
+        raise ValueError(f"{n} edges are more than the driver takes; raise driver_edges or cluster a sample")
+    edges = found.toPandas()
     kept = _kruskal(edges["u"].to_numpy("int64"), edges["v"].to_numpy("int64"), edges["w"].to_numpy("float64")) if len(edges) else np.zeros(0, dtype=np.int64)
     return points.sparkSession.createDataFrame(edges.iloc[kept], "u bigint, v bigint, w double")
 
@@ -190,8 +193,13 @@ class Linkage:
         return sizes, total
 
 
-def _linkage(vectors: DataFrame, min_samples: int, block: int) -> Linkage:
-    points = unit_vectors(vectors)
+METRICS = ("cosine", "euclidean")
+
+
+def _linkage(vectors: DataFrame, min_samples: int, block: int, metric: str = "cosine") -> Linkage:
+    if metric not in METRICS:
+        raise ValueError(f"no such metric: {metric}; there are {', '.join(METRICS)}")
+    points = written(unit_vectors(vectors) if metric == "cosine" else vectors.select("object_id", "embedding"), "points")
     ids = np.sort(points.select("object_id").toPandas()["object_id"].to_numpy("int64"))
     tree = spanning_tree(points, min_samples, block).toPandas()
     return Linkage.of(tree["u"].to_numpy("int64"), tree["v"].to_numpy("int64"), tree["w"].to_numpy("float64"), ids)
@@ -258,18 +266,22 @@ def density_layers(
     quantile: float = 0.85,
     max_layers: int | None = None,
     block: int = BLOCK,
+    metric: str = "cosine",
 ) -> DataFrame:
-    """(object_id, layer, cluster): leaf clusters at growing smallest sizes, each the quantile of the sizes before it."""
-    linkage = _linkage(vectors, min_samples, block)
+    """(object_id, layer, cluster): leaf clusters at growing smallest sizes, each the quantile of the sizes before it.
+
+    ``metric``: cosine for embeddings, euclidean for a map of few dimensions.
+    """
+    linkage = _linkage(vectors, min_samples, block, metric)
     return _frame(vectors, linkage, layer_sizes(linkage, min_clusters, base_min_cluster_size, base_n_clusters, quantile, max_layers))
 
 
-def persistent_layers(vectors: DataFrame, min_clusters: int = 6, min_samples: int = 5, base_min_cluster_size: int = 10, max_layers: int = 10, block: int = BLOCK) -> DataFrame:
+def persistent_layers(vectors: DataFrame, min_clusters: int = 6, min_samples: int = 5, base_min_cluster_size: int = 10, max_layers: int = 10, block: int = BLOCK, metric: str = "cosine") -> DataFrame:
     """(object_id, layer, cluster, persistence): layers at the peaks of total leaf persistence, fine to coarse.
 
     Layers with fewer than ``min_clusters`` clusters go; the ``max_layers`` most persistent stay.
     """
-    linkage = _linkage(vectors, min_samples, block)
+    linkage = _linkage(vectors, min_samples, block, metric)
     sizes, total = linkage.persistence()
     keep = sizes >= base_min_cluster_size
     sizes, total = sizes[keep], total[keep]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 import json
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -58,6 +61,47 @@ class TemplateNamer:
         return json.dumps({"topic_name": name, "topic_specificity": 0.5}, ensure_ascii=False)
 
 
+class CallableNamer:
+    """Any function of one prompt, plain or a coroutine, as a namer; at most ``concurrency`` calls run at once."""
+
+    def __init__(self, call: Callable, concurrency: int = 10):
+        self.call, self.concurrency = call, concurrency
+
+    def reply(self, prompts: list[str]) -> list[str]:
+        if not inspect.iscoroutinefunction(self.call):
+            with ThreadPoolExecutor(self.concurrency) as pool:
+                return list(pool.map(self.call, prompts))
+
+        async def every() -> list[str]:
+            gate = asyncio.Semaphore(self.concurrency)
+
+            async def one(prompt: str) -> str:
+                async with gate:
+                    return await self.call(prompt)
+
+            return list(await asyncio.gather(*map(one, prompts)))
+
+        return asyncio.run(every())
+
+
+class BatchNamer:
+    """A service that takes prompts in bulk: ``submit(prompts)`` gives a ticket, ``status(ticket)`` says "done" in the end,
+    ``results(ticket)`` gives replies by position. An item that failed (None) is an empty reply."""
+
+    def __init__(self, submit: Callable, status: Callable, results: Callable, cancel: Callable | None = None, poll: float = 60.0, timeout: float = 7200.0):
+        self.submit, self.status, self.results, self.cancel, self.poll, self.timeout = submit, status, results, cancel, poll, timeout
+
+    def reply(self, prompts: list[str]) -> list[str]:
+        ticket, began = self.submit(prompts), time.monotonic()
+        while self.status(ticket) != "done":
+            if time.monotonic() - began > self.timeout:
+                if self.cancel is not None:
+                    self.cancel(ticket)
+                raise TimeoutError(f"the batch {ticket} wasn't done in {self.timeout} seconds")
+            time.sleep(self.poll)
+        return [r or "" for r in self.results(ticket)]
+
+
 def ask(namer: Namer, prompts: list[str], attempts: int = 3, wait: Callable[[int], float] = lambda i: min(10.0, 2.0**i)) -> list[tuple[str, str | None]]:
     """(reply, error) of each prompt. A batch is tried again whole, then prompt by prompt; what fails is empty with its error.
 

@@ -21,8 +21,8 @@ def bm25(classes: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(layer, cluster, term_id, score) with clusters as documents: their length is the count of all their terms."""
     lengths = classes.groupBy("layer", "cluster").agg(F.sum("c").alias("dl"))
     layers = lengths.groupBy("layer").agg(F.count("*").alias("classes"), F.avg("dl").alias("avgdl"))
-    sized = lengths.join(F.broadcast(layers), "layer")
-    own = classes.withColumn("df", F.count("*").over(Window.partitionBy("layer", "term_id"))).join(F.broadcast(sized), ["layer", "cluster"])
+    sized = lengths.join(layers, "layer")
+    own = classes.withColumn("df", F.count("*").over(Window.partitionBy("layer", "term_id"))).join(sized, ["layer", "cluster"])
     idf = F.log(1 + (F.col("classes") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("c") / (k1 * ((1 - b) + b * F.col("dl") / F.col("avgdl")) + F.col("c"))
     return own.select("layer", "cluster", "term_id", (tf * idf).alias("score"))
@@ -36,7 +36,7 @@ def information_weights(classes: DataFrame, prior: float = 0.1, power: float = 2
     """
     totals = classes.groupBy("layer", "cluster").agg(F.sum("c").alias("t"))
     shares = totals.withColumn("q", F.col("t") / F.sum("t").over(Window.partitionBy("layer"))).select("layer", "cluster", "q")
-    own = classes.join(F.broadcast(shares), ["layer", "cluster"]).withColumn("n", F.sum("c").over(Window.partitionBy("layer", "term_id")))
+    own = classes.join(shares, ["layer", "cluster"]).withColumn("n", F.sum("c").over(Window.partitionBy("layer", "term_id")))
     p = (F.col("c") + prior * F.col("q")) / (F.col("n") + prior)
     found = own.groupBy("layer", "term_id").agg(F.sum(p * F.log(p / F.col("q"))).alias("held"), F.sum("q").alias("covered"), F.first("n").alias("n"))
     empty = prior / (F.col("n") + prior)
@@ -78,7 +78,7 @@ def central_terms(classes: DataFrame, vectors: DataFrame, terms: DataFrame, n: i
     centred = vectors.crossJoin(F.broadcast(mean)).select("term_id", minus(F.col("vector"), F.col("_all")).alias("v"))
     own = classes.join(centred, "term_id")
     centres = mean_vectors(own, ["layer", "cluster"], "v", "c").select("layer", "cluster", F.col("mean").alias("centre"))
-    far = own.join(F.broadcast(centres), ["layer", "cluster"]).select("layer", "cluster", "term_id", F.round(cosine_distance(F.col("v"), F.col("centre")), DIGITS).alias("distance"))
+    far = own.join(centres, ["layer", "cluster"]).select("layer", "cluster", "term_id", F.round(cosine_distance(F.col("v"), F.col("centre")), DIGITS).alias("distance"))
     named = far.join(terms.select("term_id", "term"), "term_id")
     order = Window.partitionBy("layer", "cluster").orderBy("distance", "term")
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n * n).select("layer", "cluster", "rank", "term_id", "term", "distance")

@@ -73,13 +73,13 @@ class TopicModel:
         store.write_model(self.tables(), path)
 
 
-def cluster(vectors: DataFrame, config: PipelineConfig) -> DataFrame:
+def cluster(vectors: DataFrame, config: PipelineConfig, metric: str = "cosine") -> DataFrame:
     """(object_id, layer, cluster) by the configured method."""
     c = config
     if c.method == "density":
-        return density.density_layers(vectors, c.min_clusters, c.min_samples, c.base_min_cluster_size, c.base_clusters, c.quantile, c.max_layers)
+        return density.density_layers(vectors, c.min_clusters, c.min_samples, c.base_min_cluster_size, c.base_clusters, c.quantile, c.max_layers, metric=metric)
     if c.method == "persistence":
-        return density.persistent_layers(vectors, c.min_clusters, c.min_samples, c.base_min_cluster_size or 10, c.max_layers or 10).drop("persistence")
+        return density.persistent_layers(vectors, c.min_clusters, c.min_samples, c.base_min_cluster_size or 10, c.max_layers or 10, metric=metric).drop("persistence")
     if c.method == "k_means":
         return clustering.k_means_layers(vectors, c.base_clusters or 1024, c.min_clusters)
     raise ValueError(f"no such clustering method: {c.method}")
@@ -121,12 +121,15 @@ def _told_apart(config: PipelineConfig, names: DataFrame, facts: DataFrame) -> D
 def fit(objects: DataFrame, config: PipelineConfig | None = None, assignments: DataFrame | None = None) -> TopicModel:
     """Cluster ``objects(object_id, text, embedding)`` in layers and name every cluster.
 
-    ``assignments`` of an earlier clustering are used as they are. What doesn't depend on names is computed for all
+    ``assignments`` of an earlier clustering are used as they are. A column ``map`` of few dimensions is clustered in place
+    of the embeddings. What doesn't depend on names is computed for all
     layers at once; only subtopics, prompts and names go layer by layer, from fine to coarse.
     """
     config = config or PipelineConfig()
     keys = ["layer", "cluster"]
     vectors = objects.select("object_id", "embedding")
+    if assignments is None and "map" in objects.columns:
+        assignments = cluster(objects.select("object_id", F.col("map").cast("array<double>").alias("embedding")), config, "euclidean")
     layers = store.written(assignments if assignments is not None else cluster(vectors, config), "assignments")
     n_layers = layers.agg(F.max("layer")).first()[0]
     if n_layers is None:

@@ -73,6 +73,13 @@ def test_fit_clusters_by_itself(objects, method):
     assert wide.count() == 120 and "layer_0" in wide.columns
 
 
+def test_a_map_is_clustered_in_place_of_embeddings(objects):
+    own = objects.withColumn("map", F.array((F.col("object_id") % 4 * 10).cast("double"), F.col("object_id").cast("double") / 1000))
+    config = PipelineConfig(min_clusters=2, min_samples=3, base_min_cluster_size=10)
+    layers = fit(own, config).assignments.where("layer = 0").collect()
+    assert len({(r["object_id"] % 4, r["cluster"]) for r in layers}) == 4
+
+
 def test_objects_that_are_no_texts(objects, layers):
     config = PipelineConfig(object_to_text=lambda df: F.concat(F.lit("thing "), (F.col("object_id") % 4).cast("string"), F.lit(" item")), n_exemplars=3)
     rows = fit(objects.drop("text"), config, layers).topics.where("layer = 0").collect()

@@ -124,3 +124,20 @@ def test_offline_embedder_puts_like_names_together(spark):
     df = spark.createDataFrame([(1, "x y z"), (2, None), (3, ""), (4, "x y z")], "id int, text string")
     got = {r["id"]: r["vector"] for r in embed_texts(df, ["id"]).collect()}
     assert got[1] == got[4] and got[2] == got[3] and len(got) == 4
+
+
+async def _later(prompt):
+    return prompt + "!"
+
+
+def test_functions_and_bulk_services_as_namers():
+    assert naming.CallableNamer(str.upper).reply(["a", "b"]) == ["A", "B"]
+    assert naming.CallableNamer(_later, 2).reply(["a", "b", "c"]) == ["a!", "b!", "c!"]
+    looks = iter(["waiting", "done"])
+    bulk = naming.BatchNamer(lambda p: p, lambda t: next(looks), lambda t: [t[0], None], poll=0)
+    assert bulk.reply(["x", "y"]) == ["x", ""]
+    gone = []
+    slow = naming.BatchNamer(lambda p: 7, lambda t: "waiting", lambda t: [], gone.append, poll=0, timeout=-1)
+    with pytest.raises(TimeoutError):
+        slow.reply(["x"])
+    assert gone == [7]
