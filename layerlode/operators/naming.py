@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from layerlode.schemas import UNLABELLED
 
-NAME_REPLY = r'(?s)\{\s*"topic_name":\s*.*?,\s*"topic_specificity":\s*[\w.]+\s*\}'
-SUMMARY_REPLY = r'(?s)\{\s*"topic_analysis":\s*.*?,\s*"topic_summary":\s*.*?,\s*"topic_name":\s*.*?,\s*"topic_specificity":\s*[\w.]+\s*\}'
+_ENDS = r'"topic_specificity"\s*:\s*[^\s{}]+\s*\}'
+NAME_REPLY = r'(?s)\{\s*"topic_name".*?' + _ENDS
+SUMMARY_REPLY = r'(?s)\{\s*"topic_analysis".*?"topic_name".*?' + _ENDS
 #: Escapes that JSON knows, each held by a control character while other backslashes are doubled.
 ESCAPES = tuple((f"\\{c}", chr(i)) for i, c in enumerate('\\"/bfnrtu', 1))
 MOST_TOPICS_PER_PROMPT, MOST_ALIKE, FAR = 12, 4, 0.2
@@ -183,8 +184,8 @@ def renamed(reply: Column, old_names: Column) -> Column:
     no mapping, or one of another length whose values can't be matched up."""
     mapping = F.from_json(F.get_json_object(reply, "$.new_topic_name_mapping"), "map<string,string>")
     by_key = F.transform(old_names, lambda old, i: F.coalesce(F.element_at(mapping, F.concat((i + 1).cast("string"), F.lit(". "), old)), F.element_at(mapping, F.concat((i + 1).cast("string"), F.lit("."))), old))
-    inner = F.regexp_extract(reply, r'(?s)"new_topic_name_mapping":\s*\{(.*?)\}', 1)
-    values = F.regexp_extract_all(inner, F.lit(r'(?s)".*?":\s*"(.*?)",?'), F.lit(1))
+    inner = F.regexp_extract(reply, r'"new_topic_name_mapping"\s*:\s*\{([^{}]*)\}', 1)
+    values = F.regexp_extract_all(inner, F.lit(r'"[^"]*"\s*:\s*"([^"]*)"'), F.lit(1))
     return F.when(F.size(mapping) == F.size(old_names), by_key).when(F.size(values) == F.size(old_names), values)
 
 

@@ -502,7 +502,7 @@ _REPLY = """case lang when 'en' then 'Sure. {"topic_name": "' || w || '", "topic
     r"""with r as (select doc_id, """
     + _REPLY
     + r""" as reply from (select doc_id, lang, source as w from documents)),
-    f as (select doc_id, regexp_extract(reply, '(?s)\{\s*"topic_name":\s*.*?,\s*"topic_specificity":\s*[\w.]+\s*\}', 0) as j from r),
+    f as (select doc_id, regexp_extract(reply, '(?s)\{\s*"topic_name".*?"topic_specificity"\s*:\s*[^\s{}]+\s*\}', 0) as j from r),
     p as (select doc_id, j, replace(replace(replace(replace(replace(j, '\\', chr(1)), '\"', chr(2)), '\', '\\'), chr(2), '\"'), chr(1), '\\') as fixed from f)
     select doc_id, case when json_valid(j) then json_extract_string(j, '$.topic_name') when json_valid(fixed) then json_extract_string(fixed, '$.topic_name') end as name from p"""
 )

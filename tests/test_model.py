@@ -148,7 +148,7 @@ def test_words_and_grams_equal_plain_python(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", words(F.col("text")).alias("w"))
     stop = ("the", "of", "don't")
     for r in df.select("i", "w", ngrams(F.col("w"), 1, 3, stop).alias("g")).collect():
-        want = re.findall(r"(?u)\b\w[-'\w]+\b", (texts[r["i"]] or "").lower())
+        want = re.findall(r"\w[-'\w]*\w", (texts[r["i"]] or "").lower())
         assert (r["w"] or []) == want
         grams = [" ".join(want[i : i + n]) for n in (1, 2, 3) for i in range(len(want) - n + 1) if want[i] not in stop and want[i + n - 1] not in stop]
         assert sorted(r["g"] or []) == sorted(grams)
