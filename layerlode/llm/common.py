@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for a task; when it ends, memory that it freed goes back to the system, for a Python worker lives on and
+    serves tasks of other operators."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return wrapped
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     """64 bits that identify a row by id and text; equal for repeated rows, never null."""
     return F.xxhash64(F.col(id_col), F.col(text_col))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerlode.llm.boosting import Boosted
-from layerlode.llm.common import bounded_sample, small_batches
+from layerlode.llm.common import bounded_sample, small_batches, tidy
 
 #: At most so many pages, in the order of a hash, are fitted on.
 TRAIN_PAGES = 600
@@ -364,4 +364,4 @@ def extract_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     model = fit_extraction(pages, train_pages)
     if model is None:
         return narrow.selectExpr("page_id", "url", "cast(null as string) as text", "cast(null as int) as n_nodes", "cast(null as int) as n_content")
-    return narrow.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(model)), _OUT)
+    return narrow.mapInArrow(tidy(_extract(pages.sparkSession.sparkContext.broadcast(model))), _OUT)

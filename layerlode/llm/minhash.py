@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerlode.llm.common import DRIVER_ROWS, mix64, materialise, row_key, runs, small_batches, split_by_size, token_hashes, utf8_column
+from layerlode.llm.common import DRIVER_ROWS, mix64, materialise, row_key, runs, small_batches, split_by_size, tidy, token_hashes, utf8_column
 from layerlode.llm.components import connected_components
 
 SHINGLE, PERMUTATIONS, BAND_ROWS, BITS, THRESHOLD = 3, 128, 4, 4, 0.5
@@ -142,7 +142,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(key, doc_id, node, packed, bands) for every row with a text that isn't empty; equal nodes have equal minima."""
     small_batches(docs.sparkSession)
     narrow = docs.select(row_key().alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.where("length(text) > 0").mapInArrow(_sign, "key bigint, doc_id bigint, node bigint, packed binary, bands array<bigint>")
+    return narrow.where("length(text) > 0").mapInArrow(tidy(_sign), "key bigint, doc_id bigint, node bigint, packed binary, bands array<bigint>")
 
 
 def link(nodes: np.ndarray, words: np.ndarray, threshold: float, split: int | None = None) -> list[tuple[int, int]]:
@@ -220,7 +220,7 @@ def similar_nodes(sigs: DataFrame, threshold: float = THRESHOLD, chunk: int = CH
     firsts = F.array_compact(F.collect_list(F.when(F.col("own") < F.col("other"), F.col("node"))))
     buckets = cut.agg(F.collect_list(member).alias("ms"), firsts.alias("split"))
     buckets = buckets.where("size(ms) > 1").select("ms", F.when(F.col("i") < F.col("j"), F.col("split")).alias("split"))
-    return buckets.mapInArrow(_link_buckets(threshold), "a bigint, b bigint")
+    return buckets.mapInArrow(tidy(_link_buckets(threshold)), "a bigint, b bigint")
 
 
 def membership(docs: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
