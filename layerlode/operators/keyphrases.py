@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from layerlode.functions.partitions import spread
 from layerlode.functions.text import STOP_WORDS, ngrams, words
 
 #: A vocabulary of at most so many terms is broadcast to where texts are counted.
@@ -17,7 +18,7 @@ BROADCAST_TERMS = 200_000
 
 def grams(objects: DataFrame, low: int = 1, high: int = 4, stop: Collection[str] = STOP_WORDS) -> DataFrame:
     """(object_id, term), a row for each occurrence."""
-    tokens = objects.select("object_id", words(F.col("text")).alias("_w"))
+    tokens = spread(objects.select("object_id", "text")).select("object_id", words(F.col("text")).alias("_w"))
     return tokens.select("object_id", F.explode(ngrams(F.col("_w"), low, high, stop)).alias("term"))
 
 
@@ -53,7 +54,7 @@ def custom_grams(objects: DataFrame, tokenizer: Callable[[str], list[str]], low:
     def tokens(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: tokenizer(t) if t is not None else [])
 
-    own = objects.select("object_id", tokens("text").alias("_w"))
+    own = spread(objects.select("object_id", "text")).select("object_id", tokens("text").alias("_w"))
     found = own.select("object_id", F.explode(ngrams(F.col("_w"), low, high, stop)).alias("term"))
     return found if join == " " else found.withColumn("term", F.replace("term", F.lit(" "), F.lit(join)))
 
