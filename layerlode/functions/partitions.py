@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 #: Inputs up to so many bytes may be moved to use every core; larger ones have row groups enough.
-SMALL_BYTES = 64 << 20
+SMALL_BYTES = 16 << 20
 
 
 def spread(df: DataFrame, below: int = SMALL_BYTES) -> DataFrame:
@@ -14,6 +14,6 @@ def spread(df: DataFrame, below: int = SMALL_BYTES) -> DataFrame:
     A small file is one row group and so one task, whatever the split size; costly expressions on it would use one core.
     """
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(estimate.toString()) > below:
+    if int(str(estimate)) > below:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
