@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerlode.functions.partitions import spread
 from layerlode.llm.common import runs, small_batches, tidy, utf8_column
 
 #: Ranks of a public byte-level vocabulary; the split of texts into words that it was made with.
@@ -233,7 +234,7 @@ def bpe_encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN)
     """
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(tidy(_encode(path, pattern)), _ROWS)
+    return spread(narrow).mapInArrow(tidy(_encode(path, pattern)), _ROWS)
 
 
 def _decode(path: str, pattern: str):

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerlode.functions.partitions import spread
 from layerlode.llm.boosting import Boosted
 from layerlode.llm.common import bounded_sample, small_batches, tidy
 
@@ -364,4 +365,4 @@ def extract_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     model = fit_extraction(pages, train_pages)
     if model is None:
         return narrow.selectExpr("page_id", "url", "cast(null as string) as text", "cast(null as int) as n_nodes", "cast(null as int) as n_content")
-    return narrow.mapInArrow(tidy(_extract(pages.sparkSession.sparkContext.broadcast(model))), _OUT)
+    return spread(narrow).mapInArrow(tidy(_extract(pages.sparkSession.sparkContext.broadcast(model))), _OUT)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerlode.functions.partitions import spread
 from layerlode.llm.common import DRIVER_ROWS, mix64, materialise, row_key, runs, small_batches, split_by_size, tidy, token_hashes, utf8_column
 from layerlode.llm.components import connected_components
 
@@ -142,7 +143,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(key, doc_id, node, packed, bands) for every row with a text that isn't empty; equal nodes have equal minima."""
     small_batches(docs.sparkSession)
     narrow = docs.select(row_key().alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.where("length(text) > 0").mapInArrow(tidy(_sign), "key bigint, doc_id bigint, node bigint, packed binary, bands array<bigint>")
+    return spread(narrow.where("length(text) > 0")).mapInArrow(tidy(_sign), "key bigint, doc_id bigint, node bigint, packed binary, bands array<bigint>")
 
 
 def link(nodes: np.ndarray, words: np.ndarray, threshold: float, split: int | None = None) -> list[tuple[int, int]]:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerlode.functions.partitions import spread
 from layerlode.llm.common import materialise, runs, small_batches, tidy, utf8_column
 
 #: Longest context in bytes; weight of the parent's distribution in smoothing, in observations.
@@ -74,7 +75,7 @@ def _count(depth: int):
 def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(gram, n): how often each byte follows each context of ``depth`` symbols, over whole texts of all rows."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where("length(text) > 0")
-    return texts.mapInArrow(tidy(_count(depth)), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return spread(texts).mapInArrow(tidy(_count(depth)), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def distributions(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -285,7 +286,7 @@ def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, smoothing: float = S
         del rows
         shared = spark.sparkContext.broadcast(Scorer(*columns, depth, smoothing))
         narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        scored = narrow.mapInArrow(tidy(_score(shared, depth)), "doc_id bigint, n_bytes bigint, log2_prob double")
+        scored = spread(narrow).mapInArrow(tidy(_score(shared, depth)), "doc_id bigint, n_bytes bigint, log2_prob double")
     else:
         scored = _score_by_join(docs, grams, entries, depth, smoothing)
     return scored.withColumn("bits_per_byte", F.expr("-log2_prob / nullif(n_bytes, 0)"))

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerlode.functions.partitions import spread
 from layerlode.llm.boosting import Boosted, Isotonic
 from layerlode.llm.common import bounded_sample, small_batches, tidy
 
@@ -256,7 +257,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     if model is None:
         return narrow.select("doc_id", F.lit(None).cast("double").alias("toxic_probability"), F.lit(False).alias("is_toxic"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = narrow.mapInArrow(tidy(_predict(shared, 1, None)), "doc_id bigint, toxic_probability double")
+    scored = spread(narrow).mapInArrow(tidy(_predict(shared, 1, None)), "doc_id bigint, toxic_probability double")
     return scored.withColumn("is_toxic", F.coalesce(F.col("toxic_probability") >= threshold, F.lit(False)))
 
 
@@ -268,7 +269,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(tidy(_predict(shared, docs.columns.index("text"), threshold)), docs.schema)
+    return spread(docs).mapInArrow(tidy(_predict(shared, docs.columns.index("text"), threshold)), docs.schema)
 
 
 __all__ = ["ToxicityModel", "build_lexicon", "drop_toxic", "fit_texts", "fit_toxicity", "toxicity_scores"]
