@@ -57,7 +57,7 @@ select s.cluster, size, keyphrases, name, exemplar, parent_layer, parent_cluster
 def flagship(f: Fixture) -> DataFrame:
     """Size, five keyphrases, a name, the central exemplar and the parent of every finest cluster."""
     low = f.assignments.where("layer = 0")
-    scores = ranking.information_scores(ranking.class_counts(f.counts, low))
+    scores = ranking.information_scores(f.classes.where("layer = 0"))
     lists = phrases.ordered_lists(ranking.top_terms(scores, f.terms, 5), "term", "k")
     best = Window.partitionBy("cluster").orderBy("distance", "object_id")
     central = exemplars.distances_to_centroid(low, f.vectors).withColumn("_r", F.row_number().over(best)).where("_r = 1").select("cluster", F.col("object_id").alias("exemplar"))
@@ -104,7 +104,7 @@ def tokens_per_doc(f: Fixture) -> DataFrame:
 
 def _documents_grams(f: Fixture) -> tuple[DataFrame, DataFrame]:
     found = keyphrases.grams(f.documents, 1, 4)
-    return found, keyphrases.vocabulary(found, min_occurrences=2)
+    return found, store.written(keyphrases.vocabulary(found, min_occurrences=2), "vocabulary")
 
 
 @registered(query("select term_id, term, occurrences from d4_terms", "d4_terms"))

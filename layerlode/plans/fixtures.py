@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from layerlode.operators import clustering, exemplars, keyphrases, prompts, ranking
 from layerlode.operators.phrases import ordered_lists
-from layerlode.sources import corpus
+from layerlode.sources import corpus, store
 
 KEYPHRASES, EXEMPLARS, MIN_OCCURRENCES = 10, 3, 2
 
@@ -45,24 +45,27 @@ class Fixture:
     def grams(self) -> DataFrame:
         return keyphrases.grams(self.objects, 1, self.high)
 
+    # Scores read the counts several times over: they are written once, so texts aren't cut into n-grams for each reading.
+
     @cached_property
     def terms(self) -> DataFrame:
-        return keyphrases.vocabulary(self.grams, min_occurrences=MIN_OCCURRENCES)
+        return store.written(keyphrases.vocabulary(self.grams, min_occurrences=MIN_OCCURRENCES), "vocabulary")
 
     @cached_property
     def counts(self) -> DataFrame:
-        return keyphrases.term_counts(self.grams, self.terms)
+        return store.written(keyphrases.term_counts(self.grams, self.terms), "term_counts")
 
     @cached_property
     def classes(self) -> DataFrame:
-        return ranking.class_counts(self.counts, self.assignments)
+        return store.written(ranking.class_counts(self.counts, self.assignments), "class_counts")
 
     @cached_property
     def frequent(self) -> DataFrame:
-        """(layer, cluster, rank, term): the most frequent terms of each cluster."""
+        """(layer, cluster, rank, term): the most frequent terms of each cluster, a few for each."""
         own = self.classes.join(self.terms.select("term_id", "term"), "term_id")
         order = Window.partitionBy("layer", "cluster").orderBy(F.desc("c"), "term")
-        return own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= KEYPHRASES).select("layer", "cluster", "rank", "term")
+        top = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= KEYPHRASES)
+        return store.written(top.select("layer", "cluster", "rank", "term"), "frequent")
 
     @cached_property
     def names(self) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -63,6 +65,7 @@ def shared_folder(spark: SparkSession) -> str:
     global _own
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="layerlode-model-")
+        atexit.register(shutil.rmtree, _own.removeprefix("file://"), ignore_errors=True)
     return _own
 
 
@@ -73,6 +76,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, lineage cut, safe when executors are lost."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if path.startswith("file://"):
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
