@@ -12,6 +12,8 @@ from layerlode.llm.common import DRIVER_ROWS, materialise, split_by_size
 #: Target marginals are the corpus's own shares to these powers, made to sum to 1: under 1, rare values gain.
 ALPHAS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 ITERATIONS, SEED = 60, "mix-1"
+#: Share of the corpus's tokens that a mix keeps.
+KEEP = 0.5
 DIMENSIONS = ("source", "lang", "topic")
 _UNKNOWN = "unknown"
 
@@ -65,6 +67,71 @@ def _rake_by_joins(cells: DataFrame, targets: dict[str, DataFrame], iterations:
     return out.selectExpr(*DIMENSIONS, "case when tokens > 0 then w * total / tokens else 0D end as factor")
 
 
+def fill(have: np.ndarray, want: np.ndarray, amount: float) -> np.ndarray:
+    """``min(have, scale * want)`` at the scale where they sum to ``amount``; all that is wanted if that is less."""
+    wanted, full = want > 0, np.zeros(len(have), dtype=bool)
+    while True:
+        rest = want[~full].sum()
+        if rest <= 0:
+            return np.where(wanted, have, 0.0)
+        scale = max(amount - have[full].sum(), 0.0) / rest
+        now = full | (wanted & (scale * want >= have))
+        if (now == full).all():
+            return np.where(full, have, scale * want)
+        full = now
+
+
+def rake_within(cells: pd.DataFrame, factors: np.ndarray, targets: dict[str, dict[str, float]], keep: float, iterations: int = ITERATIONS) -> np.ndarray:
+    """Share of each cell's tokens to keep, at most 1, so that ``keep`` of all tokens stay and their marginals meet the
+    targets as far as the cells have tokens: what a value or cell lacks is spread over the others in proportion."""
+    if cells.empty:
+        return np.zeros(0)
+    tokens = cells["tokens"].to_numpy("float64")
+    amount = keep * tokens.sum()
+    kept = fill(tokens, tokens * factors, amount)
+    coded = {d: np.unique(cells[d].to_numpy(), return_inverse=True) for d in DIMENSIONS}
+    wants = {}
+    for d, (names, at) in coded.items():
+        wants[d] = fill(np.bincount(at, tokens, minlength=len(names)), np.array([targets[d].get(x, 0.0) for x in names]), amount)
+    for _ in range(iterations):
+        for d, (names, at) in coded.items():
+            now = np.bincount(at, kept, minlength=len(names))
+            kept = np.minimum(tokens, kept * np.divide(wants[d], now, out=np.zeros_like(now), where=now > 0)[at])
+    kept = fill(tokens, kept, amount)
+    return np.divide(kept, tokens, out=np.zeros_like(kept), where=tokens > 0)
+
+
+def _filled(df: DataFrame, have: str, want: str, amount: float) -> Column:
+    """As ``fill``: the column of a table of any size. A step is one aggregation."""
+    wanted, scale, count = F.col(want) > 0, 0.0, -1
+    while True:
+        full = wanted & (F.lit(scale) * F.col(want) >= F.col(have)) if count >= 0 else F.lit(False)
+        r = df.agg(F.sum(F.when(full, F.col(have)).otherwise(0)).cast("double").alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col(want))).alias("rest"), F.count_if(full).alias("n")).first()
+        if not r["rest"]:
+            return F.when(wanted, F.col(have).cast("double")).otherwise(0.0)
+        if r["n"] == count:
+            return F.least(F.col(have).cast("double"), F.lit(scale) * F.col(want))
+        count, scale = r["n"], max(amount - r["held"], 0.0) / r["rest"]
+
+
+def _rake_within_by_joins(cells: DataFrame, factors: DataFrame, targets: dict[str, DataFrame], keep: float, iterations: int) -> DataFrame:
+    """As ``rake_within`` for cells beyond what a driver holds."""
+    amount = keep * cells.agg(F.sum("tokens")).first()[0]
+    out = cells.join(factors, list(DIMENSIONS)).withColumn("w", F.col("tokens") * F.col("factor"))
+    out = materialise(out.withColumn("w", _filled(out, "tokens", "w", amount)), "cells")
+    wants = {}
+    for d in DIMENSIONS:
+        own = materialise(cells.groupBy(d).agg(F.sum("tokens").alias("have")).join(targets[d], d), "wants")
+        wants[d] = own.select(d, _filled(own, "have", "want", amount).alias("want"))
+    for _ in range(iterations):
+        for d in DIMENSIONS:
+            now = out.groupBy(d).agg(F.sum("w").alias("now")).join(wants[d], d, "left").selectExpr(d, "case when now > 0 then coalesce(want, 0D) / now else 0D end as f")
+            out = out.join(split_by_size(now), d).withColumn("w", F.least(F.col("tokens").cast("double"), F.col("w") * F.col("f"))).drop("f")
+        out = materialise(out, "cells")
+    out = out.withColumn("w", _filled(out, "tokens", "w", amount))
+    return out.selectExpr(*DIMENSIONS, "factor", "case when tokens > 0 then w / tokens else 0D end as probability")
+
+
 def _own_targets(cells: DataFrame, alphas: dict[str, float], given: dict[str, dict[str, float]]) -> dict[str, DataFrame]:
     spark, out = cells.sparkSession, {}
     for d in DIMENSIONS:
@@ -85,7 +152,14 @@ def _facts(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
     return materialise(named, "facts")
 
 
-def cell_probabilities(facts: DataFrame, targets: dict[str, dict[str, float]] | None = None, alphas: dict[str, float] = ALPHAS, iterations: int = ITERATIONS, driver_rows: int = DRIVER_ROWS) -> DataFrame:
+def cell_probabilities(
+    facts: DataFrame,
+    targets: dict[str, dict[str, float]] | None = None,
+    alphas: dict[str, float] = ALPHAS,
+    iterations: int = ITERATIONS,
+    driver_rows: int = DRIVER_ROWS,
+    keep: float | None = None,
+) -> DataFrame:
     """(source, lang, topic, weight, probability) of each cell; see ``mix_documents``."""
     cells = materialise(facts.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     wanted = _own_targets(cells, alphas, targets or {})
@@ -93,9 +167,17 @@ def cell_probabilities(facts: DataFrame, targets: dict[str, dict[str, float]] |
         frame = cells.orderBy(*DIMENSIONS).toPandas()
         wants = {d: {r[d]: r["want"] for r in wanted[d].collect()} for d in DIMENSIONS}
         frame["factor"] = rake(frame, wants, iterations)
-        rows = cells.sparkSession.createDataFrame(frame[[*DIMENSIONS, "factor"]], "source string, lang string, topic string, factor double")
+        kind = "source string, lang string, topic string, factor double"
+        if keep is not None:
+            frame["probability"] = rake_within(frame, frame["factor"].to_numpy(), wants, keep, iterations)
+            kind += ", probability double"
+        rows = cells.sparkSession.createDataFrame(frame.drop(columns="tokens"), kind)
     else:
         rows = _rake_by_joins(cells, wanted, iterations)
+        if keep is not None:
+            rows = _rake_within_by_joins(cells, rows, wanted, keep, iterations)
+    if keep is not None:
+        return rows.withColumnRenamed("factor", "weight")
     most = rows.agg(F.max("factor").alias("most"))
     return rows.crossJoin(F.broadcast(most)).selectExpr(*DIMENSIONS, "factor as weight", "case when most > 0 then factor / most else 0D end as probability")
 
@@ -108,15 +190,20 @@ def mix_documents(
     iterations: int = ITERATIONS,
     seed: str = SEED,
     driver_rows: int = DRIVER_ROWS,
+    keep: float | None = KEEP,
 ) -> DataFrame:
     """Sample documents so that tokens meet target marginals of source, language and topic.
 
     Tokens are counted over whole texts of all rows and summed by cell (source, language, topic). Iterative
     proportional fitting rakes the cells to the targets: ``targets[dimension]`` where given (shares of the values,
     scaled to 1; values that the corpus lacks are left out, values without a target get 0), else the corpus's own
-    shares to the power ``alphas[dimension]``. A cell's weight is its fitted share over its own share; its rows are
-    kept with probability weight / largest weight, so the marginals hold in expectation with as many tokens as can be.
-    A row is kept if a hash of the seed and doc_id is under its probability: the same rows each time.
+    shares to the power ``alphas[dimension]``. A cell's weight is its fitted share over its own share.
+
+    Its rows are kept with a probability such that ``keep`` of all tokens stay in expectation, whatever the sizes of the
+    cells: raking again with at most 1 for each cell (``rake_within``). Values and cells with too few tokens for their
+    share are kept whole and the others make up for them; ``weight / probability`` is what a kept row counts for where
+    the exact targets are wanted. With ``keep`` None the probability is weight / largest weight: marginals hold exactly
+    in expectation, but the rarest wanted cell sets how much of all others is kept. A row is kept if a hash of the seed and doc_id is under its probability: the same rows each time.
 
     A row's topic is the label of the embedding with its doc_id. One row for each kept row: doc_id, source, lang,
     topic, n_tokens, weight, probability. A null source, language or topic is the value "unknown". A null or empty
@@ -125,15 +212,15 @@ def mix_documents(
     are raked by joins, with the same result.
     """
     facts = _facts(docs, embeddings)
-    cells = cell_probabilities(facts, targets, alphas, iterations, driver_rows)
+    cells = cell_probabilities(facts, targets, alphas, iterations, driver_rows, keep)
     drawn = facts.join(split_by_size(cells), list(DIMENSIONS)).where(unit_hash(seed, F.col("identity")) < F.col("probability"))
     return drawn.select("doc_id", *DIMENSIONS, F.col("tokens").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
 
 
-def sample_documents(docs: DataFrame, embeddings: DataFrame, targets: dict[str, dict[str, float]] | None = None, alphas: dict[str, float] = ALPHAS, iterations: int = ITERATIONS, seed: str = SEED) -> DataFrame:
+def sample_documents(docs: DataFrame, embeddings: DataFrame, targets: dict[str, dict[str, float]] | None = None, alphas: dict[str, float] = ALPHAS, iterations: int = ITERATIONS, seed: str = SEED, keep: float | None = KEEP) -> DataFrame:
     """The rows of ``docs``, all columns, that ``mix_documents`` keeps. Texts stay where they are if the topics and
     cells can be broadcast (size checked)."""
-    cells = cell_probabilities(_facts(docs, embeddings), targets, alphas, iterations)
+    cells = cell_probabilities(_facts(docs, embeddings), targets, alphas, iterations, keep=keep)
     names = docs.columns
     tag = "_" * (1 + max(len(x) for x in names))
     topics = topics_of(embeddings).select(F.col("vec_id").alias(f"{tag}v"), F.col("topic").alias(f"{tag}topic"))

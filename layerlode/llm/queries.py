@@ -28,7 +28,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
+    # The SQL draws with weight / largest weight; the pipeline keeps a share of the tokens.
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), keep=None)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
