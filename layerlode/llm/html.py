@@ -306,7 +306,7 @@ def text_of(dom: Dom, keep: np.ndarray) -> str:
 def fit_extraction(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> PageModel | None:
     """Fit on at most ``train_pages`` pages that declare their content, the first in the order of a hash of id and URL."""
     own = pages.where("lower(html) rlike '<(article|main)[ >]'").select(F.col("html").cast("string").alias("html"), F.xxhash64("page_id", "url", "html").alias("h"))
-    total = own.count()
+    total = own.select("h").distinct().count()
     single = bounded_sample(own.groupBy("h").agg(F.first("html").alias("html")), train_pages, F.col("h"), total)
     rows = single.select("h", "html").collect() if total else []
     return fit_pages([r["html"] for r in sorted(rows, key=lambda r: r["h"])])

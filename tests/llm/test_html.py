@@ -108,3 +108,12 @@ def test_labels_come_from_tags_alone():
     assert weak_labels(parse("<div><p>x</p></div>")) is None
     y = weak_labels(parse("<div><article><p>x</p><nav>y</nav></article><p>z</p></div>"))
     assert y.tolist() == [-1, -1, 1, 1, 0, 0]
+
+
+def test_repeated_pages_do_not_thin_the_sample(spark, monkeypatch):
+    from layerlode.llm import html
+
+    monkeypatch.setattr(html, "fit_pages", len)
+    pages = spark.createDataFrame([(i, f"u{i}", page(i)) for i in range(6)], "page_id bigint, url string, html string")
+    repeated = pages.crossJoin(spark.range(300)).drop("id")
+    assert html.fit_extraction(repeated, train_pages=2) == 2
