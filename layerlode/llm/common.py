@@ -127,7 +127,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of an odd number and of its inverse, modulo 2^64."""
     if len(_powers.get("up", ())) < n:
         size = max(n, _PIECE + 1)
         for key, base in (("up", _P), ("down", _P_INV)):
@@ -142,7 +143,7 @@ def _piece_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = _WORD[raw]
     edges = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
     starts, ends = edges[::2], edges[1::2]
-    up, down = _power_tables(len(raw) + 1)
+    up, down = power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * down[starts]

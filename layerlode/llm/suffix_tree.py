@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,121 +10,194 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerlode.functions.partitions import spread
-from layerlode.llm.common import materialise, runs, small_batches, tidy, utf8_column
+from layerlode.llm.common import materialise, mix64, power_tables, runs, small_batches, tidy, utf8_column
 
-#: Longest context in bytes; weight of the parent's distribution in smoothing, in observations.
-DEPTH, SMOOTHING = 5, 4.0
-#: Scoring tables of at most so many bytes are broadcast; larger models are joined.
-TABLE_BYTES = 256 << 20
+#: Contexts of up to so many bytes are all counted; longer ones where a shorter one is open. Weight of the parent's
+#: distribution in smoothing, in observations. Lengths in a row that may fail the test before growth along them ends.
+BASE, SMOOTHING, LOOKAHEAD = 5, 4.0, 1
+#: Hash tables of at most so many bytes are broadcast; larger ones in parts, a pass over the texts for each.
+TABLE_BYTES = 128 << 20
 _SHIFT, _SYMBOL = 9, (1 << 9) - 1
+_TAIL = (1 << (3 * _SHIFT)) - 1  # the next symbol and the two before it
+_TAILS = 1 << (2 * _SHIFT)
 _RUN = 1 << 20
 _FLUSH = 1 << 21
+#: Bytes of a slot, and slots for an entry at most.
+_SLOT = 16 * 3
 
 
-def gram_codes(raw: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
-    """For each byte, itself and the ``depth`` symbols before it in its text, packed by 9 bits, itself lowest.
-
-    Symbol 0 stands before the start of a text, byte b is symbol b + 1.
-    """
+def _padded(raw: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols with ``depth`` zeros before each text and at the end, where each byte is in them). Byte b is symbol b + 1."""
     lengths = np.diff(offsets)
     at = np.arange(len(raw)) + np.repeat(np.arange(1, len(lengths) + 1) * depth, lengths)
     padded = np.zeros(len(raw) + depth * (len(lengths) + 1), dtype=np.int64)
     padded[at] = raw
     padded[at] += 1
+    return padded, at
+
+
+def _codes(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     codes = padded[at]
     for k in range(1, depth + 1):
         codes |= padded[at - k] << (_SHIFT * k)
     return codes
 
 
-def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every = np.concatenate(codes)
-    order = np.argsort(every, kind="stable")
-    every = every[order]
-    first = np.flatnonzero(np.diff(every, prepend=-1))
-    return every[first], np.add.reduceat(np.concatenate(counts)[order], first)
+def gram_codes(raw: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
+    """For each byte, itself and the ``depth`` symbols before it in its text, packed by 9 bits, itself lowest.
+
+    Symbol 0 stands before the start of a text, byte b is symbol b + 1.
+    """
+    return _codes(*_padded(raw, offsets, depth), depth)
+
+
+class Positions:
+    """The bytes of some texts with names for the contexts before them.
+
+    A context of up to ``base`` symbols is named by its symbols, packed, with a 1 bit above them; a longer one by a 64-bit
+    hash of its symbols and length. No context reaches beyond the one symbol 0 before its text.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, base: int):
+        self.base = base
+        padded, self.at = _padded(raw, offsets, max(base, 1))
+        self.codes = _codes(padded, self.at, base)
+        self.room = np.arange(1, len(raw) + 1) - np.repeat(offsets[:-1] - offsets[0], np.diff(offsets))
+        self._symbols, self._sums, self._down = padded, None, None
+
+    def names(self, d: int, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Of the contexts of length ``d``, which must be at most ``room`` where it is over ``base``."""
+        if d <= self.base:
+            bit = 1 << (_SHIFT * d)
+            return ((self.codes[which] >> _SHIFT) & (bit - 1)) | bit
+        if self._sums is None:
+            up, self._down = power_tables(len(self._symbols) + 1)
+            self._sums = np.zeros(len(self._symbols) + 1, dtype=np.uint64)
+            np.cumsum((self._symbols + 1).astype(np.uint64) * up[: len(self._symbols)], out=self._sums[1:])
+        at = self.at[which]
+        hashed = mix64((self._sums[at] - self._sums[at - d]) * self._down[at - d] + np.uint64(d) * np.uint64(0xD6E8FEB86659FD93))
+        return np.where(hashed == 0, np.uint64(1), hashed).view(np.int64)
+
+
+def _cut(batch_column, base: int) -> Iterator[tuple[Positions, int, int, np.ndarray]]:
+    """Positions of runs of about 1 MB of texts, with the rows that they cover."""
+    raw, offsets = utf8_column(batch_column)
+    for first, last in runs(offsets, _RUN):
+        own = offsets[first : last + 1] - offsets[first]
+        yield Positions(raw[offsets[first] : offsets[last]], own, base), first, last, own
+
+
+def _merged(columns: list[np.ndarray], order: np.ndarray) -> list[np.ndarray]:
+    """Rows in ``order`` with equal neighbours made one; the last column is summed."""
+    *keys, n = [c[order] for c in columns]
+    if not len(n):
+        return [*keys, n]
+    new = np.zeros(len(n), dtype=bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return [*[k[first] for k in keys], np.add.reduceat(n, first)]
+
+
+class _Sums:
+    """Rows of names and counts that are added up before they leave a task; never more than a few million are held."""
+
+    def __init__(self, names: list[str], sort: Callable[[list[np.ndarray]], np.ndarray]):
+        self.names, self.sort, self.held, self.rows, self.base = names, sort, [], 0, 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = _merged(list(columns), self.sort(list(columns)))
+        self.held.append(own)
+        self.rows += len(own[0])
+        if self.rows > 2 * self.base + _FLUSH // 2:
+            self._unite()
+            if self.rows > _FLUSH:
+                yield from self.rest()
+
+    def _unite(self) -> None:
+        every = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        self.held = [_merged(every, self.sort(every))]
+        self.rows = self.base = len(self.held[0][0])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            self._unite()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self.held[0]], names=self.names)
+        self.held, self.rows, self.base = [], 0, 0
 
 
 def _count(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        held = base = 0
+        sums = _Sums(["gram", "n"], lambda c: np.argsort(c[0], kind="stable"))
         for batch in batches:
             raw, offsets = utf8_column(batch.column(0))
             for first, last in runs(offsets, _RUN):
                 own = np.sort(gram_codes(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], depth))
                 at = np.flatnonzero(np.diff(own, prepend=-1))
-                codes.append(own[at])
-                counts.append(np.diff(at, append=len(own)))
-                held += len(at)
-                if held > 2 * base + _FLUSH // 2:
-                    merged = _merged(codes, counts)
-                    codes, counts, held = [merged[0]], [merged[1]], len(merged[0])
-                    base = held
-                    if held > _FLUSH:
-                        yield pa.RecordBatch.from_arrays([pa.array(merged[0]), pa.array(merged[1])], names=["gram", "n"])
-                        codes, counts, held, base = [], [], 0, 0
-        if held:
-            merged = _merged(codes, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(merged[0]), pa.array(merged[1])], names=["gram", "n"])
+                yield from sums.add(own[at], np.diff(at, append=len(own)))
+        yield from sums.rest()
 
     return run
 
 
-def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    return spread(docs.select(F.col("text").cast("string").alias("text")).where("length(text) > 0"))
+
+
+def gram_counts(docs: DataFrame, depth: int = BASE) -> DataFrame:
     """(gram, n): how often each byte follows each context of ``depth`` symbols, over whole texts of all rows."""
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("length(text) > 0")
-    return spread(texts).mapInArrow(tidy(_count(depth)), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return _texts(docs).mapInArrow(tidy(_count(depth)), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def distributions(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(d, ctx, sym, n) for every context of 0 to ``depth`` symbols. ctx has a 1 bit above its symbols."""
-    last = grams.select(F.lit(depth).alias("d"), F.expr(f"shiftright(gram, {_SHIFT}) | {1 << (_SHIFT * depth)}L").alias("ctx"), F.expr(f"cast(gram & {_SYMBOL} as int)").alias("sym"), "n")
-    rest = grams.select(F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("d"), "gram", "n").selectExpr(
-        "d", f"(shiftright(gram, {_SHIFT}) & (shiftleft(1L, {_SHIFT} * d) - 1)) | shiftleft(1L, {_SHIFT} * d) as ctx", f"cast(gram & {_SYMBOL} as int) as sym", "n"
-    )
-    return rest.groupBy("d", "ctx", "sym").agg(F.sum("n").alias("n")).unionByName(last)
+def distributions(grams: DataFrame, depth: int = BASE) -> DataFrame:
+    """(d, ctx, parent, tail, n) for every context of 0 to ``depth`` symbols. ctx has a 1 bit above its symbols; tail is
+    the next symbol with up to two before it."""
+    own = grams.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"), "gram", "n")
+    own = own.selectExpr("d", f"(shiftright(gram, {_SHIFT}) & (shiftleft(1L, {_SHIFT} * d) - 1)) | shiftleft(1L, {_SHIFT} * d) as ctx", f"cast(gram & (shiftleft(1L, {_SHIFT} * (least(d, 2) + 1)) - 1) as int) as tail", "n")
+    parent = f"case when d > 0 then (ctx & (shiftleft(1L, {_SHIFT} * (d - 1)) - 1)) | shiftleft(1L, {_SHIFT} * (d - 1)) end"
+    return own.groupBy("d", "ctx", "tail").agg(F.sum("n").alias("n")).selectExpr("d", "ctx", parent + " as parent", "tail", "n")
 
 
-_PARENT = f"(ctx & (shiftleft(1L, {_SHIFT} * (d - 1)) - 1)) | shiftleft(1L, {_SHIFT} * (d - 1))"
+_SYM = f"tail & {_SYMBOL}"
 
 
-def retained_contexts(dist: DataFrame) -> DataFrame:
-    """(d, ctx) of the states: contexts whose next-symbol distribution diverges from that of their longest suffix.
+def tested(rows: DataFrame, above: DataFrame, half_log: float) -> DataFrame:
+    """(ctx, parent, total, passed, varied) of the contexts in ``rows(ctx, parent, tail, n)``; ``above(ctx, tail, n)`` has
+    the distributions of their longest suffixes.
 
-    A context stays if its count times the Kullback-Leibler divergence (nats) from its suffix reaches
-    ``0.5 * successors * ln(all symbols)``, the Bayesian information criterion; so do the suffixes of one that stays.
+    A context passes if its count times the Kullback-Leibler divergence (nats) from its suffix reaches ``half_log``
+    times its successors, the Bayesian information criterion. It is varied if its count times its entropy reaches
+    ``half_log``: for no longer context can the same product, nor count times divergence, be larger.
     """
-    entries = dist.where("d > 0").select("d", "ctx", F.expr(_PARENT).alias("parent"), "sym", "n")
-    above = dist.select(F.col("ctx").alias("parent"), "sym", F.col("n").alias("pn"))
-    sums = entries.join(above, ["parent", "sym"]).groupBy("d", "ctx", "parent")
-    sums = sums.agg(F.sum(F.expr("n * ln(n / pn)")).alias("a"), F.sum("n").alias("total"), F.count("*").alias("k"))
-    totals = dist.groupBy(F.col("ctx").alias("parent")).agg(F.sum("n").alias("ptotal"))
-    everything = dist.where("d = 0").agg(F.sum("n").alias("everything"))
-    kept = sums.join(totals, "parent").crossJoin(F.broadcast(everything)).where("a + total * ln(ptotal / total) >= 0.5 * k * ln(everything)")
-    suffixes = kept.select("ctx", F.explode(F.expr("sequence(0, d)")).alias("d"))
-    return suffixes.selectExpr("d", f"(ctx & (shiftleft(1L, {_SHIFT} * d) - 1)) | shiftleft(1L, {_SHIFT} * d) as ctx").union(dist.where("d = 0").select("d", "ctx")).distinct()
+    up = above.selectExpr("ctx as parent", f"{_SYM} as sym", "n as pn")
+    sums = rows.selectExpr("ctx", "parent", f"{_SYM} as sym", "n").join(up, ["parent", "sym"]).groupBy("ctx", "parent")
+    sums = sums.agg(F.sum(F.expr("n * ln(n / pn)")).alias("a"), F.sum("n").alias("total"), F.count("*").alias("k"), F.sum(F.expr("n * ln(n)")).alias("nl"))
+    totals = above.groupBy(F.col("ctx").alias("parent")).agg(F.sum("n").alias("ptotal"))
+    out = sums.join(totals, "parent")
+    return out.selectExpr("ctx", "parent", "total", f"a + total * ln(ptotal / total) >= {half_log!r}D * k as passed", f"total * ln(total) - nl >= {half_log!r}D as varied")
 
 
 class Table:
-    """A hash table of int64 keys above 0 in two arrays, looked up for whole arrays at once."""
+    """A hash table of int64 keys other than 0 in two arrays, looked up for whole arrays at once."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, int(2 * len(keys)).bit_length())
+    def __init__(self, keys: np.ndarray, values: np.ndarray | None = None):
+        size = 1 << max(4, (len(keys) + len(keys) // 2).bit_length())
         self.mask = np.uint64(size - 1)
         self.keys = np.zeros(size, dtype=np.int64)
-        self.values = np.zeros(size, dtype=values.dtype)
+        self.values = None if values is None else np.zeros(size, dtype=values.dtype)
         slots = self._slots(keys)
         while len(keys):
             free = self.keys[slots] == 0
             _, first = np.unique(slots[free], return_index=True)
             put = np.flatnonzero(free)[first]
             self.keys[slots[put]] = keys[put]
-            self.values[slots[put]] = values[put]
+            if values is not None:
+                self.values[slots[put]] = values[put]
             rest = np.ones(len(keys), dtype=bool)
             rest[put] = False
-            keys, values, slots = keys[rest], values[rest], (slots[rest] + 1) & int(self.mask)
+            keys, slots = keys[rest], (slots[rest] + 1) & int(self.mask)
+            values = None if values is None else values[rest]
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -146,147 +219,236 @@ class Table:
         return out
 
 
+def parts_of(sizes: np.ndarray, limit: float) -> np.ndarray:
+    """A part for each of the tails (two symbols), so that parts of ``sizes`` have about ``limit`` at most; -1 where none is."""
+    out = np.full(len(sizes), -1, dtype=np.int32)
+    part, held = 0, 0.0
+    for tail in np.flatnonzero(sizes):
+        if held and held + sizes[tail] > limit:
+            part, held = part + 1, 0.0
+        out[tail] = part
+        held += sizes[tail]
+    return out
+
+
+def _tail_sizes(rows: DataFrame) -> np.ndarray:
+    """How many ``rows`` each pair of symbols at the end of a context has; at most 2^18 pairs."""
+    sizes = np.zeros(_TAILS)
+    for r in rows.groupBy(F.expr(f"shiftright(tail, {_SHIFT})").alias("t")).count().toLocalIterator():
+        sizes[r["t"]] = r["count"]
+    return sizes
+
+
+def _extend(shared, base: int, d: int, part: int | None, parts: np.ndarray | None):
+    """Counts of the contexts of length ``d`` whose suffix is in the shared table."""
+
+    def sort(c: list[np.ndarray]) -> np.ndarray:
+        return np.argsort(c[0] ^ (c[2] & _SYMBOL).astype(np.int64) * -0x61C8864680B583EB)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(["ctx", "parent", "tail", "n"], sort)
+        for batch in batches:
+            for own, *_ in _cut(batch.column(0), base):
+                at = np.flatnonzero(own.room >= d)
+                if part is not None:
+                    at = at[parts[(own.codes[at] >> _SHIFT) & (_TAILS - 1)] == part]
+                parent = own.names(d - 1, at)
+                held = shared.value.find(parent) >= 0
+                at, parent = at[held], parent[held]
+                yield from sums.add(own.names(d, at), parent, (own.codes[at] & _TAIL).astype(np.int32), np.ones(len(at), dtype=np.int64))
+        yield from sums.rest()
+
+    return run
+
+
+def _longer(texts: DataFrame, open_: DataFrame, base: int, d: int, table_bytes: int) -> DataFrame:
+    """(ctx, parent, tail, n) of the contexts of length ``d`` with a suffix in ``open_(ctx, tail)``."""
+    spark = texts.sparkSession
+    sizes = _tail_sizes(open_)
+    parts = parts_of(sizes, table_bytes / _SLOT)
+    many = int(parts.max(initial=-1)) + 1
+    out = None
+    for part in range(many):
+        own = open_ if many == 1 else open_.where(F.expr(f"shiftright(tail, {_SHIFT})").isin(np.flatnonzero(parts == part).tolist()))
+        shared = spark.sparkContext.broadcast(Table(own.select("ctx").toArrow().column(0).to_numpy().astype(np.int64)))
+        found = texts.mapInArrow(tidy(_extend(shared, base, d, part if many > 1 else None, parts if many > 1 else None)), "ctx bigint, parent bigint, tail int, n bigint")
+        out = found if out is None else out.union(found)
+    return out.groupBy("ctx", "parent", "tail").agg(F.sum("n").alias("n"))
+
+
+def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD, table_bytes: int = TABLE_BYTES) -> tuple[int, DataFrame]:
+    """(base, (d, ctx, parent, tail, n)): the distributions of all states of the tree, of every length."""
+    base = BASE if depth is None else min(BASE, depth)
+    dist = materialise(distributions(materialise(gram_counts(docs, base), "grams"), base), "distributions")
+    total = dist.where("d = 0").agg(F.sum("n")).first()[0] or 0
+    half = 0.5 * float(np.log(max(total, 1)))
+    low = materialise(tested(dist.where("d > 0"), dist, half).join(dist.select("ctx", "d", "tail").groupBy("ctx", "d").agg(F.max("tail").alias("tail")), "ctx"), "tested")
+    root = dist.where("d = 0").select("d", "ctx")
+    passed = low.where("passed").select("ctx", F.explode(F.expr("sequence(0, d)")).alias("d"))
+    states = passed.selectExpr("d", f"(ctx & (shiftleft(1L, {_SHIFT} * d) - 1)) | shiftleft(1L, {_SHIFT} * d) as ctx").union(root)
+    # Runs of failing lengths: of a context at the base and of its suffixes.
+    last = low.where(f"d = {base}").selectExpr("ctx", "parent", "tail", "passed", "varied", "parent as up", "if(passed, 0, 1) as fails", "passed as done")
+    for k in range(1, lookahead + 1 if base > 1 else 1):
+        suffix = low.selectExpr("ctx as up", "parent as next", "passed as here")
+        last = last.join(suffix, "up", "left").selectExpr("ctx", "parent", "tail", "passed", "varied", "next as up", f"if(done or coalesce(here, true), fails, {k + 1}) as fails", "done or coalesce(here, true) as done")
+    levels: list[tuple[int, DataFrame, DataFrame]] = []
+    texts = _texts(docs) if base else None
+    open_ = materialise(last.where(f"varied and fails <= {lookahead}").select("ctx", "tail", "fails"), "open")
+    above = dist.where(f"d = {base}").select("ctx", "tail", "n")
+    d = base
+    while (depth is None or d < depth) and base and not open_.isEmpty():
+        d += 1
+        rows = materialise(_longer(texts, open_, base, d, table_bytes), "level")
+        found = tested(rows, above.join(open_.select("ctx"), "ctx", "left_semi"), half).join(open_.selectExpr("ctx as parent", "fails as before"), "parent")
+        tails = rows.groupBy("ctx").agg(F.max("tail").alias("tail"))
+        found = materialise(found.join(tails, "ctx").selectExpr("ctx", "parent", "tail", "passed", "varied", "if(passed, 0, before + 1) as fails"), "tested")
+        levels.append((d, rows, found))
+        open_ = found.where(f"varied and fails <= {lookahead}").select("ctx", "tail", "fails")
+        above = rows.select("ctx", "tail", "n")
+    # Suffixes of states are states: from the longest down.
+    parents, entries = None, None
+    for d, rows, found in reversed(levels):
+        own = found.where("passed").select("ctx", "parent")
+        if parents is not None:
+            own = own.union(found.select("ctx", "parent").join(parents, "ctx", "left_semi"))
+        own = materialise(own.distinct(), "states")
+        part = rows.join(own.select("ctx"), "ctx", "left_semi").select(F.lit(d).alias("d"), "ctx", "parent", "tail", "n")
+        entries = part if entries is None else entries.unionByName(part)
+        parents = own.select(F.col("parent").alias("ctx")).distinct()
+    if parents is not None:
+        held = parents.select("ctx", F.explode(F.sequence(F.lit(0), F.lit(base))).alias("d"))
+        states = states.union(held.selectExpr("d", f"(ctx & (shiftleft(1L, {_SHIFT} * d) - 1)) | shiftleft(1L, {_SHIFT} * d) as ctx"))
+    part = dist.join(states.distinct(), ["d", "ctx"], "left_semi").select("d", "ctx", "parent", "tail", "n")
+    return base, materialise(part if entries is None else entries.unionByName(part), "entries")
+
+
+def _entry_keys(ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
+    keys = mix64(ctx.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + sym.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return np.where(keys == 0, np.uint64(1), keys).view(np.int64)
+
+
 class Scorer:
     """States and smoothed log2 probabilities of a tree, for scoring in one process."""
 
-    def __init__(self, d: np.ndarray, ctx: np.ndarray, sym: np.ndarray, n: np.ndarray, depth: int, smoothing: float):
-        self.depth = depth
+    def __init__(self, d: np.ndarray, ctx: np.ndarray, parent: np.ndarray, sym: np.ndarray, n: np.ndarray, base: int, smoothing: float):
+        self.base = base
         order = np.lexsort((sym, ctx, d))
-        d, ctx, sym, n = d[order], ctx[order], sym[order], n[order]
-        first = np.flatnonzero(np.diff(ctx, prepend=-1))
+        d, ctx, parent, sym, n = d[order], ctx[order], parent[order], sym[order], n[order]
+        first = np.flatnonzero(np.diff(ctx, prepend=0) != 0)
         totals = np.add.reduceat(n, first) if len(n) else n
-        keys = (ctx << _SHIFT) | sym
-        prob = np.zeros(len(n))
         each = np.repeat(totals, np.diff(first, append=len(n))) if len(n) else n
-        for level in range(depth + 1):
+        prob = np.zeros(len(n))
+        keys = _entry_keys(ctx, sym)
+        table = Table(keys, np.arange(len(n)))
+        self.deepest = int(d.max(initial=-1))
+        for level in range(self.deepest + 1):
             at = np.flatnonzero(d == level)
-            if not len(at):
-                continue
-            if level == 0:
-                above = 1 / 256
-            else:
-                low = (1 << (_SHIFT * (level - 1))) - 1
-                up = ((((ctx[at] & low) | (low + 1)) << _SHIFT) | sym[at]).astype(np.int64)
-                # Parents are states and have seen all that their children have, so every key is there.
-                before = np.flatnonzero(d == level - 1)
-                above = prob[before[np.searchsorted(keys[before], up)]]
+            # Suffixes of states are states and have seen all that their extensions have, so every key is there.
+            above = prob[table.values[table.find(_entry_keys(parent[at], sym[at]))]] if level else 1 / 256
             prob[at] = (n[at] + smoothing * above) / (each[at] + smoothing)
-        self.states = Table(ctx[first], np.log2(smoothing / (totals + smoothing)).astype(np.float32))
-        self.entries = Table(keys, np.log2(prob).astype(np.float32))
-        levels = np.unique(d)
-        self.levels = [int(x) for x in levels[::-1]]
-
-    @property
-    def nbytes(self) -> int:
-        return sum(x.nbytes for t in (self.states, self.entries) for x in (t.keys, t.values))
-
-    def log2(self, codes: np.ndarray) -> np.ndarray:
-        """log2 of the probability of each gram's last symbol in the longest state that its context ends with."""
-        out = np.full(len(codes), -8.0, dtype=np.float32)
-        todo = np.arange(len(codes))
-        for level in self.levels:
+        self.states = Table(ctx[first], np.log2(smoothing / (totals + smoothing)))
+        self.entries = Table(keys, np.log2(prob))
+
+    def log2(self, own: Positions, which: np.ndarray) -> np.ndarray:
+        """log2 of the probability of each byte at ``which`` in the longest state that its context ends with."""
+        out = np.full(len(which), -8.0)
+        if self.deepest < 0 or not len(which):
+            return out
+        level = np.zeros(len(which), dtype=np.int64)
+        # Suffixes of states are states: a length that is no state ends the search above it. Most are longer than 3.
+        start = min(3, self.deepest, self.base)
+        todo, below = np.arange(len(which)), []
+        for d in range(start, self.deepest + 1):
+            if d > self.base:
+                todo = todo[own.room[which[todo]] >= d]
+            hit = self.states.find(own.names(d, which[todo])) >= 0
+            if d == start:
+                below = todo[~hit]
+            todo = todo[hit]
+            level[todo] = d
             if not len(todo):
                 break
-            bit = 1 << (_SHIFT * level)
-            own = codes[todo]
-            state = self.states.find(((own >> _SHIFT) & (bit - 1)) | bit) if level else np.zeros(len(todo), dtype=np.int64)
-            hit = state >= 0
-            out[todo[hit]] = self._entry(own[hit], level)
-            todo = todo[~hit]
+        for d in range(start - 1, 0, -1):
+            hit = self.states.find(own.names(d, which[below])) >= 0
+            level[below[hit]] = d
+            below = below[~hit]
+        for d in np.unique(level).tolist():
+            at = np.flatnonzero(level == d)
+            out[at] = self._entry(own, which[at], d)
         return out
 
-    def _entry(self, codes: np.ndarray, level: int) -> np.ndarray:
-        bit = 1 << (_SHIFT * level)
-        keys = ((((codes >> _SHIFT) & (bit - 1)) | bit) << _SHIFT) | (codes & _SYMBOL)
-        at = self.entries.find(keys)
+    def _entry(self, own: Positions, which: np.ndarray, d: int) -> np.ndarray:
+        ctx = own.names(d, which)
+        at = self.entries.find(_entry_keys(ctx, own.codes[which] & _SYMBOL))
         out = self.entries.values[at]
         missing = np.flatnonzero(at < 0)  # only in texts that the counts don't cover: the suffix's, discounted
         if len(missing):
-            held = self.states.values[self.states.find(keys[missing] >> _SHIFT)]
-            out[missing] = held + (self._entry(codes[missing], level - 1) if level else np.float32(-8.0))
+            held = self.states.values[self.states.find(ctx[missing])]
+            out[missing] = held + (self._entry(own, which[missing], d - 1) if d else -8.0)
         return out
 
 
-def _score(shared, depth: int):
+def _score(shared, base: int, part: int | None, parts: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = utf8_column(batch.column(1))
-            sums = np.zeros(len(offsets) - 1)
-            for first, last in runs(offsets, _RUN):
-                own = offsets[first : last + 1] - offsets[first]
-                codes = gram_codes(raw[offsets[first] : offsets[last]], own, depth)
-                each = shared.value.log2(codes).astype(np.float64) if len(codes) else np.zeros(0)
+            sizes, sums = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
+            for own, first, last, offsets in _cut(batch.column(1), base):
+                each = np.zeros(len(own.codes))
+                which = np.arange(len(each))
+                if part is not None:
+                    which = which[np.maximum(parts[(own.codes >> _SHIFT) & (_TAILS - 1)], 0) == part]
+                each[which] = shared.value.log2(own, which)
                 total = np.concatenate([[0.0], np.cumsum(each)])
-                sums[first:last] = total[own[1:]] - total[own[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(sums)], names=["doc_id", "n_bytes", "log2_prob"])
+                sums[first:last] = total[offsets[1:]] - total[offsets[:-1]]
+                sizes[first:last] = np.diff(offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums)], names=["id", "n_bytes", "log2_prob"])
 
     return run
 
 
-def _per_doc(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = utf8_column(batch.column(1))
-            for i in range(len(offsets) - 1):
-                one = np.array([0, offsets[i + 1] - offsets[i]])
-                grams, n = np.unique(gram_codes(raw[offsets[i] : offsets[i + 1]], one, depth), return_counts=True)
-                row = pa.array(np.full(len(grams), batch.column(0)[i].as_py(), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([row, pa.array(grams), pa.array(n)], names=["row", "gram", "n"])
+def _scorer(entries: DataFrame, base: int, smoothing: float) -> Scorer:
+    rows = entries.selectExpr("d", "ctx", "coalesce(parent, 0L) as parent", f"{_SYM} as sym", "n").toArrow()
+    return Scorer(*[rows.column(c).to_numpy().astype(np.int64) for c in ("d", "ctx", "parent", "sym", "n")], base, smoothing)
 
-    return run
 
-
-def _score_by_join(docs: DataFrame, grams: DataFrame, entries: DataFrame, depth: int, smoothing: float) -> DataFrame:
-    """As the broadcast way, for trees of any size: log probabilities join the grams of each text."""
-    totals = entries.groupBy("ctx").agg(F.sum("n").alias("total"))
-    known = entries.join(totals, "ctx")
-    probs, levels = None, []
-    for level in range(depth + 1):
-        own = known.where(f"d = {level}")
-        if level == 0:
-            own = own.withColumn("above", F.lit(1 / 256))
-        else:
-            above = probs.select(F.col("ctx").alias("parent"), "sym", F.col("p").alias("above"))
-            own = own.withColumn("parent", F.expr(_PARENT)).join(above, ["parent", "sym"])
-        probs = materialise(own.selectExpr("d", "ctx", "sym", f"(n + {smoothing} * above) / (total + {smoothing}) as p"), "probabilities")
-        levels.append(probs)
-    found = grams.select("gram").withColumn("lp", F.lit(None).cast("double"))
-    for level in range(depth, -1, -1):
-        bit = 1 << (_SHIFT * level)
-        own = levels[level].select(F.expr(f"shiftleft(ctx & {bit - 1}L, {_SHIFT}) | sym").alias("low"), F.log2("p").alias("here"))
-        found = found.withColumn("low", F.expr(f"gram & {(bit << _SHIFT) - 1}L")).join(own, "low", "left").select("gram", F.coalesce("lp", "here").alias("lp"))
-    numbered = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")), "numbered")
-    each = numbered.where("length(text) > 0").select("row", "text").mapInArrow(_per_doc(depth), "row bigint, gram bigint, n bigint")
-    sums = each.join(found, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("lp")).alias("log2_prob"))
-    return numbered.select("row", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")).join(sums, "row", "left").selectExpr("doc_id", "n_bytes", "coalesce(log2_prob, 0D) as log2_prob")
-
-
-def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, smoothing: float = SMOOTHING, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, depth: int | None = None, smoothing: float = SMOOTHING, table_bytes: int = TABLE_BYTES, lookahead: int = LOOKAHEAD) -> DataFrame:
     """Score every document with the suffix tree of the whole table.
 
-    Counts of every byte after every context of up to ``depth`` bytes are gathered over whole texts of all rows;
-    ``retained_contexts`` says which contexts become states. A state's next-byte distribution is smoothed with that of
-    its longest suffix, ``(n + smoothing * above) / (total + smoothing)``, the root's with 1/256. A text's score is the
-    sum over its bytes of log2 of their probability in the longest state that the bytes before end with.
-
-    One row for each row: doc_id, n_bytes, log2_prob, bits_per_byte. Null and empty texts have 0 bytes, score 0 and a
-    null bits_per_byte. Repeated rows are counted and scored as often as they occur; doc_id may be null. An empty table
-    gives no rows; other columns aren't read. States and probabilities are broadcast if their tables take at most
-    ``table_bytes``, else joined to the grams of each text; the results are equal but for rounding to float32.
+    Counts of every byte after every context of up to 5 bytes are gathered over whole texts of all rows. Longer contexts
+    are counted a byte at a time where the suffix of a context is open: where its next bytes vary enough that longer
+    ones could still pass the test, and no more than ``lookahead`` lengths in a row have failed it. The tree grows until
+    no context is open, whatever length that is; ``depth`` bounds it only where one is given (at least 0). ``tested``
+    says which contexts become states; so do the suffixes of one that does. A state's next-byte distribution is
+    smoothed with that of its longest suffix, ``(n + smoothing * above) / (total + smoothing)``, the root's with 1/256.
+    A text's score is the sum over its bytes of log2 of their probability in the longest state that the bytes before
+    end with. Contexts over 5 bytes are known by a 64-bit hash.
+
+    One row for each row: doc_id (of the type it has), n_bytes, log2_prob, bits_per_byte. Null and empty texts have 0
+    bytes, score 0 and a null bits_per_byte. Repeated rows are counted and scored as often as they occur; doc_id may be
+    null. An empty table gives no rows; other columns aren't read. Open contexts and the tree are broadcast if their
+    hash tables take at most ``table_bytes``. Else they are cut by the last two bytes of a context into parts of about
+    that size, with a pass over the texts for each; the results are equal but for the order of a sum.
     """
+    if depth is not None and depth < 0:
+        raise ValueError("depth must be at least 0")
     spark = docs.sparkSession
     small_batches(spark)
-    grams = materialise(gram_counts(docs, depth), "grams")
-    dist = materialise(distributions(grams, depth), "distributions")
-    entries = materialise(dist.join(retained_contexts(dist), ["d", "ctx"], "left_semi"), "states")
-    # 24 bytes for each entry and at most as much for its state: two slots of a key and a value.
-    if entries.count() * 48 <= table_bytes:
-        rows = entries.toArrow()
-        columns = [rows.column(c).to_numpy().astype(np.int64) for c in ("d", "ctx", "sym", "n")]
-        del rows
-        shared = spark.sparkContext.broadcast(Scorer(*columns, depth, smoothing))
-        narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        scored = spread(narrow).mapInArrow(tidy(_score(shared, depth)), "doc_id bigint, n_bytes bigint, log2_prob double")
+    base, entries = grown(docs, depth, lookahead, table_bytes)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    narrow = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    parts = parts_of(_tail_sizes(entries.where("d > 1")), table_bytes / _SLOT) if base > 1 else np.full(_TAILS, -1)
+    many = max(1, int(parts.max(initial=-1)) + 1)
+    if many == 1:
+        shared = spark.sparkContext.broadcast(_scorer(entries, base, smoothing))
+        scored = spread(narrow).mapInArrow(tidy(_score(shared, base, None, None)), f"id {kind}, n_bytes bigint, log2_prob double")
     else:
-        scored = _score_by_join(docs, grams, entries, depth, smoothing)
-    return scored.withColumn("bits_per_byte", F.expr("-log2_prob / nullif(n_bytes, 0)"))
+        numbered = materialise(narrow.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        each = None
+        for part in range(many):
+            own = entries.where((F.col("d") < 2) | F.expr(f"shiftright(tail, {_SHIFT})").isin(np.flatnonzero(parts == part).tolist()))
+            shared = spark.sparkContext.broadcast(_scorer(own, base, smoothing))
+            found = numbered.select("row", "text").mapInArrow(tidy(_score(shared, base, part, parts)), "row bigint, n_bytes bigint, log2_prob double")
+            each = found if each is None else each.union(found)
+        sums = each.groupBy("row").agg(F.max("n_bytes").alias("n_bytes"), F.sum("log2_prob").alias("log2_prob"))
+        scored = numbered.select("row", "id").join(sums, "row")
+    return scored.select(F.col("id").alias("doc_id"), "n_bytes", "log2_prob", F.expr("-log2_prob / nullif(n_bytes, 0)").alias("bits_per_byte"))

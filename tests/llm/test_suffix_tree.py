@@ -1,9 +1,10 @@
+import random
 from collections import Counter, defaultdict
 from math import log, log2
 
 import pytest
 
-from layerlode.llm.suffix_tree import SMOOTHING, suffix_tree_scores
+from layerlode.llm.suffix_tree import BASE, LOOKAHEAD, SMOOTHING, suffix_tree_scores
 
 from tests.llm.conftest import prose
 
@@ -66,3 +67,82 @@ def test_what_is_counted_follows_the_input(spark):
     large = spark.createDataFrame([(i, prose(i, 200)) for i in range(20)], "doc_id bigint, text string")
     total = lambda df: sum(r["n"] for r in gram_counts(df).collect())
     assert total(small) == sum(len(prose(i, 200)) for i in range(5)) and total(large) == sum(len(prose(i, 200)) for i in range(20))
+
+
+def brute_grown(texts, lookahead=LOOKAHEAD):
+    """Scores of the tree that grows a symbol at a time past ``BASE``, by dictionaries; and its longest state."""
+    rows = [[0] + [b + 1 for b in (t or "").encode()] for t in texts]
+    total = sum(len(r) - 1 for r in rows)
+    counts, fails, states, tree = {(): Counter(s for r in rows for s in r[1:])}, {(): 0}, {()}, {()}
+    open_, d = {()}, 0
+    while open_:
+        d += 1
+        level = defaultdict(Counter)
+        for r in rows:
+            for i in range(d, len(r)):  # contexts of up to BASE symbols beyond a text's start say nothing new
+                if tuple(r[i - d + 1 : i]) in open_:
+                    level[tuple(r[i - d : i])][r[i]] += 1
+        open_ = set()
+        for ctx, own in level.items():
+            n, above = sum(own.values()), counts[ctx[1:]]
+            m = sum(above.values())
+            gain = sum(c * log((c / n) / (above[s] / m)) for s, c in own.items())
+            passed = gain >= 0.5 * len(own) * log(total) - 1e-9
+            fails[ctx] = 0 if passed else fails[ctx[1:]] + 1
+            counts[ctx] = own
+            if passed:
+                tree |= {ctx[k:] for k in range(len(ctx) + 1)}
+            varied = n * log(n) - sum(c * log(c) for c in own.values()) >= 0.5 * log(total) - 1e-9
+            if d < BASE or (varied and fails[ctx] <= lookahead):
+                open_.add(ctx)
+
+    def prob(ctx, s):
+        above = prob(ctx[1:], s) if ctx else 1 / 256
+        own = counts[ctx]
+        return (own[s] + SMOOTHING * above) / (sum(own.values()) + SMOOTHING)
+
+    out = []
+    for r in rows:
+        score = 0.0
+        for i in range(1, len(r)):
+            k = 0
+            while k < i and tuple(r[i - k - 1 : i]) in tree:
+                k += 1
+            score += log2(prob(tuple(r[i - k : i]), r[i]))
+        out.append(score)
+    return out, max(map(len, tree))
+
+
+@pytest.mark.parametrize("table_bytes", [1 << 30, 20_000])
+def test_tree_grows_past_the_base_as_far_as_the_test_says(spark, table_bytes):
+    r = random.Random(8)
+    rule = {f"{k:08b}": r.choice("01") for k in range(256)}
+    made = []
+    for _ in range(20):  # the next digit hangs on the eight before it
+        text = "".join(r.choices("01", k=8))
+        while len(text) < 800:
+            text += rule[text[-8:]] if r.random() < 0.9 else r.choice("01")
+        made.append(text)
+    texts = [*made, *[prose(i, 60, 12) for i in range(10)], made[0], "é", "", None]
+    want, deepest = brute_grown(texts)
+    assert deepest > BASE + 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["log2_prob"] for r in suffix_tree_scores(df, table_bytes=table_bytes).collect()}
+    for i, score in enumerate(want):
+        assert got[i] == pytest.approx(score, rel=1e-10, abs=1e-9)
+
+
+def test_parts_of_the_tree_change_no_score(spark):
+    texts = [prose(i, 100, 20) for i in range(30)]
+    df = spark.createDataFrame([(f"id{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    one, many = [{r["doc_id"]: r["log2_prob"] for r in suffix_tree_scores(df, table_bytes=b).collect()} for b in (1 << 30, 3000)]
+    assert one.keys() == many.keys() and all(many[k] == pytest.approx(v, rel=1e-12) for k, v in one.items())
+
+
+def test_depth_is_a_bound_only_where_given(spark):
+    texts = [prose(i, 60, 30) for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for depth in (0, 1, 7):
+        assert all(r["log2_prob"] < 0 for r in suffix_tree_scores(df, depth=depth).collect())
+    with pytest.raises(ValueError):
+        suffix_tree_scores(df, depth=-1)
