@@ -14,12 +14,12 @@ from layerlode.llm.common import materialise, mix64, power_tables, runs, small_b
 
 #: Contexts of up to so many bytes are all counted; longer ones where a shorter one is open. Weight of the parent's
 #: distribution in smoothing, in observations. Lengths in a row that may fail the test before growth along them ends.
-BASE, SMOOTHING, LOOKAHEAD = 5, 4.0, 1
+BASE, SMOOTHING, LOOKAHEAD = 5, 4.0, 0
 #: Hash tables of at most so many bytes are broadcast; larger ones in parts, a pass over the texts for each.
 TABLE_BYTES = 128 << 20
 _SHIFT, _SYMBOL = 9, (1 << 9) - 1
-_TAIL = (1 << (3 * _SHIFT)) - 1  # the next symbol and the two before it
-_TAILS = 1 << (2 * _SHIFT)
+_TAILS = 1 << (2 * _SHIFT)  # pairs of symbols
+_FILTER_BITS = 22
 _RUN = 1 << 20
 _FLUSH = 1 << 21
 #: Bytes of a slot, and slots for an entry at most.
@@ -37,10 +37,10 @@ def _padded(raw: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarra
 
 
 def _codes(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    codes = padded[at]
+    codes = padded[depth:].copy()
     for k in range(1, depth + 1):
-        codes |= padded[at - k] << (_SHIFT * k)
-    return codes
+        codes |= padded[depth - k : len(padded) - k] << (_SHIFT * k)
+    return codes[at - depth]
 
 
 def gram_codes(raw: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
@@ -152,30 +152,34 @@ def gram_counts(docs: DataFrame, depth: int = BASE) -> DataFrame:
 
 def distributions(grams: DataFrame, depth: int = BASE) -> DataFrame:
     """(d, ctx, parent, tail, n) for every context of 0 to ``depth`` symbols. ctx has a 1 bit above its symbols; tail is
-    the next symbol with up to two before it."""
+    the next symbol, lowest, with those before it."""
     own = grams.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"), "gram", "n")
-    own = own.selectExpr("d", f"(shiftright(gram, {_SHIFT}) & (shiftleft(1L, {_SHIFT} * d) - 1)) | shiftleft(1L, {_SHIFT} * d) as ctx", f"cast(gram & (shiftleft(1L, {_SHIFT} * (least(d, 2) + 1)) - 1) as int) as tail", "n")
-    parent = f"case when d > 0 then (ctx & (shiftleft(1L, {_SHIFT} * (d - 1)) - 1)) | shiftleft(1L, {_SHIFT} * (d - 1)) end"
-    return own.groupBy("d", "ctx", "tail").agg(F.sum("n").alias("n")).selectExpr("d", "ctx", parent + " as parent", "tail", "n")
+    own = own.selectExpr("d", f"gram & (shiftleft(1L, {_SHIFT} * (d + 1)) - 1) as tail", "n").groupBy("d", "tail").agg(F.sum("n").alias("n"))
+    ctx = f"shiftright(tail, {_SHIFT}) | shiftleft(1L, {_SHIFT} * d)"
+    parent = f"case when d > 0 then (shiftright(tail, {_SHIFT}) & (shiftleft(1L, {_SHIFT} * (d - 1)) - 1)) | shiftleft(1L, {_SHIFT} * (d - 1)) end"
+    return own.selectExpr("d", f"{ctx} as ctx", f"{parent} as parent", "tail", "n")
 
 
-_SYM = f"tail & {_SYMBOL}"
+_SYM = f"cast(tail & {_SYMBOL} as int)"
+_PAIR = f"cast(shiftright(tail, {_SHIFT}) & {_TAILS - 1} as int)"
 
 
 def tested(rows: DataFrame, above: DataFrame, half_log: float) -> DataFrame:
-    """(ctx, parent, total, passed, varied) of the contexts in ``rows(ctx, parent, tail, n)``; ``above(ctx, tail, n)`` has
-    the distributions of their longest suffixes.
+    """(ctx, d, parent, tail, total, fails, varied) of the contexts in ``rows(d, ctx, parent, tail, n)``; ``above(ctx, sym, n,
+    total, fails)`` has the distributions of their longest suffixes.
 
     A context passes if its count times the Kullback-Leibler divergence (nats) from its suffix reaches ``half_log``
-    times its successors, the Bayesian information criterion. It is varied if its count times its entropy reaches
-    ``half_log``: for no longer context can the same product, nor count times divergence, be larger.
+    times its successors, the Bayesian information criterion; ``fails`` is 0 then, else one more than its suffix's. It is
+    varied if its count times its entropy reaches ``half_log``: for no longer context can the same product, nor count
+    times divergence, be larger.
     """
-    up = above.selectExpr("ctx as parent", f"{_SYM} as sym", "n as pn")
-    sums = rows.selectExpr("ctx", "parent", f"{_SYM} as sym", "n").join(up, ["parent", "sym"]).groupBy("ctx", "parent")
-    sums = sums.agg(F.sum(F.expr("n * ln(n / pn)")).alias("a"), F.sum("n").alias("total"), F.count("*").alias("k"), F.sum(F.expr("n * ln(n)")).alias("nl"))
-    totals = above.groupBy(F.col("ctx").alias("parent")).agg(F.sum("n").alias("ptotal"))
-    out = sums.join(totals, "parent")
-    return out.selectExpr("ctx", "parent", "total", f"a + total * ln(ptotal / total) >= {half_log!r}D * k as passed", f"total * ln(total) - nl >= {half_log!r}D as varied")
+    up = above.selectExpr("ctx as parent", "sym", "n as pn", "total as ptotal", "fails as before")
+    sums = rows.selectExpr("d", "ctx", "parent", "tail", f"{_SYM} as sym", "n").join(up, ["parent", "sym"]).groupBy("ctx")
+    sums = sums.agg(
+        F.first("d").alias("d"), F.first("parent").alias("parent"), F.max("tail").alias("tail"), F.first("ptotal").alias("ptotal"), F.first("before").alias("before"),
+        F.sum(F.expr("n * ln(n / pn)")).alias("a"), F.sum("n").alias("total"), F.count("*").alias("k"), F.sum(F.expr("n * ln(n)")).alias("nl"),
+    )
+    return sums.selectExpr("ctx", "d", "parent", "tail", "total", f"if(a + total * ln(ptotal / total) >= {half_log!r}D * k, 0, before + 1) as fails", f"total * ln(total) - nl >= {half_log!r}D as varied")
 
 
 class Table:
@@ -234,46 +238,68 @@ def parts_of(sizes: np.ndarray, limit: float) -> np.ndarray:
 def _tail_sizes(rows: DataFrame) -> np.ndarray:
     """How many ``rows`` each pair of symbols at the end of a context has; at most 2^18 pairs."""
     sizes = np.zeros(_TAILS)
-    for r in rows.groupBy(F.expr(f"shiftright(tail, {_SHIFT})").alias("t")).count().toLocalIterator():
+    for r in rows.groupBy(F.expr(_PAIR).alias("t")).count().collect():
         sizes[r["t"]] = r["count"]
     return sizes
 
 
+def _of_part(rows: DataFrame, parts: np.ndarray, part: int) -> DataFrame:
+    return rows.where(F.expr(_PAIR).isin(np.flatnonzero(parts == part).tolist()))
+
+
+def _slots(codes: np.ndarray) -> np.ndarray:
+    return ((codes >> _SHIFT).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _FILTER_BITS)).view(np.int64)
+
+
+class Open:
+    """Names of contexts, behind a filter on the symbols at their end that spares most positions the look-up."""
+
+    def __init__(self, ctx: np.ndarray, tail: np.ndarray):
+        self.names = Table(ctx)
+        self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
+        self.filter[_slots(tail)] = True
+
+
 def _extend(shared, base: int, d: int, part: int | None, parts: np.ndarray | None):
-    """Counts of the contexts of length ``d`` whose suffix is in the shared table."""
+    """Counts of the contexts of length ``d`` whose suffix is open."""
 
     def sort(c: list[np.ndarray]) -> np.ndarray:
-        return np.argsort(c[0] ^ (c[2] & _SYMBOL).astype(np.int64) * -0x61C8864680B583EB)
+        return np.argsort(c[0] ^ (c[2] & _SYMBOL) * -0x61C8864680B583EB)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums(["ctx", "parent", "tail", "n"], sort)
         for batch in batches:
             for own, *_ in _cut(batch.column(0), base):
-                at = np.flatnonzero(own.room >= d)
+                at = np.flatnonzero(shared.value.filter[_slots(own.codes)] & (own.room >= d))
                 if part is not None:
                     at = at[parts[(own.codes[at] >> _SHIFT) & (_TAILS - 1)] == part]
                 parent = own.names(d - 1, at)
-                held = shared.value.find(parent) >= 0
+                held = shared.value.names.find(parent) >= 0
                 at, parent = at[held], parent[held]
-                yield from sums.add(own.names(d, at), parent, (own.codes[at] & _TAIL).astype(np.int32), np.ones(len(at), dtype=np.int64))
+                yield from sums.add(own.names(d, at), parent, own.codes[at], np.ones(len(at), dtype=np.int64))
         yield from sums.rest()
 
     return run
 
 
 def _longer(texts: DataFrame, open_: DataFrame, base: int, d: int, table_bytes: int) -> DataFrame:
-    """(ctx, parent, tail, n) of the contexts of length ``d`` with a suffix in ``open_(ctx, tail)``."""
+    """(d, ctx, parent, tail, n) of the contexts of length ``d`` with a suffix in ``open_(ctx, tail)``."""
     spark = texts.sparkSession
-    sizes = _tail_sizes(open_)
-    parts = parts_of(sizes, table_bytes / _SLOT)
+    parts = parts_of(_tail_sizes(open_), table_bytes / _SLOT)
     many = int(parts.max(initial=-1)) + 1
     out = None
     for part in range(many):
-        own = open_ if many == 1 else open_.where(F.expr(f"shiftright(tail, {_SHIFT})").isin(np.flatnonzero(parts == part).tolist()))
-        shared = spark.sparkContext.broadcast(Table(own.select("ctx").toArrow().column(0).to_numpy().astype(np.int64)))
-        found = texts.mapInArrow(tidy(_extend(shared, base, d, part if many > 1 else None, parts if many > 1 else None)), "ctx bigint, parent bigint, tail int, n bigint")
+        own = (open_ if many == 1 else _of_part(open_, parts, part)).select("ctx", "tail").toArrow()
+        shared = spark.sparkContext.broadcast(Open(own.column(0).to_numpy().astype(np.int64), own.column(1).to_numpy().astype(np.int64)))
+        found = texts.mapInArrow(tidy(_extend(shared, base, d, part if many > 1 else None, parts if many > 1 else None)), "ctx bigint, parent bigint, tail bigint, n bigint")
         out = found if out is None else out.union(found)
-    return out.groupBy("ctx", "parent", "tail").agg(F.sum("n").alias("n"))
+    return out.groupBy("ctx", "parent", "tail").agg(F.sum("n").alias("n")).select(F.lit(d).alias("d"), "ctx", "parent", "tail", "n")
+
+
+def _shorter(own: DataFrame) -> DataFrame:
+    """(d, ctx): packed contexts ``own(d, ctx)`` with all their suffixes."""
+    every = own.select("ctx", F.explode(F.expr("sequence(0, d)")).alias("d"))
+    return every.selectExpr("d", f"(ctx & (shiftleft(1L, {_SHIFT} * d) - 1)) | shiftleft(1L, {_SHIFT} * d) as ctx").distinct()
 
 
 def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD, table_bytes: int = TABLE_BYTES) -> tuple[int, DataFrame]:
@@ -282,43 +308,42 @@ def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD,
     dist = materialise(distributions(materialise(gram_counts(docs, base), "grams"), base), "distributions")
     total = dist.where("d = 0").agg(F.sum("n")).first()[0] or 0
     half = 0.5 * float(np.log(max(total, 1)))
-    low = materialise(tested(dist.where("d > 0"), dist, half).join(dist.select("ctx", "d", "tail").groupBy("ctx", "d").agg(F.max("tail").alias("tail")), "ctx"), "tested")
-    root = dist.where("d = 0").select("d", "ctx")
-    passed = low.where("passed").select("ctx", F.explode(F.expr("sequence(0, d)")).alias("d"))
-    states = passed.selectExpr("d", f"(ctx & (shiftleft(1L, {_SHIFT} * d) - 1)) | shiftleft(1L, {_SHIFT} * d) as ctx").union(root)
+    sums = dist.groupBy("ctx").agg(F.sum("n").alias("total"))
+    above = dist.where(f"d < {base}").join(sums, "ctx").selectExpr("ctx", f"{_SYM} as sym", "n", "total", "0 as fails")
+    low = materialise(tested(dist.where("d > 0"), above, half), "tested")  # fails: whether a context itself does
+    ends = low.where("fails = 0").select("d", "ctx").union(dist.where("d = 0").select("d", "ctx").distinct())
     # Runs of failing lengths: of a context at the base and of its suffixes.
-    last = low.where(f"d = {base}").selectExpr("ctx", "parent", "tail", "passed", "varied", "parent as up", "if(passed, 0, 1) as fails", "passed as done")
-    for k in range(1, lookahead + 1 if base > 1 else 1):
-        suffix = low.selectExpr("ctx as up", "parent as next", "passed as here")
-        last = last.join(suffix, "up", "left").selectExpr("ctx", "parent", "tail", "passed", "varied", "next as up", f"if(done or coalesce(here, true), fails, {k + 1}) as fails", "done or coalesce(here, true) as done")
+    last = low.where(f"d = {base} and varied").selectExpr("ctx", "tail", "total", "parent as up", "fails", "fails = 0 as done")
+    for _ in range(lookahead if base > 1 else 0):
+        suffix = low.selectExpr("ctx as up", "parent as next", "fails as more")
+        last = last.join(suffix, "up", "left").selectExpr("ctx", "tail", "total", "next as up", "if(done, fails, fails + coalesce(more, 0)) as fails", "done or coalesce(more, 0) = 0 as done")
     levels: list[tuple[int, DataFrame, DataFrame]] = []
-    texts = _texts(docs) if base else None
-    open_ = materialise(last.where(f"varied and fails <= {lookahead}").select("ctx", "tail", "fails"), "open")
-    above = dist.where(f"d = {base}").select("ctx", "tail", "n")
-    d = base
-    while (depth is None or d < depth) and base and not open_.isEmpty():
+    texts = _texts(docs)
+    open_ = last.where(f"fails <= {lookahead}").select("ctx", "tail", "total", "fails")
+    rows, d = dist.where(f"d = {base}"), base
+    while base and (depth is None or d < depth):
+        open_ = materialise(open_, "open")
+        if open_.isEmpty():
+            break
         d += 1
+        above = rows.join(open_.select("ctx", "total", "fails"), "ctx").selectExpr("ctx", f"{_SYM} as sym", "n", "total", "fails")
         rows = materialise(_longer(texts, open_, base, d, table_bytes), "level")
-        found = tested(rows, above.join(open_.select("ctx"), "ctx", "left_semi"), half).join(open_.selectExpr("ctx as parent", "fails as before"), "parent")
-        tails = rows.groupBy("ctx").agg(F.max("tail").alias("tail"))
-        found = materialise(found.join(tails, "ctx").selectExpr("ctx", "parent", "tail", "passed", "varied", "if(passed, 0, before + 1) as fails"), "tested")
+        found = materialise(tested(rows, above, half), "tested")
         levels.append((d, rows, found))
-        open_ = found.where(f"varied and fails <= {lookahead}").select("ctx", "tail", "fails")
-        above = rows.select("ctx", "tail", "n")
+        open_ = found.where(f"varied and fails <= {lookahead}").select("ctx", "tail", "total", "fails")
     # Suffixes of states are states: from the longest down.
     parents, entries = None, None
     for d, rows, found in reversed(levels):
-        own = found.where("passed").select("ctx", "parent")
-        if parents is not None:
-            own = own.union(found.select("ctx", "parent").join(parents, "ctx", "left_semi"))
-        own = materialise(own.distinct(), "states")
-        part = rows.join(own.select("ctx"), "ctx", "left_semi").select(F.lit(d).alias("d"), "ctx", "parent", "tail", "n")
+        own = found.where("fails = 0").select("ctx", "parent")
+        if parents is not None and lookahead:
+            own = own.union(found.select("ctx", "parent").join(parents, "ctx", "left_semi")).distinct()
+        own = materialise(own, "states") if lookahead else own
+        part = rows.join(own.select("ctx"), "ctx", "left_semi").select("d", "ctx", "parent", "tail", "n")
         entries = part if entries is None else entries.unionByName(part)
         parents = own.select(F.col("parent").alias("ctx")).distinct()
     if parents is not None:
-        held = parents.select("ctx", F.explode(F.sequence(F.lit(0), F.lit(base))).alias("d"))
-        states = states.union(held.selectExpr("d", f"(ctx & (shiftleft(1L, {_SHIFT} * d) - 1)) | shiftleft(1L, {_SHIFT} * d) as ctx"))
-    part = dist.join(states.distinct(), ["d", "ctx"], "left_semi").select("d", "ctx", "parent", "tail", "n")
+        ends = ends.union(parents.select(F.lit(base).alias("d"), "ctx"))
+    part = dist.join(_shorter(ends), ["d", "ctx"], "left_semi").select("d", "ctx", "parent", "tail", "n")
     return base, materialise(part if entries is None else entries.unionByName(part), "entries")
 
 
@@ -416,8 +441,8 @@ def suffix_tree_scores(docs: DataFrame, depth: int | None = None, smoothing: flo
 
     Counts of every byte after every context of up to 5 bytes are gathered over whole texts of all rows. Longer contexts
     are counted a byte at a time where the suffix of a context is open: where its next bytes vary enough that longer
-    ones could still pass the test, and no more than ``lookahead`` lengths in a row have failed it. The tree grows until
-    no context is open, whatever length that is; ``depth`` bounds it only where one is given (at least 0). ``tested``
+    ones could still pass the test, and no more than ``lookahead`` lengths in a row have failed it (0: a context is
+    extended while it passes). The tree grows until no context is open, whatever length that is; ``depth`` bounds it only where one is given (at least 0). ``tested``
     says which contexts become states; so do the suffixes of one that does. A state's next-byte distribution is
     smoothed with that of its longest suffix, ``(n + smoothing * above) / (total + smoothing)``, the root's with 1/256.
     A text's score is the sum over its bytes of log2 of their probability in the longest state that the bytes before
@@ -445,7 +470,7 @@ def suffix_tree_scores(docs: DataFrame, depth: int | None = None, smoothing: flo
         numbered = materialise(narrow.withColumn("row", F.monotonically_increasing_id()), "numbered")
         each = None
         for part in range(many):
-            own = entries.where((F.col("d") < 2) | F.expr(f"shiftright(tail, {_SHIFT})").isin(np.flatnonzero(parts == part).tolist()))
+            own = entries.where("d < 2").unionByName(_of_part(entries.where("d > 1"), parts, part))
             shared = spark.sparkContext.broadcast(_scorer(own, base, smoothing))
             found = numbered.select("row", "text").mapInArrow(tidy(_score(shared, base, part, parts)), "row bigint, n_bytes bigint, log2_prob double")
             each = found if each is None else each.union(found)
