@@ -2,140 +2,131 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerlode.functions.partitions import spread
-from layerlode.llm.common import materialise, mix64, power_tables, runs, small_batches, tidy, utf8_column
+from layerlode.llm.common import materialise, mix64, runs, small_batches, tidy
 
 #: Contexts of up to so many bytes are all counted; longer ones where a shorter one is open. Weight of the parent's
 #: distribution in smoothing, in observations. Lengths in a row that may fail the test before growth along them ends.
 BASE, SMOOTHING, LOOKAHEAD = 5, 4.0, 0
 #: Hash tables of at most so many bytes are broadcast; larger ones in parts, a pass over the texts for each.
 TABLE_BYTES = 128 << 20
-_SHIFT, _SYMBOL = 9, (1 << 9) - 1
-_TAILS = 1 << (2 * _SHIFT)  # pairs of symbols
+#: The symbol before a text is a byte that UTF-8 has no use for.
+_START = 0xFF
+_PAD = b"\xff" * 8
+_TAILS = 1 << 16  # pairs of symbols
 _FILTER_BITS = 22
-_RUN = 1 << 20
-_FLUSH = 1 << 21
+_RUN, _FLUSH = 1 << 20, 1 << 20
 #: Bytes of a slot, and slots for an entry at most.
 _SLOT = 16 * 3
+#: Lengths counted in one pass where the open contexts hold at most such a share of all bytes.
+_STEPS = ((0.002, 16), (0.02, 4), (1.0, 1))
+_K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
-def _padded(raw: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols with ``depth`` zeros before each text and at the end, where each byte is in them). Byte b is symbol b + 1."""
-    lengths = np.diff(offsets)
-    at = np.arange(len(raw)) + np.repeat(np.arange(1, len(lengths) + 1) * depth, lengths)
-    padded = np.zeros(len(raw) + depth * (len(lengths) + 1), dtype=np.int64)
-    padded[at] = raw
-    padded[at] += 1
-    return padded, at
-
+class Positions:
+    """The bytes of some texts, each text behind 8 bytes ``_START``, with names for the contexts before them.
 
-def _codes(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    codes = padded[depth:].copy()
-    for k in range(1, depth + 1):
-        codes |= padded[depth - k : len(padded) - k] << (_SHIFT * k)
-    return codes[at - depth]
+    A context of up to ``base`` symbols is named by its symbols, packed, with a 1 bit above them; a longer one by a 64-bit
+    hash of its symbols and length. ``grams``: each byte, lowest, with the 7 symbols before it; ``own``: those of texts.
+    """
 
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, base: int):
+        self.base, self.starts = base, starts
+        self._words = np.ndarray((len(raw) - 7,), ">u8", buffer=raw, strides=(1,))
+        self.grams = self._words.astype(np.uint64)
+        self.bytes = raw[7:]
+        self._first: np.ndarray | None = None
 
-def gram_codes(raw: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
-    """For each byte, itself and the ``depth`` symbols before it in its text, packed by 9 bits, itself lowest.
+    def texts(self) -> np.ndarray:
+        return np.flatnonzero(self.bytes != _START)
 
-    Symbol 0 stands before the start of a text, byte b is symbol b + 1.
-    """
-    return _codes(*_padded(raw, offsets, depth), depth)
+    def room(self, at: np.ndarray, d: int) -> np.ndarray:
+        """Whether positions ``at`` are bytes of texts with ``d`` symbols before them, one of them being that before their text."""
+        if self._first is None:
+            self._first = np.repeat((self.starts[:-1] + 1).astype(np.int32), np.diff(self.starts))[7:]
+        return (self.bytes[at] != _START) & (at - self._first[at] + 1 >= d)
 
+    def names(self, d: int, at: np.ndarray) -> np.ndarray:
+        """Of the contexts of length ``d``; beyond ``base`` there must be room for them."""
+        if d <= self.base:
+            return packed(self.grams[at], d)
+        name = np.full(len(at), d, dtype=np.uint64)
+        for k in range(0, d, 8):
+            word = self._words[at - (k + 1)].astype(np.uint64)
+            if d - k < 8:
+                word &= np.uint64((1 << 8 * (d - k)) - 1)
+            name = mix64(name * _K[0] ^ word)
+        return np.where(name == 0, np.uint64(1), name).view(np.int64)
 
-class Positions:
-    """The bytes of some texts with names for the contexts before them.
 
-    A context of up to ``base`` symbols is named by its symbols, packed, with a 1 bit above them; a longer one by a 64-bit
-    hash of its symbols and length. No context reaches beyond the one symbol 0 before its text.
-    """
+def packed(grams: np.ndarray, d: int) -> np.ndarray:
+    bit = np.uint64(1 << 8 * d)
+    return ((grams >> np.uint64(8) & (bit - np.uint64(1))) | bit).view(np.int64)
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, base: int):
-        self.base = base
-        padded, self.at = _padded(raw, offsets, max(base, 1))
-        self.codes = _codes(padded, self.at, base)
-        self.room = np.arange(1, len(raw) + 1) - np.repeat(offsets[:-1] - offsets[0], np.diff(offsets))
-        self._symbols, self._sums, self._down = padded, None, None
 
-    def names(self, d: int, which: np.ndarray | slice = slice(None)) -> np.ndarray:
-        """Of the contexts of length ``d``, which must be at most ``room`` where it is over ``base``."""
-        if d <= self.base:
-            bit = 1 << (_SHIFT * d)
-            return ((self.codes[which] >> _SHIFT) & (bit - 1)) | bit
-        if self._sums is None:
-            up, self._down = power_tables(len(self._symbols) + 1)
-            self._sums = np.zeros(len(self._symbols) + 1, dtype=np.uint64)
-            np.cumsum((self._symbols + 1).astype(np.uint64) * up[: len(self._symbols)], out=self._sums[1:])
-        at = self.at[which]
-        hashed = mix64((self._sums[at] - self._sums[at - d]) * self._down[at - d] + np.uint64(d) * np.uint64(0xD6E8FEB86659FD93))
-        return np.where(hashed == 0, np.uint64(1), hashed).view(np.int64)
-
-
-def _cut(batch_column, base: int) -> Iterator[tuple[Positions, int, int, np.ndarray]]:
+def _cut(column: pa.Array, base: int) -> Iterator[tuple[Positions, int, int]]:
     """Positions of runs of about 1 MB of texts, with the rows that they cover."""
-    raw, offsets = utf8_column(batch_column)
+    column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
+    joined = pc.binary_join_element_wise(pa.scalar(_PAD, pa.large_binary()), column, pa.scalar(b"", pa.large_binary()))
+    _, offsets, data = joined.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     for first, last in runs(offsets, _RUN):
-        own = offsets[first : last + 1] - offsets[first]
-        yield Positions(raw[offsets[first] : offsets[last]], own, base), first, last, own
-
-
-def _merged(columns: list[np.ndarray], order: np.ndarray) -> list[np.ndarray]:
-    """Rows in ``order`` with equal neighbours made one; the last column is summed."""
-    *keys, n = [c[order] for c in columns]
-    if not len(n):
-        return [*keys, n]
-    new = np.zeros(len(n), dtype=bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    first = np.flatnonzero(new)
-    return [*[k[first] for k in keys], np.add.reduceat(n, first)]
+        yield Positions(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], base), first, last
 
 
 class _Sums:
-    """Rows of names and counts that are added up before they leave a task; never more than a few million are held."""
+    """Counted rows that are added up by key before they leave a task; never more than about a million are held."""
 
-    def __init__(self, names: list[str], sort: Callable[[list[np.ndarray]], np.ndarray]):
-        self.names, self.sort, self.held, self.rows, self.base = names, sort, [], 0, 0
+    def __init__(self, names: list[str]):
+        self.names, self.held, self.rows, self.base = names, [], 0, 0
 
-    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        own = _merged(list(columns), self.sort(list(columns)))
-        self.held.append(own)
-        self.rows += len(own[0])
-        if self.rows > 2 * self.base + _FLUSH // 2:
+    def add(self, key: np.ndarray, n: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows with different keys in rising order."""
+        self.held.append((key, n, columns))
+        self.rows += len(key)
+        if self.rows > self.base + _FLUSH:
             self._unite()
             if self.rows > _FLUSH:
                 yield from self.rest()
 
     def _unite(self) -> None:
-        every = [np.concatenate(c) for c in zip(*self.held, strict=True)]
-        self.held = [_merged(every, self.sort(every))]
-        self.rows = self.base = len(self.held[0][0])
+        key, n = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        chosen = order[first]
+        columns = tuple(np.concatenate(c)[chosen] for c in zip(*[h[2] for h in self.held], strict=True))
+        self.held = [(key[first], np.add.reduceat(n[order], first) if len(key) else n, columns)]
+        self.rows = self.base = len(first)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.rows:
             self._unite()
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self.held[0]], names=self.names)
+            key, n, columns = self.held[0]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ((*columns, n) if columns else (key, n))], names=self.names)
         self.held, self.rows, self.base = [], 0, 0
 
 
 def _count(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(["gram", "n"], lambda c: np.argsort(c[0], kind="stable"))
+        sums = _Sums(["gram", "n"])
         for batch in batches:
-            raw, offsets = utf8_column(batch.column(0))
-            for first, last in runs(offsets, _RUN):
-                own = np.sort(gram_codes(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], depth))
-                at = np.flatnonzero(np.diff(own, prepend=-1))
-                yield from sums.add(own[at], np.diff(at, append=len(own)))
+            for own, *_ in _cut(batch.column(0), depth):
+                grams = own.grams & np.uint64((1 << 8 * (depth + 1)) - 1)
+                grams.sort()
+                at = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+                n, grams = np.diff(at, append=len(grams)), grams[at]
+                held = grams & np.uint64(255) != _START
+                yield from sums.add(grams[held].view(np.int64), n[held])
         yield from sums.rest()
 
     return run
@@ -154,14 +145,13 @@ def distributions(grams: DataFrame, depth: int = BASE) -> DataFrame:
     """(d, ctx, parent, tail, n) for every context of 0 to ``depth`` symbols. ctx has a 1 bit above its symbols; tail is
     the next symbol, lowest, with those before it."""
     own = grams.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"), "gram", "n")
-    own = own.selectExpr("d", f"gram & (shiftleft(1L, {_SHIFT} * (d + 1)) - 1) as tail", "n").groupBy("d", "tail").agg(F.sum("n").alias("n"))
-    ctx = f"shiftright(tail, {_SHIFT}) | shiftleft(1L, {_SHIFT} * d)"
-    parent = f"case when d > 0 then (shiftright(tail, {_SHIFT}) & (shiftleft(1L, {_SHIFT} * (d - 1)) - 1)) | shiftleft(1L, {_SHIFT} * (d - 1)) end"
-    return own.selectExpr("d", f"{ctx} as ctx", f"{parent} as parent", "tail", "n")
+    own = own.selectExpr("d", "gram & (shiftleft(1L, 8 * (d + 1)) - 1) as tail", "n").groupBy("d", "tail").agg(F.sum("n").alias("n"))
+    parent = "case when d > 0 then (shiftright(tail, 8) & (shiftleft(1L, 8 * (d - 1)) - 1)) | shiftleft(1L, 8 * (d - 1)) end"
+    return own.selectExpr("d", "shiftright(tail, 8) | shiftleft(1L, 8 * d) as ctx", f"{parent} as parent", "tail", "n")
 
 
-_SYM = f"cast(tail & {_SYMBOL} as int)"
-_PAIR = f"cast(shiftright(tail, {_SHIFT}) & {_TAILS - 1} as int)"
+_SYM = "cast(tail & 255 as int)"
+_PAIR = f"cast(shiftright(tail, 8) & {_TAILS - 1} as int)"
 
 
 def tested(rows: DataFrame, above: DataFrame, half_log: float) -> DataFrame:
@@ -247,65 +237,82 @@ def _of_part(rows: DataFrame, parts: np.ndarray, part: int) -> DataFrame:
     return rows.where(F.expr(_PAIR).isin(np.flatnonzero(parts == part).tolist()))
 
 
-def _slots(codes: np.ndarray) -> np.ndarray:
-    return ((codes >> _SHIFT).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _FILTER_BITS)).view(np.int64)
+def _slots(grams: np.ndarray, base: int) -> np.ndarray:
+    """Where the last ``base`` symbols of a context are in the filter."""
+    return ((grams << np.uint64(56 - 8 * base) >> np.uint64(64 - 8 * base)) * _K[0] >> np.uint64(64 - _FILTER_BITS)).view(np.int64)
 
 
 class Open:
     """Names of contexts, behind a filter on the symbols at their end that spares most positions the look-up."""
 
-    def __init__(self, ctx: np.ndarray, tail: np.ndarray):
+    def __init__(self, ctx: np.ndarray, tail: np.ndarray, base: int):
         self.names = Table(ctx)
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.filter[_slots(tail)] = True
+        self.filter[_slots(tail.view(np.uint64), base)] = True
 
 
-def _extend(shared, base: int, d: int, part: int | None, parts: np.ndarray | None):
-    """Counts of the contexts of length ``d`` whose suffix is open."""
+def _pairs(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(8) & np.uint64(_TAILS - 1)).view(np.int64)
 
-    def sort(c: list[np.ndarray]) -> np.ndarray:
-        return np.argsort(c[0] ^ (c[2] & _SYMBOL) * -0x61C8864680B583EB)
+
+def _extend(shared, base: int, d: int, steps: int, part: int | None, parts: np.ndarray | None):
+    """Counts of the contexts of lengths from ``d`` on, ``steps`` of them, whose suffix of length ``d - 1`` is open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(["ctx", "parent", "tail", "n"], sort)
+        sums = _Sums(["d", "ctx", "parent", "tail", "n"])
+        low = np.uint64((1 << 8 * (base + 1)) - 1)
         for batch in batches:
             for own, *_ in _cut(batch.column(0), base):
-                at = np.flatnonzero(shared.value.filter[_slots(own.codes)] & (own.room >= d))
+                at = np.flatnonzero(shared.value.filter[_slots(own.grams, base)])
                 if part is not None:
-                    at = at[parts[(own.codes[at] >> _SHIFT) & (_TAILS - 1)] == part]
+                    at = at[parts[_pairs(own.grams[at])] == part]
+                at = at[own.room(at, d)]
                 parent = own.names(d - 1, at)
-                held = shared.value.names.find(parent) >= 0
+                held = np.flatnonzero(shared.value.names.find(parent) >= 0)
                 at, parent = at[held], parent[held]
-                yield from sums.add(own.names(d, at), parent, own.codes[at], np.ones(len(at), dtype=np.int64))
+                for level in range(d, d + steps):
+                    if level > d:
+                        at = at[own.room(at, level)]
+                        parent = own.names(level - 1, at)
+                    if not len(at):
+                        break
+                    # One more symbol before the suffix, and the next one, tell the rows of a level apart.
+                    key = parent.view(np.uint64) * _K[0] + (own.bytes[at - level].astype(np.uint64) << np.uint64(8) | own.bytes[at]) * _K[1] + np.uint64(level)
+                    order = np.argsort(key)
+                    key = key[order]
+                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    one = order[first]
+                    tail = (own.grams[at[one]] & low).view(np.int64)
+                    yield from sums.add(key[first], np.diff(first, append=len(key)), np.full(len(one), level, dtype=np.int32), own.names(level, at[one]), parent[one], tail)
         yield from sums.rest()
 
     return run
 
 
-def _longer(texts: DataFrame, open_: DataFrame, base: int, d: int, table_bytes: int) -> DataFrame:
-    """(d, ctx, parent, tail, n) of the contexts of length ``d`` with a suffix in ``open_(ctx, tail)``."""
+def _longer(texts: DataFrame, open_: DataFrame, many_open: int, base: int, d: int, steps: int, table_bytes: int) -> DataFrame:
+    """(d, ctx, parent, tail, n) of the contexts of ``steps`` lengths from ``d`` on with a suffix in ``open_(ctx, tail)``."""
     spark = texts.sparkSession
-    parts = parts_of(_tail_sizes(open_), table_bytes / _SLOT)
+    parts = parts_of(_tail_sizes(open_), table_bytes / _SLOT) if many_open * _SLOT > table_bytes else np.zeros(1, dtype=np.int32)
     many = int(parts.max(initial=-1)) + 1
     out = None
     for part in range(many):
         own = (open_ if many == 1 else _of_part(open_, parts, part)).select("ctx", "tail").toArrow()
-        shared = spark.sparkContext.broadcast(Open(own.column(0).to_numpy().astype(np.int64), own.column(1).to_numpy().astype(np.int64)))
-        found = texts.mapInArrow(tidy(_extend(shared, base, d, part if many > 1 else None, parts if many > 1 else None)), "ctx bigint, parent bigint, tail bigint, n bigint")
+        shared = spark.sparkContext.broadcast(Open(own.column(0).to_numpy().astype(np.int64), own.column(1).to_numpy().astype(np.int64), base))
+        found = texts.mapInArrow(tidy(_extend(shared, base, d, steps, part if many > 1 else None, parts if many > 1 else None)), "d int, ctx bigint, parent bigint, tail bigint, n bigint")
         out = found if out is None else out.union(found)
-    return out.groupBy("ctx", "parent", "tail").agg(F.sum("n").alias("n")).select(F.lit(d).alias("d"), "ctx", "parent", "tail", "n")
+    return out.groupBy("d", "ctx", "parent", "tail").agg(F.sum("n").alias("n"))
 
 
 def _shorter(own: DataFrame) -> DataFrame:
     """(d, ctx): packed contexts ``own(d, ctx)`` with all their suffixes."""
     every = own.select("ctx", F.explode(F.expr("sequence(0, d)")).alias("d"))
-    return every.selectExpr("d", f"(ctx & (shiftleft(1L, {_SHIFT} * d) - 1)) | shiftleft(1L, {_SHIFT} * d) as ctx").distinct()
+    return every.selectExpr("d", "(ctx & (shiftleft(1L, 8 * d) - 1)) | shiftleft(1L, 8 * d) as ctx").distinct()
 
 
 def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD, table_bytes: int = TABLE_BYTES) -> tuple[int, DataFrame]:
     """(base, (d, ctx, parent, tail, n)): the distributions of all states of the tree, of every length."""
     base = BASE if depth is None else min(BASE, depth)
-    dist = materialise(distributions(materialise(gram_counts(docs, base), "grams"), base), "distributions")
+    dist = materialise(distributions(gram_counts(docs, base), base), "distributions")
     total = dist.where("d = 0").agg(F.sum("n")).first()[0] or 0
     half = 0.5 * float(np.log(max(total, 1)))
     sums = dist.groupBy("ctx").agg(F.sum("n").alias("total"))
@@ -317,27 +324,31 @@ def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD,
     for _ in range(lookahead if base > 1 else 0):
         suffix = low.selectExpr("ctx as up", "parent as next", "fails as more")
         last = last.join(suffix, "up", "left").selectExpr("ctx", "tail", "total", "next as up", "if(done, fails, fails + coalesce(more, 0)) as fails", "done or coalesce(more, 0) = 0 as done")
-    levels: list[tuple[int, DataFrame, DataFrame]] = []
+    levels: list[tuple[DataFrame, DataFrame]] = []
     texts = _texts(docs)
     open_ = last.where(f"fails <= {lookahead}").select("ctx", "tail", "total", "fails")
-    rows, d = dist.where(f"d = {base}"), base
+    open_ = materialise(open_, "open") if lookahead else open_
+    rows, d, ahead = dist.where(f"d = {base}"), base, base
     while base and (depth is None or d < depth):
-        open_ = materialise(open_, "open")
-        if open_.isEmpty():
+        many_open, held = open_.agg(F.count("*"), F.sum("total")).first()
+        if not many_open:
             break
-        d += 1
         above = rows.join(open_.select("ctx", "total", "fails"), "ctx").selectExpr("ctx", f"{_SYM} as sym", "n", "total", "fails")
-        rows = materialise(_longer(texts, open_, base, d, table_bytes), "level")
+        d += 1
+        if d > ahead:
+            steps = next(n for share, n in _STEPS if held <= share * total or share == 1)
+            steps = steps if depth is None else min(steps, depth - d + 1)
+            batch, ahead = materialise(_longer(texts, open_, many_open, base, d, steps, table_bytes), "levels"), d + steps - 1
+        rows = batch.where(f"d = {d}")
         found = materialise(tested(rows, above, half), "tested")
-        levels.append((d, rows, found))
+        levels.append((rows, found))
         open_ = found.where(f"varied and fails <= {lookahead}").select("ctx", "tail", "total", "fails")
     # Suffixes of states are states: from the longest down.
     parents, entries = None, None
-    for d, rows, found in reversed(levels):
+    for rows, found in reversed(levels):
         own = found.where("fails = 0").select("ctx", "parent")
         if parents is not None and lookahead:
-            own = own.union(found.select("ctx", "parent").join(parents, "ctx", "left_semi")).distinct()
-        own = materialise(own, "states") if lookahead else own
+            own = materialise(own.union(found.select("ctx", "parent").join(parents, "ctx", "left_semi")).distinct(), "states")
         part = rows.join(own.select("ctx"), "ctx", "left_semi").select("d", "ctx", "parent", "tail", "n")
         entries = part if entries is None else entries.unionByName(part)
         parents = own.select(F.col("parent").alias("ctx")).distinct()
@@ -348,12 +359,13 @@ def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD,
 
 
 def _entry_keys(ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
-    keys = mix64(ctx.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + sym.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    keys = mix64(ctx.view(np.uint64) * _K[0] + sym.astype(np.uint64) * _K[1])
     return np.where(keys == 0, np.uint64(1), keys).view(np.int64)
 
 
 class Scorer:
-    """States and smoothed log2 probabilities of a tree, for scoring in one process."""
+    """Smoothed log2 probabilities of a tree, for scoring the texts that it was counted on in one process: a context with
+    a next symbol that it has seen has an entry if it is a state."""
 
     def __init__(self, d: np.ndarray, ctx: np.ndarray, parent: np.ndarray, sym: np.ndarray, n: np.ndarray, base: int, smoothing: float):
         self.base = base
@@ -371,61 +383,60 @@ class Scorer:
             # Suffixes of states are states and have seen all that their extensions have, so every key is there.
             above = prob[table.values[table.find(_entry_keys(parent[at], sym[at]))]] if level else 1 / 256
             prob[at] = (n[at] + smoothing * above) / (each[at] + smoothing)
-        self.states = Table(ctx[first], np.log2(smoothing / (totals + smoothing)))
         self.entries = Table(keys, np.log2(prob))
 
     def log2(self, own: Positions, which: np.ndarray) -> np.ndarray:
         """log2 of the probability of each byte at ``which`` in the longest state that its context ends with."""
-        out = np.full(len(which), -8.0)
         if self.deepest < 0 or not len(which):
-            return out
-        level = np.zeros(len(which), dtype=np.int64)
-        # Suffixes of states are states: a length that is no state ends the search above it. Most are longer than 3.
+            return np.full(len(which), -8.0)
+        # Each byte with its base context once; suffixes of states are states, so a length that is none ends the search.
+        grams = own.grams[which] & np.uint64((1 << 8 * (self.base + 1)) - 1)
+        order = np.argsort(grams)
+        grams = grams[order]
+        new = np.concatenate([[True], grams[1:] != grams[:-1]])
+        grams = grams[new]
+        sym, found = grams & np.uint64(255), np.full(len(grams), -1, dtype=np.int64)
         start = min(3, self.deepest, self.base)
-        todo, below = np.arange(len(which)), []
-        for d in range(start, self.deepest + 1):
-            if d > self.base:
-                todo = todo[own.room[which[todo]] >= d]
-            hit = self.states.find(own.names(d, which[todo])) >= 0
+        todo, below = np.arange(len(grams)), np.zeros(0, dtype=np.int64)
+        for d in range(start, min(self.deepest, self.base) + 1):
+            at = self.entries.find(_entry_keys(packed(grams[todo], d), sym[todo]))
+            hit = at >= 0
             if d == start:
                 below = todo[~hit]
             todo = todo[hit]
-            level[todo] = d
-            if not len(todo):
-                break
-        for d in range(start - 1, 0, -1):
-            hit = self.states.find(own.names(d, which[below])) >= 0
-            level[below[hit]] = d
-            below = below[~hit]
-        for d in np.unique(level).tolist():
-            at = np.flatnonzero(level == d)
-            out[at] = self._entry(own, which[at], d)
-        return out
-
-    def _entry(self, own: Positions, which: np.ndarray, d: int) -> np.ndarray:
-        ctx = own.names(d, which)
-        at = self.entries.find(_entry_keys(ctx, own.codes[which] & _SYMBOL))
-        out = self.entries.values[at]
-        missing = np.flatnonzero(at < 0)  # only in texts that the counts don't cover: the suffix's, discounted
-        if len(missing):
-            held = self.states.values[self.states.find(ctx[missing])]
-            out[missing] = held + (self._entry(own, which[missing], d - 1) if d else -8.0)
-        return out
+            found[todo] = at[hit]
+        for d in range(start - 1, -1, -1):
+            found[below] = self.entries.find(_entry_keys(packed(grams[below], d), sym[below]))
+            below = below[found[below] < 0]
+        group = np.cumsum(new) - 1
+        slots = np.empty(len(which), dtype=np.int64)
+        slots[order] = found[group]
+        if self.deepest > self.base:
+            long = np.zeros(len(grams), dtype=bool)
+            long[todo] = True
+            todo = order[long[group]]
+            for d in range(self.base + 1, self.deepest + 1):
+                todo = todo[own.room(which[todo], d)]
+                at = self.entries.find(_entry_keys(own.names(d, which[todo]), own.bytes[which[todo]]))
+                todo = todo[at >= 0]
+                slots[todo] = at[at >= 0]
+                if not len(todo):
+                    break
+        return np.where(slots >= 0, self.entries.values[slots], -8.0)
 
 
 def _score(shared, base: int, part: int | None, parts: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, sums = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
-            for own, first, last, offsets in _cut(batch.column(1), base):
-                each = np.zeros(len(own.codes))
-                which = np.arange(len(each))
+            for own, first, last in _cut(batch.column(1), base):
+                which = own.texts()
                 if part is not None:
-                    which = which[np.maximum(parts[(own.codes >> _SHIFT) & (_TAILS - 1)], 0) == part]
-                each[which] = shared.value.log2(own, which)
-                total = np.concatenate([[0.0], np.cumsum(each)])
-                sums[first:last] = total[offsets[1:]] - total[offsets[:-1]]
-                sizes[first:last] = np.diff(offsets)
+                    which = which[np.maximum(parts[_pairs(own.grams[which])], 0) == part]
+                total = np.concatenate([[0.0], np.cumsum(shared.value.log2(own, which))])
+                ends = total[np.searchsorted(which, own.starts - 7)]
+                sums[first:last] = np.diff(ends)
+                sizes[first:last] = np.diff(own.starts) - len(_PAD)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums)], names=["id", "n_bytes", "log2_prob"])
 
     return run
@@ -461,7 +472,7 @@ def suffix_tree_scores(docs: DataFrame, depth: int | None = None, smoothing: flo
     base, entries = grown(docs, depth, lookahead, table_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     narrow = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    parts = parts_of(_tail_sizes(entries.where("d > 1")), table_bytes / _SLOT) if base > 1 else np.full(_TAILS, -1)
+    parts = parts_of(_tail_sizes(entries.where("d > 1")), table_bytes / _SLOT) if base > 1 and entries.count() * _SLOT > table_bytes else np.full(_TAILS, -1)
     many = max(1, int(parts.max(initial=-1)) + 1)
     if many == 1:
         shared = spark.sparkContext.broadcast(_scorer(entries, base, smoothing))
