@@ -23,7 +23,9 @@ _START = 0xFF
 _PAD = b"\xff" * 8
 _TAILS = 1 << 16  # pairs of symbols
 _FILTER_BITS = 22
-_RUN, _FLUSH = 1 << 20, 1 << 20
+#: Contexts of up to so many symbols are named by them, packed in 64 bits with the next one; longer ones by a hash.
+_PACKED = 7
+_RUN, _FLUSH, _ROWS = 1 << 19, 1 << 20, 1 << 16
 #: Bytes of a slot, and slots for an entry at most.
 _SLOT = 16 * 3
 #: Lengths counted in one pass where the open contexts hold at most such a share of all bytes.
@@ -34,12 +36,12 @@ _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 class Positions:
     """The bytes of some texts, each text behind 8 bytes ``_START``, with names for the contexts before them.
 
-    A context of up to ``base`` symbols is named by its symbols, packed, with a 1 bit above them; a longer one by a 64-bit
-    hash of its symbols and length. ``grams``: each byte, lowest, with the 7 symbols before it; ``own``: those of texts.
+    A context of up to 7 symbols is named by its symbols, packed, with a 1 bit above them; a longer one by a 64-bit hash of
+    its symbols and length. ``grams``: each byte, lowest, with the 7 symbols before it.
     """
 
-    def __init__(self, raw: np.ndarray, starts: np.ndarray, base: int):
-        self.base, self.starts = base, starts
+    def __init__(self, raw: np.ndarray, starts: np.ndarray):
+        self.starts = starts
         self._words = np.ndarray((len(raw) - 7,), ">u8", buffer=raw, strides=(1,))
         self.grams = self._words.astype(np.uint64)
         self.bytes = raw[7:]
@@ -55,8 +57,8 @@ class Positions:
         return (self.bytes[at] != _START) & (at - self._first[at] + 1 >= d)
 
     def names(self, d: int, at: np.ndarray) -> np.ndarray:
-        """Of the contexts of length ``d``; beyond ``base`` there must be room for them."""
-        if d <= self.base:
+        """Of the contexts of length ``d``; beyond 7 there must be room for them."""
+        if d <= _PACKED:
             return packed(self.grams[at], d)
         name = np.full(len(at), d, dtype=np.uint64)
         for k in range(0, d, 8):
@@ -72,15 +74,15 @@ def packed(grams: np.ndarray, d: int) -> np.ndarray:
     return ((grams >> np.uint64(8) & (bit - np.uint64(1))) | bit).view(np.int64)
 
 
-def _cut(column: pa.Array, base: int) -> Iterator[tuple[Positions, int, int]]:
-    """Positions of runs of about 1 MB of texts, with the rows that they cover."""
+def _cut(column: pa.Array) -> Iterator[tuple[Positions, int, int]]:
+    """Positions of runs of about half a MB of texts, with the rows that they cover."""
     column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
     joined = pc.binary_join_element_wise(pa.scalar(_PAD, pa.large_binary()), column, pa.scalar(b"", pa.large_binary()))
     _, offsets, data = joined.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     for first, last in runs(offsets, _RUN):
-        yield Positions(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], base), first, last
+        yield Positions(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]), first, last
 
 
 class _Sums:
@@ -112,19 +114,26 @@ class _Sums:
         if self.rows:
             self._unite()
             key, n, columns = self.held[0]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ((*columns, n) if columns else (key, n))], names=self.names)
+            own = (*columns, n) if columns else (key, n)
+            for i in range(0, len(n), _ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + _ROWS]) for c in own], names=self.names)
         self.held, self.rows, self.base = [], 0, 0
 
 
+def _counted(grams: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams of ``depth`` symbols and the next one, and how many there are of each."""
+    grams = grams & np.uint64((1 << 8 * (depth + 1)) - 1)
+    grams.sort()
+    at = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])[: len(grams)])
+    return grams[at], np.diff(at, append=len(grams))
+
+
 def _count(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums(["gram", "n"])
         for batch in batches:
-            for own, *_ in _cut(batch.column(0), depth):
-                grams = own.grams & np.uint64((1 << 8 * (depth + 1)) - 1)
-                grams.sort()
-                at = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-                n, grams = np.diff(at, append=len(grams)), grams[at]
+            for own, *_ in _cut(batch.column(0)):
+                grams, n = _counted(own.grams, depth)
                 held = grams & np.uint64(255) != _START
                 yield from sums.add(grams[held].view(np.int64), n[held])
         yield from sums.rest()
@@ -259,10 +268,10 @@ def _extend(shared, base: int, d: int, steps: int, part: int | None, parts: np.n
     """Counts of the contexts of lengths from ``d`` on, ``steps`` of them, whose suffix of length ``d - 1`` is open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(["d", "ctx", "parent", "tail", "n"])
+        sums = _Sums(["gram", "n"] if d <= _PACKED else ["d", "ctx", "parent", "tail", "n"])
         low = np.uint64((1 << 8 * (base + 1)) - 1)
         for batch in batches:
-            for own, *_ in _cut(batch.column(0), base):
+            for own, *_ in _cut(batch.column(0)):
                 at = np.flatnonzero(shared.value.filter[_slots(own.grams, base)])
                 if part is not None:
                     at = at[parts[_pairs(own.grams[at])] == part]
@@ -270,6 +279,10 @@ def _extend(shared, base: int, d: int, steps: int, part: int | None, parts: np.n
                 parent = own.names(d - 1, at)
                 held = np.flatnonzero(shared.value.names.find(parent) >= 0)
                 at, parent = at[held], parent[held]
+                if d <= _PACKED:
+                    grams, n = _counted(own.grams[at], d)
+                    yield from sums.add(grams.view(np.int64), n)
+                    continue
                 for level in range(d, d + steps):
                     if level > d:
                         at = at[own.room(at, level)]
@@ -298,9 +311,14 @@ def _longer(texts: DataFrame, open_: DataFrame, many_open: int, base: int, d: in
     for part in range(many):
         own = (open_ if many == 1 else _of_part(open_, parts, part)).select("ctx", "tail").toArrow()
         shared = spark.sparkContext.broadcast(Open(own.column(0).to_numpy().astype(np.int64), own.column(1).to_numpy().astype(np.int64), base))
-        found = texts.mapInArrow(tidy(_extend(shared, base, d, steps, part if many > 1 else None, parts if many > 1 else None)), "d int, ctx bigint, parent bigint, tail bigint, n bigint")
+        kind = "gram bigint, n bigint" if d <= _PACKED else "d int, ctx bigint, parent bigint, tail bigint, n bigint"
+        found = texts.mapInArrow(tidy(_extend(shared, base, d, steps, part if many > 1 else None, parts if many > 1 else None)), kind)
         out = found if out is None else out.union(found)
-    return out.groupBy("d", "ctx", "parent", "tail").agg(F.sum("n").alias("n"))
+    if d > _PACKED:
+        return out.groupBy("d", "ctx", "parent", "tail").agg(F.sum("n").alias("n"))
+    ctx = f"shiftrightunsigned(gram, 8) & {(1 << 8 * d) - 1}L"
+    out = out.groupBy("gram").agg(F.sum("n").alias("n"))
+    return out.selectExpr(f"{d} as d", f"({ctx}) | {1 << 8 * d}L as ctx", f"({ctx} & {(1 << 8 * (d - 1)) - 1}L) | {1 << 8 * (d - 1)}L as parent", f"gram & {(1 << 8 * (base + 1)) - 1}L as tail", "n")
 
 
 def _shorter(own: DataFrame) -> DataFrame:
@@ -337,7 +355,7 @@ def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD,
         d += 1
         if d > ahead:
             steps = next(n for share, n in _STEPS if held <= share * total or share == 1)
-            steps = steps if depth is None else min(steps, depth - d + 1)
+            steps = 1 if d <= _PACKED else steps if depth is None else min(steps, depth - d + 1)
             batch, ahead = materialise(_longer(texts, open_, many_open, base, d, steps, table_bytes), "levels"), d + steps - 1
         rows = batch.where(f"d = {d}")
         found = materialise(tested(rows, above, half), "tested")
@@ -429,7 +447,7 @@ def _score(shared, base: int, part: int | None, parts: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, sums = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
-            for own, first, last in _cut(batch.column(1), base):
+            for own, first, last in _cut(batch.column(1)):
                 which = own.texts()
                 if part is not None:
                     which = which[np.maximum(parts[_pairs(own.grams[which])], 0) == part]
@@ -457,7 +475,7 @@ def suffix_tree_scores(docs: DataFrame, depth: int | None = None, smoothing: flo
     says which contexts become states; so do the suffixes of one that does. A state's next-byte distribution is
     smoothed with that of its longest suffix, ``(n + smoothing * above) / (total + smoothing)``, the root's with 1/256.
     A text's score is the sum over its bytes of log2 of their probability in the longest state that the bytes before
-    end with. Contexts over 5 bytes are known by a 64-bit hash.
+    end with. Contexts over 7 bytes are known by a 64-bit hash.
 
     One row for each row: doc_id (of the type it has), n_bytes, log2_prob, bits_per_byte. Null and empty texts have 0
     bytes, score 0 and a null bits_per_byte. Repeated rows are counted and scored as often as they occur; doc_id may be
