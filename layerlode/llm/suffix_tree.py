@@ -25,7 +25,9 @@ _TAILS = 1 << 16  # pairs of symbols
 _FILTER_BITS = 22
 #: Contexts of up to so many symbols are named by them, packed in 64 bits with the next one; longer ones by a hash.
 _PACKED = 7
-_RUN, _FLUSH, _ROWS = 1 << 19, 1 << 20, 1 << 16
+_RUN, _ROWS = 1 << 19, 1 << 16
+#: Rows that a task adds up before they leave it, of packed and of hashed names; bytes of a split that it should have.
+_FLUSH, _FLUSH_HASHED, _SPLIT = 1 << 21, 1 << 20, 64 << 20
 #: Bytes of a slot, and slots for an entry at most.
 _SLOT = 16 * 3
 #: Lengths counted in one pass where the open contexts hold at most such a share of all bytes.
@@ -86,18 +88,19 @@ def _cut(column: pa.Array) -> Iterator[tuple[Positions, int, int]]:
 
 
 class _Sums:
-    """Counted rows that are added up by key before they leave a task; never more than about a million are held."""
+    """Counted rows that are added up by key before they leave a task; a few million are held at most."""
 
     def __init__(self, names: list[str]):
         self.names, self.held, self.rows, self.base = names, [], 0, 0
+        self.most = _FLUSH if len(names) == 2 else _FLUSH_HASHED
 
     def add(self, key: np.ndarray, n: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Rows with different keys in rising order."""
         self.held.append((key, n, columns))
         self.rows += len(key)
-        if self.rows > self.base + _FLUSH:
+        if self.rows > self.base + self.most // 2:
             self._unite()
-            if self.rows > _FLUSH:
+            if self.rows > self.most:
                 yield from self.rest()
 
     def _unite(self) -> None:
@@ -142,12 +145,29 @@ def _count(depth: int):
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return spread(docs.select(F.col("text").cast("string").alias("text")).where("length(text) > 0"))
+    """Texts to count. Small splits are gathered, two tasks a core at least: what a task adds up needn't move."""
+    spark = docs.sparkSession
+    out = spread(docs.select(F.col("text").cast("string").alias("text")).where("length(text) > 0"))
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    many, cores = out.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    return out.coalesce(max(2 * cores, -(-many * split // _SPLIT))) if many > 2 * cores and split < _SPLIT else out
+
+
+def _bytes(setting: str) -> int:
+    """A size as Spark's settings have it, such as 16m or 134217728b."""
+    number = setting.strip().lower().rstrip("b")
+    scale = {"k": 10, "m": 20, "g": 30, "t": 40}.get(number[-1:], 0)
+    return int(number[:-1] if scale else number) << scale
 
 
 def gram_counts(docs: DataFrame, depth: int = BASE) -> DataFrame:
     """(gram, n): how often each byte follows each context of ``depth`` symbols, over whole texts of all rows."""
-    return _texts(docs).mapInArrow(tidy(_count(depth)), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return _added_up(_texts(docs).mapInArrow(tidy(_count(depth)), "gram bigint, n bigint"), "gram")
+
+
+def _added_up(counted: DataFrame, *keys: str) -> DataFrame:
+    """Sums of n. Tasks have added up their own rows: they are sent as they are, and added up where they arrive."""
+    return counted.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def distributions(grams: DataFrame, depth: int = BASE) -> DataFrame:
@@ -315,9 +335,9 @@ def _longer(texts: DataFrame, open_: DataFrame, many_open: int, base: int, d: in
         found = texts.mapInArrow(tidy(_extend(shared, base, d, steps, part if many > 1 else None, parts if many > 1 else None)), kind)
         out = found if out is None else out.union(found)
     if d > _PACKED:
-        return out.groupBy("d", "ctx", "parent", "tail").agg(F.sum("n").alias("n"))
+        return _added_up(out, "d", "ctx", "parent", "tail")
     ctx = f"shiftrightunsigned(gram, 8) & {(1 << 8 * d) - 1}L"
-    out = out.groupBy("gram").agg(F.sum("n").alias("n"))
+    out = _added_up(out, "gram")
     return out.selectExpr(f"{d} as d", f"({ctx}) | {1 << 8 * d}L as ctx", f"({ctx} & {(1 << 8 * (d - 1)) - 1}L) | {1 << 8 * (d - 1)}L as parent", f"gram & {(1 << 8 * (base + 1)) - 1}L as tail", "n")
 
 
@@ -328,7 +348,7 @@ def _shorter(own: DataFrame) -> DataFrame:
 
 
 def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD, table_bytes: int = TABLE_BYTES) -> tuple[int, DataFrame]:
-    """(base, (d, ctx, parent, tail, n)): the distributions of all states of the tree, of every length."""
+    """(base, (d, ctx, parent, tail, n, total)): the distributions of all states of the tree, of every length."""
     base = BASE if depth is None else min(BASE, depth)
     dist = materialise(distributions(gram_counts(docs, base), base), "distributions")
     total = dist.where("d = 0").agg(F.sum("n")).first()[0] or 0
@@ -373,7 +393,9 @@ def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD,
     if parents is not None:
         ends = ends.union(parents.select(F.lit(base).alias("d"), "ctx"))
     part = dist.join(_shorter(ends), ["d", "ctx"], "left_semi").select("d", "ctx", "parent", "tail", "n")
-    return base, materialise(part if entries is None else entries.unionByName(part), "entries")
+    entries = part if entries is None else entries.unionByName(part)
+    entries = entries.join(entries.groupBy("ctx").agg(F.sum("n").alias("total")), "ctx")
+    return base, materialise(entries, "entries")
 
 
 def _entry_keys(ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
@@ -385,23 +407,20 @@ class Scorer:
     """Smoothed log2 probabilities of a tree, for scoring the texts that it was counted on in one process: a context with
     a next symbol that it has seen has an entry if it is a state."""
 
-    def __init__(self, d: np.ndarray, ctx: np.ndarray, parent: np.ndarray, sym: np.ndarray, n: np.ndarray, base: int, smoothing: float):
-        self.base = base
-        order = np.lexsort((sym, ctx, d))
-        d, ctx, parent, sym, n = d[order], ctx[order], parent[order], sym[order], n[order]
-        first = np.flatnonzero(np.diff(ctx, prepend=0) != 0)
-        totals = np.add.reduceat(n, first) if len(n) else n
-        each = np.repeat(totals, np.diff(first, append=len(n))) if len(n) else n
-        prob = np.zeros(len(n))
-        keys = _entry_keys(ctx, sym)
-        table = Table(keys, np.arange(len(n)))
-        self.deepest = int(d.max(initial=-1))
-        for level in range(self.deepest + 1):
-            at = np.flatnonzero(d == level)
+    def __init__(self, levels: Iterator[tuple[np.ndarray, ...]], base: int, smoothing: float):
+        """``levels``: contexts, suffixes, next symbols, their counts and all counts of the contexts, from length 0 on."""
+        self.base, self.deepest = base, -1
+        keys, logs, before = [], [], None
+        for ctx, parent, sym, n, total in levels:
+            own = _entry_keys(ctx, sym)
             # Suffixes of states are states and have seen all that their extensions have, so every key is there.
-            above = prob[table.values[table.find(_entry_keys(parent[at], sym[at]))]] if level else 1 / 256
-            prob[at] = (n[at] + smoothing * above) / (each[at] + smoothing)
-        self.entries = Table(keys, np.log2(prob))
+            above = 1 / 256 if before is None else before.values[before.find(_entry_keys(parent, sym))]
+            prob = (n + smoothing * above) / (total + smoothing)
+            keys.append(own)
+            logs.append(np.log2(prob))
+            before = Table(own, prob)
+            self.deepest += 1
+        self.entries = Table(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), np.concatenate(logs) if logs else np.zeros(0))
 
     def log2(self, own: Positions, which: np.ndarray) -> np.ndarray:
         """log2 of the probability of each byte at ``which`` in the longest state that its context ends with."""
@@ -461,8 +480,15 @@ def _score(shared, base: int, part: int | None, parts: np.ndarray | None):
 
 
 def _scorer(entries: DataFrame, base: int, smoothing: float) -> Scorer:
-    rows = entries.selectExpr("d", "ctx", "coalesce(parent, 0L) as parent", f"{_SYM} as sym", "n").toArrow()
-    return Scorer(*[rows.column(c).to_numpy().astype(np.int64) for c in ("d", "ctx", "parent", "sym", "n")], base, smoothing)
+    """The driver takes a length at a time, so that it holds little besides the table itself."""
+    deepest = entries.agg(F.max("d")).first()[0]
+
+    def levels() -> Iterator[tuple[np.ndarray, ...]]:
+        for d in range(-1 if deepest is None else deepest + 1):
+            rows = entries.where(f"d = {d}").selectExpr("ctx", "coalesce(parent, 0L) as parent", f"{_SYM} as sym", "n", "total").toArrow()
+            yield tuple(rows.column(c).to_numpy() for c in ("ctx", "parent", "sym", "n", "total"))
+
+    return Scorer(levels(), base, smoothing)
 
 
 def suffix_tree_scores(docs: DataFrame, depth: int | None = None, smoothing: float = SMOOTHING, table_bytes: int = TABLE_BYTES, lookahead: int = LOOKAHEAD) -> DataFrame:
