@@ -1,9 +1,11 @@
+import gzip
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from layerlode.llm.warc import RECORDS, Framing, decode_chunked, encode_chunked, http_body, page_records, reassemble
+from layerlode.llm.warc import RECORDS, Framing, decode_chunked, encode_chunked, http_body, page_records, parse_warc, read_warc, reassemble
 
 
 def test_chunked_round_trip_at_every_size():
@@ -60,3 +62,65 @@ def test_segments_in_any_order_and_what_is_wrong_with_them(spark):
     assert set(out) == {"good", "twice", "short", "gap", "headless", "untold", "clash", "null", "html"}
     assert out["gap"]["problem"] == "a segment is missing" and out["short"]["problem"] == "the segments haven't the total length"
     assert all(out[k]["body"] is None and out[k]["status"] is None for k in out if k not in ("good", "twice"))
+
+
+def reply(body, *fields, status=b"200"):
+    return b"HTTP/1.1 " + status + b" OK\r\n" + b"".join(f + b"\r\n" for f in fields) + b"\r\n" + body
+
+
+ODD_REPLIES = {
+    "status": reply(b"x", status=b"99999999999"), "digits": reply(b"x", status=b"9" * 5000), "length": reply(b"x", b"Content-Length: " + b"9" * 5000), "negative": reply(b"x", b"Content-Length: -1"),
+    "chunk": reply(b"f" * 5000 + b"\r\nabc\r\n0\r\n\r\n", b"Transfer-Encoding: chunked"), "brotli": reply(b"x", b"Content-Encoding: br"), "broken": reply(b"\x1f\x8bxx", b"Content-Encoding: gzip"),
+    "cut": reply(gzip.compress(b"hello" * 99)[:-9], b"Content-Encoding: gzip"),
+}
+
+
+def test_content_and_transfer_codings():
+    text, bare = b"hello " * 500, zlib.compressobj(wbits=-15)
+    squeezed = bare.compress(text) + bare.flush()
+    for body, fields in [
+        (gzip.compress(text), [b"Content-Encoding: gzip"]), (gzip.compress(text[:9]) + gzip.compress(text[9:]), [b"Content-Encoding: x-gzip"]), (zlib.compress(text), [b"Content-Encoding: deflate"]), (squeezed, [b"content-encoding: Deflate"]),
+        (encode_chunked(gzip.compress(text)), [b"Transfer-Encoding: gzip, chunked"]), (encode_chunked(gzip.compress(text)), [b"Transfer-Encoding: chunked", b"Content-Encoding: gzip"]),
+        (gzip.compress(zlib.compress(text)), [b"Content-Encoding: deflate, gzip"]), (text, [b"Content-Encoding: identity"]), (gzip.compress(text) + b"\0" * 70, [b"Content-Encoding: gzip"]),
+    ]:
+        assert http_body(reply(body, *fields)) == (200, text)
+    for bad in ODD_REPLIES.values():
+        with pytest.raises(Framing):
+            http_body(bad)
+
+
+def test_odd_replies_are_rows_with_a_problem(spark):
+    rows = [(k, None, None, None, "u", v) for k, v in ODD_REPLIES.items()] + [("good", None, None, None, "u", reply(b"fine"))]
+    out = {r["record_id"]: r for r in reassemble(spark.createDataFrame(rows, RECORDS)).collect()}
+    assert len(out) == len(rows) and out["good"]["body"] == "fine" and out["good"]["problem"] is None
+    assert all(out[k]["problem"] and out[k]["body"] is None and out[k]["status"] is None for k in ODD_REPLIES)
+
+
+def warc(row):
+    record, origin, number, total, uri, block = row
+    fields = {"WARC-Type": "continuation" if origin else "response", "WARC-Record-ID": record, "WARC-Segment-Origin-ID": origin, "WARC-Segment-Number": number, "WARC-Segment-Total-Length": total, "WARC-Target-URI": uri, "Content-Length": len(block)}
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None).encode() + b"\r\n" + bytes(block) + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("packed", ["plain", "records", "whole"])
+def test_warc_files_are_read(spark, tmp_path, packed):
+    df = pages(spark)
+    want = sorted(tuple(r) for r in reassemble(page_records(df)).collect())
+    rows = [tuple(r) for r in page_records(df).collect()]
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for k in range(2):
+        parts = [info, *[warc(r) for r in rows[k::2]]]
+        data = {"plain": b"".join(parts), "records": b"".join(map(gzip.compress, parts)), "whole": gzip.compress(b"".join(parts))}[packed]
+        (tmp_path / f"{k}.warc").write_bytes(data)
+    found = read_warc(spark, str(tmp_path))
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted(rows, key=repr)
+    assert sorted(tuple(r) for r in reassemble(found).collect()) == want
+
+
+def test_unreadable_files_are_named():
+    good = warc(("a", None, None, None, "u", b"x" * 200_000))
+    assert [r[0] for r in parse_warc(good + b"junk", "f")] == ["a", f"f#{len(good)}"]
+    assert [r[0] for r in parse_warc(good[:-9], "f")] == ["f#0"] and list(parse_warc(b"", "f")) == []
+    assert [r[0] for r in parse_warc(gzip.compress(good) + gzip.compress(good)[:-30], "f")][0] == "a"
+    assert [r[0] for r in parse_warc(b"\x1f\x8bxx", "f")] == ["f#0"]
+    assert [r[0] for r in parse_warc(good.replace(b"Content-Length: 200000", b"Content-Length: " + b"9" * 5000), "f")] == ["f#0"]
