@@ -29,6 +29,7 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _RAW = frozenset("script style noscript template svg iframe textarea title".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_P, _KEEPS_P = frozenset(("p",)), frozenset("button td th li table".split())
 #: Tags that an open one of the second set ends, down to one of the third.
 _SIBLINGS = {t: (own, stop) for tags, own, stop in (("li", {"li"}, {"ul", "ol", "menu"}), ("dd dt", {"dd", "dt"}, {"dl"}), ("tr", {"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), ("td th", {"td", "th"}, {"tr", "table"}), ("option", {"option"}, {"select"})) for t in tags.split()}
 #: Tags that say what they hold. They label the pages that are fitted on and are no features.
@@ -57,18 +58,20 @@ def parse(page: str) -> Dom:
     dom = Dom()
     tags, parents, depths, ends, texts = dom.tag, dom.parent, dom.depth, dom.end, dom.texts
     stack: list[int] = []
+    where: dict[str, list[int]] = {}  # places of open elements in the stack, by tag: no search walks the stack
 
     def close(to: int) -> None:
         while len(stack) > to:
-            ends[stack.pop()] = len(tags)
+            at = stack.pop()
+            ends[at] = len(tags)
+            where[tags[at]].pop()
+
+    def top(names: frozenset | set) -> int:
+        return max((own[-1] for t in names if (own := where.get(t))), default=-1)
 
     def find(own: frozenset | set, stop: frozenset | set) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if tags[stack[k]] in own:
-                return k
-            if tags[stack[k]] in stop:
-                break
-        return -1
+        k = top(own)
+        return k if k > top(stop) else -1
 
     def add(tag: str, attributes: str) -> None:
         tags.append(tag)
@@ -82,7 +85,8 @@ def parse(page: str) -> Dom:
 
     add("", "")
     stack.append(0)
-    at, last, open_p = 0, page.rfind(">") + 1, 0
+    where[""] = [0]
+    at, last = 0, page.rfind(">") + 1
     while at < last:
         m = _TAG.search(page, at, last)
         start = m.start() if m else last
@@ -97,14 +101,14 @@ def parse(page: str) -> Dom:
             continue
         tag = tag.lower()
         if m.group(1):
-            k = find({tag}, frozenset()) if tag not in _VOID else -1
+            k = top({tag}) if tag not in _VOID else -1
             if k > 0:
                 close(k)
             elif tag == "br":
                 texts.append((stack[-1], "\n"))
             continue
-        if tag in _ENDS_P and open_p:
-            k = find({"p"}, {"button", "td", "th", "li", "table"})
+        if tag in _ENDS_P and where.get("p"):
+            k = find(_P, _KEEPS_P)
             if k > 0:
                 close(k)
         elif tag in _SIBLINGS:
@@ -121,7 +125,7 @@ def parse(page: str) -> Dom:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.I).search(page, at)
             at = stop.end() if stop else len(page)
             continue
-        open_p |= tag == "p"
+        where.setdefault(tag, []).append(len(stack))
         stack.append(len(tags) - 1)
     if at < len(page):
         texts.append((stack[-1], page[at:]))
@@ -210,13 +214,13 @@ def weak_labels(dom: Dom) -> np.ndarray | None:
     n = len(dom.tag)
     held, other, mixed = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     for i, tag in enumerate(dom.tag):
-        if tag in _CONTENT and not other[i]:
+        if tag in _CONTENT and not other[i] and not held[i]:
             held[i : dom.end[i]] = True
             j = dom.parent[i]
             while j >= 0 and not mixed[j]:
                 mixed[j] = True
                 j = dom.parent[j]
-        elif tag in _OTHER:
+        elif tag in _OTHER and not other[i]:
             other[i : dom.end[i]] = True
     held &= ~other
     if not held.any():
@@ -267,6 +271,8 @@ def decode(nodes: Nodes, log_odds: np.ndarray) -> np.ndarray:
     gains = log_odds * (1 + np.log1p(nodes.words))
     sums = np.concatenate([[0.0], np.cumsum(gains)])
     whole = sums[nodes.end] - sums[:-1]
+    if len(gains) and nodes.depth.max() > len(gains) // 8:
+        return _decode_deep(nodes.parent.tolist(), whole.tolist())
     order = np.argsort(nodes.depth, kind="stable")
     levels = np.split(order, np.flatnonzero(np.diff(nodes.depth[order])) + 1) if len(order) else []
     parts, take = np.zeros(len(gains)), np.zeros(len(gains), dtype=bool)
@@ -280,6 +286,19 @@ def decode(nodes: Nodes, log_odds: np.ndarray) -> np.ndarray:
     return take
 
 
+def _decode_deep(parent: list[int], whole: list[float]) -> np.ndarray:
+    """As ``decode`` an element at a time, for trees that have nearly as many levels as elements."""
+    parts, take = [0.0] * len(whole), [False] * len(whole)
+    for i in range(len(whole) - 1, -1, -1):
+        take[i] = whole[i] > 0 and whole[i] >= parts[i] - 1e-9
+        if parent[i] >= 0:
+            parts[parent[i]] += whole[i] if take[i] else parts[i]
+    for i, up in enumerate(parent):
+        if up >= 0 and take[up]:
+            take[i] = True
+    return np.array(take, dtype=bool)
+
+
 def text_of(dom: Dom, keep: np.ndarray) -> str:
     """The text of the kept elements: white space made one space, a line for each block, character references decoded."""
     lines: list[tuple[int, list[str]]] = []
@@ -289,10 +308,12 @@ def text_of(dom: Dom, keep: np.ndarray) -> str:
             continue
         at = block.get(i)
         if at is None:
-            at = i
-            while dom.tag[at] in _INLINE:
+            at, path = i, []
+            while dom.tag[at] in _INLINE and at not in block:
+                path.append(at)
                 at = dom.parent[at]
-            block[i] = at
+            at = block[i] = block.get(at, at)
+            block.update(dict.fromkeys(path, at))
         if text == "\n":
             lines.append((-1, []))
         elif lines and lines[-1][0] == at:
@@ -312,7 +333,7 @@ def fit_extraction(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> PageMode
     return fit_pages([r["html"] for r in sorted(rows, key=lambda r: r["h"])])
 
 
-_OUT = "page_id bigint, url string, text string, n_nodes int, n_content int"
+_OUT = "url string, text string, n_nodes int, n_content int"
 
 
 def extract_batch(model: PageModel, pages: list[str | None]) -> list[tuple[str | None, int | None, int | None]]:
@@ -348,7 +369,7 @@ def _extract(shared):
 
 
 def extract_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
-    """The main text of every page: page_id, url, text, n_nodes (elements) and n_content (elements kept).
+    """The main text of every page: page_id, url, text, n_nodes (elements) and n_content (elements kept). page_id keeps its type.
 
     Each element of a page has features of its subtree (text, density, links, punctuation), attribute tokens, depth,
     siblings and a coarse kind of tag. Boosted trees, fitted on at most ``train_pages`` pages whose ``article`` or
@@ -361,8 +382,8 @@ def extract_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     columns aren't read.
     """
     small_batches(pages.sparkSession)
-    narrow = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    narrow = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     model = fit_extraction(pages, train_pages)
     if model is None:
         return narrow.selectExpr("page_id", "url", "cast(null as string) as text", "cast(null as int) as n_nodes", "cast(null as int) as n_content")
-    return spread(narrow).mapInArrow(tidy(_extract(pages.sparkSession.sparkContext.broadcast(model))), _OUT)
+    return spread(narrow).mapInArrow(tidy(_extract(pages.sparkSession.sparkContext.broadcast(model))), f"page_id {pages.schema['page_id'].dataType.simpleString()}, {_OUT}")

@@ -43,6 +43,46 @@ def test_parse_of_odd_pages_takes_linear_time():
     assert time.time() - began < 30
 
 
+def test_large_odd_pages_are_extracted_in_linear_time():
+    import time
+
+    model = fit_pages([page(i)[0] for i in range(60)])
+    n = 100_000
+    for odd in ("<div>" * n + "</span>" * n, "<div>" * (2 * n), "<p><button>" + "<div>" * n, "<b>x" * n, "<article>" * n + "x", "<nav>" * n, "<table>" + "<tr><td>" * n, "<ul>" + "<li>x" * n, "<span>" + "<div></span>" * n):
+        began = time.time()
+        extract_batch(model, [odd])
+        assert time.time() - began < 10, odd[:20]
+
+
+def test_deep_trees_decode_as_flat_ones_do():
+    from layerlode.llm.html import _decode_deep
+
+    r = random.Random(2)
+    for _ in range(50):
+        n = r.randint(1, 40)
+        parent = [-1] + [r.randrange(i) for i in range(1, n)]
+        # document order needs each subtree to be a run: rebuild from a walk
+        kids = {i: [j for j in range(n) if parent[j] == i] for i in range(n)}
+        order, up, stack = [], [], [(0, -1)]
+        while stack:
+            at, above = stack.pop()
+            up.append(above)
+            order.append(at)
+            stack += [(k, len(order) - 1) for k in kids[at]]
+        depth, end = [0] * n, [i + 1 for i in range(n)]
+        for i in range(1, n):
+            depth[i] = depth[up[i]] + 1
+        for i in range(n - 1, 0, -1):
+            end[up[i]] = max(end[up[i]], end[i])
+        gains = np.array([r.uniform(-2, 2) for _ in range(n)])
+        sums = np.concatenate([[0.0], np.cumsum(gains)])
+        whole = sums[np.array(end)] - sums[:-1]
+        take = _decode_deep(up, whole.tolist())
+        assert all(take[i] for i in range(1, n) if take[up[i]])
+        if n <= 10:
+            assert abs(gains[take].sum() - brute(up, gains)) < 1e-9
+
+
 def brute(parent, gains):
     """The best set of subtrees, by trying all antichains of a small tree."""
     n = len(parent)
