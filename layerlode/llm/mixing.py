@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +14,8 @@ from layerlode.llm.common import DRIVER_ROWS, materialise, split_by_size
 #: Target marginals are the corpus's own shares to these powers, made to sum to 1: under 1, rare values gain.
 ALPHAS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 ITERATIONS, SEED = 60, "mix-1"
-#: Share of the corpus's tokens that a mix keeps.
-KEEP = 0.5
+#: Share of the corpus's tokens that a mix keeps; how far a share may be from its target before a warning says so.
+KEEP, TOLERANCE = 0.5, 1e-3
 DIMENSIONS = ("source", "lang", "topic")
 _UNKNOWN = "unknown"
 
@@ -55,6 +57,16 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], iterations:
     return np.divide(weights * tokens.sum(), tokens, out=np.zeros_like(weights), where=tokens > 0)
 
 
+def misses(cells: pd.DataFrame, weights: np.ndarray, targets: dict[str, dict[str, float]]) -> list[tuple[str, str, float, float]]:
+    """(dimension, value, target, share reached) where weighted tokens miss a target by more than ``TOLERANCE``."""
+    tokens = cells["tokens"].to_numpy("float64") * weights
+    out = []
+    for d in DIMENSIONS:
+        reached = pd.Series(tokens / max(tokens.sum(), 1e-300)).groupby(cells[d].to_numpy()).sum()
+        out += [(d, v, want, float(reached.get(v, 0.0))) for v, want in targets[d].items() if abs(reached.get(v, 0.0) - want) > TOLERANCE]
+    return out
+
+
 def _rake_by_joins(cells: DataFrame, targets: dict[str, DataFrame], iterations: int) -> DataFrame:
     """As ``rake`` for cells beyond what a driver holds. A step is one aggregation and one join."""
     total = F.broadcast(cells.agg(F.sum("tokens").alias("total")))
@@ -167,6 +179,9 @@ def cell_probabilities(
         frame = cells.orderBy(*DIMENSIONS).toPandas()
         wants = {d: {r[d]: r["want"] for r in wanted[d].collect()} for d in DIMENSIONS}
         frame["factor"] = rake(frame, wants, iterations)
+        if len(frame) and (apart := misses(frame, frame["factor"].to_numpy(), wants)):
+            told = "; ".join(f"{d} {v}: {share:.4f} for {want:.4f}" for d, v, want, share in apart[:5])
+            warnings.warn(f"{len(apart)} targets aren't met after {iterations} rounds, as no weights of the cells may meet them: {told}", stacklevel=2)
         kind = "source string, lang string, topic string, factor double"
         if keep is not None:
             frame["probability"] = rake_within(frame, frame["factor"].to_numpy(), wants, keep, iterations)
@@ -203,7 +218,10 @@ def mix_documents(
     cells: raking again with at most 1 for each cell (``rake_within``). Values and cells with too few tokens for their
     share are kept whole and the others make up for them; ``weight / probability`` is what a kept row counts for where
     the exact targets are wanted. With ``keep`` None the probability is weight / largest weight: marginals hold exactly
-    in expectation, but the rarest wanted cell sets how much of all others is kept. A row is kept if a hash of the seed and doc_id is under its probability: the same rows each time.
+    in expectation, but the rarest wanted cell sets how much of all others is kept.
+
+    Targets that contradict each other, given which cells have tokens, can't be met by any weights. Raking ends after
+    ``iterations`` rounds in any case; a warning names the targets that are missed by more than ``TOLERANCE``. A row is kept if a hash of the seed and doc_id is under its probability: the same rows each time.
 
     A row's topic is the label of the embedding with its doc_id. One row for each kept row: doc_id, source, lang,
     topic, n_tokens, weight, probability. A null source, language or topic is the value "unknown". A null or empty

@@ -12,7 +12,7 @@ from layerlode.llm.common import table
 from layerlode.llm.html import extract_text
 from layerlode.llm.kdtree import kd_tree_shards
 from layerlode.llm.minhash import near_duplicate_groups
-from layerlode.llm.mixing import ALPHAS, ITERATIONS, SEED, mix_documents
+from layerlode.llm.mixing import ALPHAS, ITERATIONS, KEEP, SEED, mix_documents
 from layerlode.llm.quantisation import THRESHOLD, near_duplicate_vectors
 from layerlode.llm.suffix_tree import suffix_tree_scores
 from layerlode.llm.toxicity import toxicity_scores
@@ -28,8 +28,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL draws with weight / largest weight; the pipeline keeps a share of the tokens.
-    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), keep=None)
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +69,30 @@ def _step(dimension: str, source: str) -> str:
         then w * want_{dimension} / sum(w) over (partition by {dimension}) else 0 end as w, want_source, want_lang, want_topic from {source}"""
 
 
-#: Iterative proportional fitting as a recursive query: a turn is one step for each dimension.
+def _fill(source: str, have: str, want: str, amount: str, name: str) -> str:
+    """``source`` with a column ``name``: least(have, scale * want) at the scale where they sum to ``amount``.
+
+    In the order of have / want, those before the first whose share at the rest's scale is less than it has are full.
+    """
+    order = f"(order by {have} / {want} rows between unbounded preceding and current row)"
+    return f"""select f.*, case when {want} > 0 then least({have}, coalesce(s.scale * {want}, {have})) else 0 end as {name} from ({source}) f
+        left join (select arg_min(scale, ratio) as scale from (
+            select {have} / {want} as ratio, greatest({amount} - (sum({have}) over {order} - {have}), 0) / (sum({want}) over () - (sum({want}) over {order} - {want})) as scale
+            from ({source}) where {want} > 0) where scale < ratio) s on true"""
+
+
+def _want(dimension: str) -> str:
+    return _fill(f"select v, t / (select sum(t) from ({_shares(dimension)})) as share, have from ({_shares(dimension)}) join (select {dimension} as v, cast(sum(tokens) as double) as have from facts group by 1) using (v)", "have", "share", f"({KEEP} * (select sum(tokens) from cells))", "want")
+
+
+def _held(dimension: str, source: str) -> str:
+    rest = ", ".join(d for d in ("source", "lang", "topic") if d != dimension)
+    return f"""select i, {dimension}, {rest}, tokens, weight, least(tokens, case when sum(k) over (partition by {dimension}) > 0
+        then k * room_{dimension} / sum(k) over (partition by {dimension}) else 0 end) as k, room_source, room_lang, room_topic from {source}"""
+
+
+#: Iterative proportional fitting as two recursive queries, a turn being a step for each dimension: exact weights, then
+#: shares of at most 1 that keep the budget.
 _MIXING_SQL = f"""
 with recursive topics as (
     select vec_id, cast(min(label) as varchar) as topic from embeddings where vec_id is not null and label is not null group by vec_id
@@ -93,9 +115,22 @@ with recursive topics as (
     select i + 1, source, lang, topic, tokens, w, want_source, want_lang, want_topic
     from ({_step("topic", f"({_step('lang', f'({_step("source", "fitted")})')})")}) where i < {ITERATIONS}
 ), weights as (
-    select source, lang, topic, case when tokens > 0 then w * sum(tokens) over () / tokens else 0 end as weight from fitted where i = {ITERATIONS}
+    select source, lang, topic, tokens, case when tokens > 0 then w * sum(tokens) over () / tokens else 0 end as weight, w * sum(tokens) over () as wanted from fitted where i = {ITERATIONS}
+), room_s as ({_want("source")}), room_l as ({_want("lang")}), room_t as ({_want("topic")}),
+begun as (
+    select b.*, coalesce(s.want, 0) as room_source, coalesce(l.want, 0) as room_lang, coalesce(p.want, 0) as room_topic
+    from ({_fill("select source, lang, topic, tokens, weight, wanted from weights", "tokens", "wanted", f"({KEEP} * (select sum(tokens) from cells))", "k")}) b
+    left join room_s s on s.v = b.source left join room_l l on l.v = b.lang left join room_t p on p.v = b.topic
+), held as (
+    select 0 as i, source, lang, topic, tokens, weight, k, room_source, room_lang, room_topic from begun
+    union all
+    select i + 1, source, lang, topic, tokens, weight, k, room_source, room_lang, room_topic
+    from ({_held("topic", f"({_held('lang', f'({_held("source", "held")})')})")}) where i < {ITERATIONS}
+), last as (
+    select source, lang, topic, tokens, weight, k from held where i = {ITERATIONS}
 ), drawn as (
-    select source, lang, topic, weight, weight / max(weight) over () as probability from weights
+    select source, lang, topic, weight, case when tokens > 0 then kept / tokens else 0 end as probability
+    from ({_fill("select * from last", "tokens", "k", f"({KEEP} * (select sum(tokens) from cells))", "kept")})
 )
 select doc_id, source, lang, topic, tokens as n_tokens, round(weight, 6) as weight, round(probability, 6) as probability
 from facts join drawn using (source, lang, topic)
