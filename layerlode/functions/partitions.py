@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Inputs up to so many bytes may be moved to use every core; larger ones have row groups enough.
-SMALL_BYTES = 16 << 20
 
-
-def spread(df: DataFrame, below: int = SMALL_BYTES) -> DataFrame:
-    """``df`` over all cores if the optimizer's estimate of its size is at most ``below``, else as it is.
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df``, a scan or what was made of one without a shuffle, over all cores if it has fewer partitions, else as it is.
 
     A small file is one row group and so one task, whatever the split size; costly expressions on it would use one core.
+    Fewer partitions than cores hold no more than a split for each core, so little is moved however large the cluster.
+    With ``by`` rows go by the hash of these columns, and aggregations by them need no other shuffle.
     """
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) > below:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)

@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from layerlode.functions.partitions import spread
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def objects(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Documents with the vector and label of the same id: object_id, text, lang, source, embedding, label."""
-    own = documents.select(F.col("doc_id").alias("object_id"), "text", "lang", "source")
-    vectors = embeddings.select(F.col("vec_id").alias("object_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    return own.join(vectors, "object_id")
+def objects(documents: DataFrame, embeddings: DataFrame, shared: bool = False) -> DataFrame:
+    """Documents with the vector and label of the same id: object_id, text, lang, source, embedding, label.
+
+    With ``shared`` a document whose id is past the last vector's has that of its id modulo their number, so that no
+    document is left out where vectors are numbered from 0.
+    """
+    own = spread(documents, "doc_id").select(F.col("doc_id").alias("object_id"), "text", "lang", "source")
+    vectors = embeddings.select(F.col("vec_id").alias("_vector"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    if shared:
+        many = F.broadcast(embeddings.agg((F.max("vec_id") + 1).alias("_many")))
+        own = own.crossJoin(many).withColumn("_vector", F.pmod("object_id", F.col("_many"))).drop("_many")
+    else:
+        own = own.withColumn("_vector", F.col("object_id"))
+    return own.join(vectors, "_vector").drop("_vector")
 
 
 def label_layers(labels: DataFrame) -> DataFrame:
