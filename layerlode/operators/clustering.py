@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from layerlode.functions.partitions import spread
 from layerlode.functions.vectors import mean_vectors
+from layerlode.sources.store import written
 
 
 def cluster_sizes(assignments: DataFrame) -> DataFrame:
@@ -62,12 +64,12 @@ def relabel(assignments: DataFrame, min_clusters: int = 1, max_layers: int | Non
 def k_means_layers(vectors: DataFrame, base_clusters: int = 1024, min_clusters: int = 6, seed: int = 1) -> DataFrame:
     """(object_id, layer, cluster): k-means with ``base_clusters`` centres, then a quarter as many, down to ``min_clusters``.
 
-    No more centres than vectors are asked for.
+    No more centres than vectors are asked for. Vectors are written once, so that no round makes them anew.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    own = vectors.select("object_id", array_to_vector("embedding").alias("features"))
+    own = written(spread(written(vectors.select("object_id", "embedding"), "points")).select("object_id", array_to_vector("embedding").alias("features")), "features")
     n = own.count()
     found, layer, k = None, 0, min(base_clusters, n)
     while k >= max(min_clusters, 1):
@@ -78,4 +80,4 @@ def k_means_layers(vectors: DataFrame, base_clusters: int = 1024, min_clusters:
         layer, k = layer + 1, k // 4
     if found is None:
         raise ValueError(f"fewer than {min_clusters} vectors to cluster")
-    return relabel(found)
+    return relabel(written(found, "labels"))

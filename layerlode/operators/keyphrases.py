@@ -11,15 +11,26 @@ from pyspark.sql import functions as F
 
 from layerlode.functions.partitions import spread
 from layerlode.functions.text import STOP_WORDS, ngrams, words
+from layerlode.operators.embedders import Embedder, embed_texts
+from layerlode.sources.store import written
 
 #: A vocabulary of at most so many terms is broadcast to where texts are counted.
 BROADCAST_TERMS = 200_000
 
 
+def tokens_of(objects: DataFrame) -> DataFrame:
+    """(object_id, tokens): the words of each text, in order."""
+    return spread(objects.select("object_id", "text"), "object_id").select("object_id", words(F.col("text")).alias("tokens"))
+
+
+def grams_of(tokens: DataFrame, low: int = 1, high: int = 4, stop: Collection[str] = STOP_WORDS) -> DataFrame:
+    """(object_id, term), a row for each occurrence of an n-gram of ``tokens(object_id, tokens)``."""
+    return tokens.select("object_id", F.explode(ngrams(F.col("tokens"), low, high, stop)).alias("term"))
+
+
 def grams(objects: DataFrame, low: int = 1, high: int = 4, stop: Collection[str] = STOP_WORDS) -> DataFrame:
     """(object_id, term), a row for each occurrence."""
-    tokens = spread(objects.select("object_id", "text")).select("object_id", words(F.col("text")).alias("_w"))
-    return tokens.select("object_id", F.explode(ngrams(F.col("_w"), low, high, stop)).alias("term"))
+    return grams_of(tokens_of(objects), low, high, stop)
 
 
 def vocabulary(occurrences: DataFrame, max_features: int = 50_000, min_occurrences: int = 1) -> DataFrame:
@@ -31,7 +42,11 @@ def vocabulary(occurrences: DataFrame, max_features: int = 50_000, min_occurrenc
 
 
 def term_counts(occurrences: DataFrame, terms: DataFrame, max_features: int = 50_000) -> DataFrame:
-    """(object_id, term_id, n): a sparse matrix by its cells. The vocabulary's size is known to be ``max_features``."""
+    """(object_id, term_id, n): a sparse matrix by its cells. The vocabulary's size is known to be ``max_features``.
+
+    Terms become numbers and are summed within each object before anything moves; where the objects already lie by the
+    hash of their id nothing moves at all.
+    """
     side = terms.select("term", "term_id")
     side = F.broadcast(side) if max_features <= BROADCAST_TERMS else side
     return occurrences.join(side, "term").groupBy("object_id", "term_id").agg(F.count("*").alias("n"))
@@ -43,19 +58,25 @@ def trimmed_counts(counts: DataFrame, assignments: DataFrame) -> DataFrame:
 
 
 def tie_keeping_top(counted: DataFrame, most: int) -> DataFrame:
-    """Terms whose count reaches the ``most``-th largest; ties at the end stay."""
-    ranked = counted.withColumn("_r", F.rank().over(Window.orderBy(F.desc("occurrences"))))
-    return ranked.where(F.col("_r") <= most).drop("_r")
+    """Terms whose count reaches the ``most``-th largest; ties at the end stay. The count at the end is found by a
+    distributed top-k, so no task ranks them all."""
+    least = F.broadcast(counted.select("occurrences").orderBy(F.desc("occurrences")).limit(most).agg(F.min("occurrences").alias("_least")))
+    return counted.crossJoin(least).where(F.col("occurrences") >= F.col("_least")).drop("_least")
 
 
-def custom_grams(objects: DataFrame, tokenizer: Callable[[str], list[str]], low: int = 1, high: int = 4, stop: Collection[str] = STOP_WORDS, join: str = " ") -> DataFrame:
-    """As ``grams`` with tokens from a callable, applied to Arrow batches of texts."""
+def custom_tokens(objects: DataFrame, tokenizer: Callable[[str], list[str]]) -> DataFrame:
+    """As ``tokens_of`` with tokens from a callable, applied to Arrow batches of texts."""
+
     @F.pandas_udf("array<string>")
     def tokens(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: tokenizer(t) if t is not None else [])
 
-    own = spread(objects.select("object_id", "text")).select("object_id", tokens("text").alias("_w"))
-    found = own.select("object_id", F.explode(ngrams(F.col("_w"), low, high, stop)).alias("term"))
+    return spread(objects.select("object_id", "text"), "object_id").select("object_id", tokens("text").alias("tokens"))
+
+
+def custom_grams(objects: DataFrame, tokenizer: Callable[[str], list[str]], low: int = 1, high: int = 4, stop: Collection[str] = STOP_WORDS, join: str = " ") -> DataFrame:
+    """As ``grams`` with tokens from a callable."""
+    found = grams_of(custom_tokens(objects, tokenizer), low, high, stop)
     return found if join == " " else found.withColumn("term", F.replace("term", F.lit(" "), F.lit(join)))
 
 
@@ -70,12 +91,20 @@ class KeyphraseBuilder:
     stop_words: tuple[str, ...] = STOP_WORDS
     tokenizer: Callable[[str], list[str]] | None = None
     object_to_text: Callable[[DataFrame], Column] | None = None
+    embedder: Embedder | None = None
 
     def fit_transform(self, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(vocabulary, term counts). An empty vocabulary raises ``ValueError``."""
+        """(vocabulary, term counts), the vocabulary written. Texts are cut into words once. An empty vocabulary raises
+        ``ValueError``."""
         own = objects.withColumn("text", self.object_to_text(objects)) if self.object_to_text else objects
-        found = custom_grams(own, self.tokenizer, self.low, self.high, self.stop_words) if self.tokenizer else grams(own, self.low, self.high, self.stop_words)
-        terms = vocabulary(found, self.max_features, self.min_occurrences)
+        tokens = written(custom_tokens(own, self.tokenizer) if self.tokenizer else tokens_of(own), "tokens")
+        found = grams_of(tokens, self.low, self.high, self.stop_words)
+        terms = written(vocabulary(found, self.max_features, self.min_occurrences), "vocabulary")
         if terms.isEmpty():
             raise ValueError("no term occurs often enough for the vocabulary")
         return terms, term_counts(found, terms, self.max_features)
+
+    def fit_embed(self, objects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """As ``fit_transform``, and (term_id, vector) of all terms by ``embedder`` or the offline one."""
+        terms, counts = self.fit_transform(objects)
+        return terms, counts, embed_texts(terms.select("term_id", F.col("term").alias("text")), ["term_id"], self.embedder)

@@ -214,29 +214,42 @@ def names_wide(assignments: DataFrame, names: DataFrame, layers: int) -> DataFra
 
 
 def complete_linkage(distances: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """Merges (a, b, distance, size) in order; rows are numbered first, merges after them. Ties: the lower pair."""
+    """Merges (a, b, distance, size) in order; rows are numbered first, merges after them. Ties: the lower pair.
+
+    Each row keeps the nearest of the rows after it; a merge only raises distances, so no row is searched again but those
+    whose nearest was merged.
+    """
     n = len(distances)
     own = distances.astype(float).copy()
-    np.fill_diagonal(own, np.inf)
+    own[np.tril_indices(n)] = np.inf  # a pair is held by its lower row
+    near = own.argmin(axis=1) if n else np.zeros(0, dtype=np.int64)
+    least = own[np.arange(n), near]
     number, sizes, out = list(range(n)), [1] * n, []
     for step in range(n - 1):
-        i, j = divmod(int(np.argmin(own)), n)
-        i, j = min(i, j), max(i, j)
+        i = int(np.argmin(least))
+        j = int(near[i])
         d = float(own[i, j])
         out.append((min(number[i], number[j]), max(number[i], number[j]), d, sizes[i] + sizes[j]))
-        own[i] = np.maximum(own[i], own[j])
-        own[:, i] = own[i]
-        own[i, i] = np.inf
-        own[j, :] = own[:, j] = np.inf
+        # Distances of the merged row i: the larger of both, in whichever half of the table they lie.
+        own[:i, i] = np.maximum(own[:i, i], own[:i, j])
+        own[i, i + 1 : j] = np.maximum(own[i, i + 1 : j], own[i + 1 : j, j])
+        own[i, j + 1 :] = np.maximum(own[i, j + 1 :], own[j, j + 1 :])
+        own[:, j] = np.inf
+        own[j, :] = np.inf
+        least[j] = np.inf
+        again = np.flatnonzero((near == i) | (near == j))
+        for r in {i, *again[np.isfinite(least[again])].tolist()} - {j}:
+            near[r] = int(own[r].argmin())
+            least[r] = own[r, near[r]]
         sizes[i] += sizes[j]
         number[i] = n + step
     return out
 
 
-def rename_threshold(distances: np.ndarray, most: int = MOST_ALIKE, far: float = FAR) -> float:
+def rename_threshold(distances: np.ndarray, most: int = MOST_ALIKE, far: float = FAR, merges: list[tuple[int, int, float, int]] | None = None) -> float:
     """Where to cut a complete linkage: before a group gets more than ``most`` members, duplicates not counting, or at the
     first merge farther than ``far``, else at the last."""
-    merges = complete_linkage(distances)
+    merges = complete_linkage(distances) if merges is None else merges
     for i, (_, _, d, size) in enumerate(merges):
         before = merges[i - 1][2] if i else merges[-1][2]
         if size > most and before > _NEAR:
@@ -254,9 +267,10 @@ def rename_groups_of(vectors: np.ndarray, most: int = MOST_ALIKE, far: float = F
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = np.divide(vectors, norms, out=np.zeros_like(vectors, dtype=float), where=norms > 0)
     distances = np.clip(1 - unit @ unit.T, 0, 2)
-    cut = rename_threshold(distances, most, far)
+    merges = complete_linkage(distances)
+    cut = rename_threshold(distances, most, far, merges)
     members: dict[int, list[int]] = {i: [i] for i in range(n)}
-    for step, (a, b, d, _) in enumerate(complete_linkage(distances)):
+    for step, (a, b, d, _) in enumerate(merges):
         if d >= cut and d > _NEAR:
             break
         members[n + step] = members.pop(a) + members.pop(b)

@@ -171,13 +171,18 @@ def larger_topic(names: Column, corpus: str = "a collection") -> Column:
     return F.when(F.size(own) == 0, F.lit(f"topics found in {corpus}")).when(F.size(own) == 1, own[0]).otherwise(F.concat(head, F.lit(" and "), F.element_at(own, -1)))
 
 
-def rename_prompts(groups: DataFrame, objects: str = "documents", corpus: str = "a collection", wording: Wording = ENGLISH, max_keyphrases: int = 8, max_exemplars: int = 4) -> DataFrame:
+def rename_prompts(
+    groups: DataFrame, objects: str = "documents", corpus: str = "a collection", wording: Wording = ENGLISH, max_keyphrases: int = 8, max_exemplars: int = 4, max_subtopics: int = 16
+) -> DataFrame:
     """(layer, group_id, chunk, old_names, prompt): ``groups(layer, group_id, chunk, position, cluster, name, keyphrases,
-    exemplars, kind_index)`` as one request for each chunk of a group."""
+    exemplars, kind_index)`` as one request for each chunk of a group. Main and lesser subtopics (``major``, ``minor``) and,
+    above layer 1, further ones (``subtopics``) are told where there are such columns."""
     none = F.array().cast("array<string>")
+    told = [(wording.major, "major"), (wording.minor, "minor"), (wording.other, "subtopics")]
+    subs = [_section(title, F.when(F.col("layer") > 1, F.col(c)) if c == "subtopics" else F.col(c), max_subtopics) for title, c in told if c in groups.columns]
     line = F.concat(
         F.lit("\n"), F.col("position").cast("string"), F.lit(". "), F.col("name"), F.lit("\n"),
-        _section(wording.keywords, F.col("keyphrases"), max_keyphrases, ", "),
+        _section(wording.keywords, F.col("keyphrases"), max_keyphrases, ", "), *subs,
         F.array_join(F.transform(F.slice(F.coalesce("exemplars", none), 1, max_exemplars), lambda x: F.concat(F.lit(f'{wording.samples}: "'), x, F.lit('"\n'))), ""),
     )
     items = F.array_sort(F.collect_list(F.struct("position", "cluster", "name", line.alias("line"))))

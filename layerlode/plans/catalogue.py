@@ -21,9 +21,9 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def registered(sql: str | None = None, high: int = 4) -> Callable[[Callable[[Fixture], DataFrame]], Callable[[Fixture], DataFrame]]:
+def registered(sql: str | None = None) -> Callable[[Callable[[Fixture], DataFrame]], Callable[[Fixture], DataFrame]]:
     def add(f: Callable[[Fixture], DataFrame]) -> Callable[[Fixture], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, folder: f(Fixture(spark, folder, high))
+        QUERIES[f.__name__] = lambda spark, folder: f(Fixture(spark, folder))
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -39,11 +39,11 @@ def registered(sql: str | None = None, high: int = 4) -> Callable[[Callable[[Fix
         """, weights as (
     select term_id, pow(greatest(held + greatest(1 - covered, 0) * 0.1 / (n + 0.1) * ln(0.1 / (n + 0.1)), 0), 2) as weight from (
         select term_id, sum((c + 0.1 * q) / (n + 0.1) * ln((c + 0.1 * q) / (n + 0.1) / q)) as held, sum(q) as covered, any_value(n) as n from (
-            select term_id, c, q, sum(c) over (partition by term_id) as n from o4_classes join (
-                select cluster, sum(c) / sum(sum(c)) over () as q from o4_classes where layer = 0 group by cluster) using (cluster) where layer = 0) group by term_id)
+            select term_id, c, q, sum(c) over (partition by term_id) as n from d4_classes join (
+                select cluster, sum(c) / sum(sum(c)) over () as q from d4_classes where layer = 0 group by cluster) using (cluster) where layer = 0) group by term_id)
 ), ranked as (
     select cluster, term, row_number() over (partition by cluster order by score desc, term) as r from (
-        select cluster, term, round(s * weight, 6) as score from o4_classes join weights using (term_id) join o4_terms using (term_id) where layer = 0) where score > 0
+        select cluster, term, round(s * weight, 6) as score from d4_classes join weights using (term_id) join d4_terms using (term_id) where layer = 0) where score > 0
 ), top as (
     select cluster, string_agg(term, ', ' order by r) as keyphrases, string_agg(term, ' / ' order by r) filter (where r <= 3) as name from ranked where r <= 5 group by cluster
 ), central as (
@@ -51,7 +51,7 @@ def registered(sql: str | None = None, high: int = 4) -> Callable[[Callable[[Fix
 )
 select s.cluster, size, keyphrases, name, exemplar, parent_layer, parent_cluster from sizes s left join top using (cluster) left join central using (cluster)
     left join edges on child_layer = 0 and child_cluster = s.cluster where s.layer = 0""",
-        "o4_classes", "o4_terms", "sizes", "far", "edges",
+        "d4_classes", "d4_terms", "sizes", "far", "edges",
     ).replace("\n, weights", ", weights")
 )
 def flagship(f: Fixture) -> DataFrame:
@@ -102,28 +102,22 @@ def tokens_per_doc(f: Fixture) -> DataFrame:
     return own.select("object_id", F.size("w").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("w")).cast("bigint").alias("n_distinct"), F.md5(F.array_join("w", " ")).alias("tokens"))
 
 
-def _documents_grams(f: Fixture) -> tuple[DataFrame, DataFrame]:
-    found = keyphrases.grams(f.documents, 1, 4)
-    return found, store.written(keyphrases.vocabulary(found, min_occurrences=2), "vocabulary")
-
-
 @registered(query("select term_id, term, occurrences from d4_terms", "d4_terms"))
 def vocabulary(f: Fixture) -> DataFrame:
-    return _documents_grams(f)[1]
+    return f.terms
 
 
 @registered(query("select term, count(*) as occurrences from d4_grams group by term qualify rank() over (order by count(*) desc) <= 1000", "d4_grams"))
 def vocabulary_with_ties(f: Fixture) -> DataFrame:
-    return keyphrases.tie_keeping_top(_documents_grams(f)[0].groupBy("term").agg(F.count("*").alias("occurrences")), 1000)
+    return keyphrases.tie_keeping_top(store.written(keyphrases.grams_of(f.tokens).groupBy("term").agg(F.count("*").alias("occurrences")), "terms"), 1000)
 
 
 @registered(query("select object_id, term_id, n from d4_counts", "d4_counts"))
 def term_counts_coo(f: Fixture) -> DataFrame:
-    found, terms = _documents_grams(f)
-    return keyphrases.term_counts(found, terms)
+    return keyphrases.term_counts(keyphrases.grams_of(f.tokens), f.terms)
 
 
-@registered(query("select layer, cluster, object_id, term_id, n from o1_counts join assignments using (object_id) where cluster >= 0", "o1_counts", "assignments"), high=1)
+@registered(query("select layer, cluster, object_id, term_id, n from d4_counts join assignments using (object_id) where cluster >= 0", "d4_counts", "assignments"))
 def term_counts_trimmed(f: Fixture) -> DataFrame:
     return keyphrases.trimmed_counts(f.counts, f.assignments)
 
@@ -137,7 +131,7 @@ def tokenizer_ngrams(f: Fixture) -> DataFrame:
 
 @registered(
     query(
-        """select object_id, case when rank is null then '' else substr(html, 1, 500) end as text from (select page_id as object_id, html from pages)
+        """select object_id, case when rank is null then '' else html end as text from (select page_id as object_id, html from pages)
     left join (select *, row_number() over (partition by k order by md5('s-' || page_id), page_id) as rank from (select page_id, split_part(url, '/', 3) as k from pages) qualify rank <= 3) c on c.page_id = object_id"""
     )
 )
@@ -149,7 +143,7 @@ def exemplar_texts_of_pages(f: Fixture) -> DataFrame:
     hosts = pages.select("object_id", F.lit(0).alias("layer"), F.split_part("url", F.lit("/"), F.lit(3)).alias("host"))
     order = Window.partitionBy("host").orderBy(F.md5(F.concat(F.lit("s-"), F.col("object_id").cast("string"))), "object_id")
     chosen = hosts.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
-    return joined_texts(pages, chosen, lambda df: F.substring("html", 1, 500)).select("object_id", "text")
+    return joined_texts(pages, chosen, lambda df: F.col("html")).select("object_id", "text")
 
 
 # ---- clusters and their tree ---------------------------------------------------------------------------------------
@@ -251,17 +245,16 @@ def pairwise_cosine(f: Fixture) -> DataFrame:
 
 @registered(
     query(
-        """select term_id, cast(pos - 1 as int) as pos, round(sum(n * x) / sum(n), 6) as value from o1_counts join cells using (object_id) group by term_id, pos""",
-        "o1_counts", "cells",
+        """select term_id, cast(pos - 1 as int) as pos, round(sum(n * x) / sum(n), 6) as value from d4_counts join cells using (object_id) group by term_id, pos""",
+        "d4_counts", "cells",
     ),
-    high=1,
 )
 def term_vectors(f: Fixture) -> DataFrame:
     own = ranking.term_vectors(f.counts, f.vectors)
     return own.select("term_id", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
-@registered(query("select term_id, term, occurrences from o1_terms where occurrences < 10", "o1_terms"), high=1)
+@registered(query("select term_id, term, occurrences from d4_terms where occurrences < 10", "d4_terms"))
 def missing_term_vectors(f: Fixture) -> DataFrame:
     """Terms to embed where only those that occur ten times or more have vectors."""
     known = f.terms.where("occurrences >= 10").select("term_id", F.array(F.lit(1.0)).alias("vector"))
@@ -277,30 +270,30 @@ def embedded_names(f: Fixture) -> DataFrame:
 # ---- keyphrases ----------------------------------------------------------------------------------------------------
 
 
-@registered(query("select layer, cluster, term_id, c, round(s, 6) as s from o4_classes", "o4_classes"))
+@registered(query("select layer, cluster, term_id, c, round(s, 6) as s from d4_classes", "d4_classes"))
 def class_term_counts(f: Fixture) -> DataFrame:
     return f.classes.withColumn("s", F.round("s", 6))
 
 
-_BM25 = """, dl as (select layer, cluster, sum(c) as dl from o4_classes group by layer, cluster), l as (select layer, count(*) as classes, avg(dl) as avgdl from dl group by layer),
+_BM25 = """, dl as (select layer, cluster, sum(c) as dl from d4_classes group by layer, cluster), l as (select layer, count(*) as classes, avg(dl) as avgdl from dl group by layer),
 scored as (select layer, cluster, term, round(c / (1.5 * (0.25 + 0.75 * dl / avgdl) + c) * ln(1 + (classes - df + 0.5) / (df + 0.5)), 6) as score
-    from (select *, count(*) over (partition by layer, term_id) as df from o4_classes) join dl using (layer, cluster) join l using (layer) join o4_terms using (term_id))
+    from (select *, count(*) over (partition by layer, term_id) as df from d4_classes) join dl using (layer, cluster) join l using (layer) join d4_terms using (term_id))
 select layer, cluster, cast(rank as int) as rank, term, score from (select *, row_number() over (partition by layer, cluster order by score desc, term) as rank from scored where score > 0) where rank <= 16"""
 
 
-@registered(query(_BM25, "o4_classes", "o4_terms").replace("\n, dl", ", dl"))
+@registered(query(_BM25, "d4_classes", "d4_terms").replace("\n, dl", ", dl"))
 def bm25_scores(f: Fixture) -> DataFrame:
     return ranking.top_terms(ranking.bm25(f.classes), f.terms, 16).drop("term_id")
 
 
-_WEIGHTS = """, shares as (select layer, cluster, sum(c) / sum(sum(c)) over (partition by layer) as q from o4_classes group by layer, cluster),
+_WEIGHTS = """, shares as (select layer, cluster, sum(c) / sum(sum(c)) over (partition by layer) as q from d4_classes group by layer, cluster),
 weights as (select layer, term_id, pow(greatest(held + greatest(1 - covered, 0) * 0.1 / (n + 0.1) * ln(0.1 / (n + 0.1)), 0), 2) as weight from (
     select layer, term_id, sum((c + 0.1 * q) / (n + 0.1) * ln((c + 0.1 * q) / (n + 0.1) / q)) as held, sum(q) as covered, any_value(n) as n
-    from (select *, sum(c) over (partition by layer, term_id) as n from o4_classes) join shares using (layer, cluster) group by layer, term_id))
+    from (select *, sum(c) over (partition by layer, term_id) as n from d4_classes) join shares using (layer, cluster) group by layer, term_id))
 """
 
 
-@registered(query(_WEIGHTS + "select layer, term_id, round(weight, 6) as weight from weights", "o4_classes").replace("\n, shares", ", shares"))
+@registered(query(_WEIGHTS + "select layer, term_id, round(weight, 6) as weight from weights", "d4_classes").replace("\n, shares", ", shares"))
 def information_weights(f: Fixture) -> DataFrame:
     return ranking.information_weights(f.classes).withColumn("weight", F.round("weight", 6))
 
@@ -309,8 +302,8 @@ def information_weights(f: Fixture) -> DataFrame:
     query(
         _WEIGHTS
         + """select layer, cluster, cast(rank as int) as rank, term, score from (select *, row_number() over (partition by layer, cluster order by score desc, term) as rank from (
-        select layer, cluster, term, round(s * weight, 6) as score from o4_classes join weights using (layer, term_id) join o4_terms using (term_id)) where score > 0) where rank <= 64""",
-        "o4_classes", "o4_terms",
+        select layer, cluster, term, round(s * weight, 6) as score from d4_classes join weights using (layer, term_id) join d4_terms using (term_id)) where score > 0) where rank <= 64""",
+        "d4_classes", "d4_terms",
     ).replace("\n, shares", ", shares")
 )
 def information_scores(f: Fixture) -> DataFrame:
@@ -319,14 +312,13 @@ def information_scores(f: Fixture) -> DataFrame:
 
 @registered(
     query(
-        """, vecs as (select term_id, pos, sum(n * x) / sum(n) as x from o1_counts join cells using (object_id) group by term_id, pos),
+        """, vecs as (select term_id, pos, sum(n * x) / sum(n) as x from d4_counts join cells using (object_id) group by term_id, pos),
 centred as (select term_id, pos, x - avg(x) over (partition by pos) as x from vecs),
-mid as (select layer, cluster, pos, sum(c * x) / sum(c) as m from o1_classes join centred using (term_id) group by layer, cluster, pos),
-apart as (select layer, cluster, term_id, round(1 - sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 6) as distance from o1_classes join centred using (term_id) join mid using (layer, cluster, pos) group by layer, cluster, term_id)
-select layer, cluster, cast(rank as int) as rank, term_id, term, distance from (select *, row_number() over (partition by layer, cluster order by distance, term) as rank from apart join o1_terms using (term_id)) where rank <= 64""",
-        "o1_counts", "o1_classes", "o1_terms", "cells",
+mid as (select layer, cluster, pos, sum(c * x) / sum(c) as m from d4_classes join centred using (term_id) group by layer, cluster, pos),
+apart as (select layer, cluster, term_id, round(1 - sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 6) as distance from d4_classes join centred using (term_id) join mid using (layer, cluster, pos) group by layer, cluster, term_id)
+select layer, cluster, cast(rank as int) as rank, term_id, term, distance from (select *, row_number() over (partition by layer, cluster order by distance, term) as rank from apart join d4_terms using (term_id)) where rank <= 64""",
+        "d4_counts", "d4_classes", "d4_terms", "cells",
     ).replace("\n, vecs", ", vecs"),
-    high=1,
 )
 def central_keyphrase_order(f: Fixture) -> DataFrame:
     return ranking.central_terms(f.classes, ranking.term_vectors(f.counts, f.vectors), f.terms, 8)
@@ -432,7 +424,6 @@ for _method in subtopics.METHODS:
     from co join names n on n.layer = 0 and n.cluster = sub_cluster join sizes s on s.layer = 0 and s.cluster = sub_cluster group by co.layer, co.cluster""".replace("select layer, cluster", "select co.layer, co.cluster"),
         "co", "names", "sizes",
     ),
-    high=1,
 )
 def summary_subtopics(f: Fixture) -> DataFrame:
     """Name, summary and explanation of each subtopic as one text."""
@@ -450,17 +441,17 @@ def detail_levels(f: Fixture) -> DataFrame:
     return prompts.detail_levels(f.assignments).withColumn("detail", F.round("detail", 6))
 
 
-@registered(query("select layer, cluster, name from inherited", "inherited"), high=1)
+@registered(query("select layer, cluster, name from inherited", "inherited"))
 def skip_prompts(f: Fixture) -> DataFrame:
     return prompts.inherited_names(f.edges, f.names)
 
 
-@registered(query("select layer, cluster, array_to_string(major, '|') as major, array_to_string(minor, '|') as minor from major_minor", "major_minor"), high=1)
+@registered(query("select layer, cluster, array_to_string(major, '|') as major, array_to_string(minor, '|') as minor from major_minor", "major_minor"))
 def major_minor_subtopics(f: Fixture) -> DataFrame:
     return prompts.major_minor(f.edges, f.names).select("layer", "cluster", F.array_join("major", "|").alias("major"), F.array_join("minor", "|").alias("minor"))
 
 
-@registered(query("select layer, cluster, skip, prompt from prompts", "prompts"), high=1)
+@registered(query("select layer, cluster, skip, prompt from prompts", "prompts"))
 def topic_prompt_text(f: Fixture) -> DataFrame:
     return prompts.name_prompts(f.clusters).select("layer", "cluster", "prompt.skip", F.col("prompt.combined").alias("prompt"))
 
@@ -471,7 +462,6 @@ def topic_prompt_text(f: Fixture) -> DataFrame:
     from (select layer, list_sort(list_distinct(list(name)))[1:3] as n from names group by layer)""",
         "names",
     ),
-    high=1,
 )
 def larger_topic(f: Fixture) -> DataFrame:
     return f.names.groupBy("layer").agg(prompts.larger_topic(F.collect_list("name")).alias("larger"))
@@ -480,7 +470,7 @@ def larger_topic(f: Fixture) -> DataFrame:
 # ---- naming --------------------------------------------------------------------------------------------------------
 
 
-@registered(query("select layer, name, count(*) as n from names group by layer, name having count(*) >= 2", "names"), high=1)
+@registered(query("select layer, name, count(*) as n from names group by layer, name having count(*) >= 2", "names"))
 def duplicate_names(f: Fixture) -> DataFrame:
     return naming.repeated_names(f.names, 2)
 
@@ -530,7 +520,7 @@ def rename_mapping(f: Fixture) -> DataFrame:
     return f.table("documents").select("doc_id", F.array_join(naming.renamed(reply, old), "|").alias("names"))
 
 
-@registered(query("select object_id, a.layer, coalesce(name, 'Unlabelled') as name from assignments a left join names n on n.layer = a.layer and n.cluster = a.cluster", "assignments", "names"), high=1)
+@registered(query("select object_id, a.layer, coalesce(name, 'Unlabelled') as name from assignments a left join names n on n.layer = a.layer and n.cluster = a.cluster", "assignments", "names"))
 def topic_name_vector(f: Fixture) -> DataFrame:
     return naming.names_of_objects(f.assignments, f.names)
 
@@ -566,7 +556,7 @@ def _labels(f: Fixture) -> DataFrame:
     return own.select("layer", "cluster", "name", "size", "n_objects", trees.topic_label(F.col("layer"), F.col("cluster"), F.col("name"), F.col("size"), F.col("n_objects")).alias("label"))
 
 
-@registered(query(_LABELS, "sizes", "names", "objects"), high=1)
+@registered(query(_LABELS, "sizes", "names", "objects"))
 def topic_label(f: Fixture) -> DataFrame:
     return _labels(f).select("layer", "cluster", "label")
 
@@ -575,7 +565,6 @@ def topic_label(f: Fixture) -> DataFrame:
     query(
         f", labels as ({_LABELS})" + trees.TREE_SQL.replace("with recursive walk", ", walk"), "sizes", "names", "objects", "edges"
     ).replace("\n, labels", ", labels"),
-    high=1,
 )
 def tree_text(f: Fixture) -> DataFrame:
     return trees.tree_lines(f.edges, _labels(f))
@@ -589,13 +578,12 @@ def tree_text(f: Fixture) -> DataFrame:
     from sizes, tops where layer = top - 1 group by top""",
         "edges", "sizes", "names", "objects", "tops",
     ),
-    high=1,
 )
 def treemap(f: Fixture) -> DataFrame:
     return trees.treemap(f.edges, _labels(f))
 
 
-@registered(query("select layer, count(*) as num_clusters, avg(size) as avg_cluster_size, min(size) as min_cluster_size, max(size) as max_cluster_size, count(distinct name) as unique_topic_names, count(name) - count(distinct name) as duplicate_topic_names, bool_or(len(coalesce(subtopics, [])) > 0) as has_subtopics from topics group by layer", "topics"), high=1)
+@registered(query("select layer, count(*) as num_clusters, avg(size) as avg_cluster_size, min(size) as min_cluster_size, max(size) as max_cluster_size, count(distinct name) as unique_topic_names, count(name) - count(distinct name) as duplicate_topic_names, bool_or(len(coalesce(subtopics, [])) > 0) as has_subtopics from topics group by layer", "topics"))
 def layer_summary(f: Fixture) -> DataFrame:
     return audit.layer_summary(f.topics)
 
@@ -612,12 +600,12 @@ def _flat_audit(own: DataFrame) -> DataFrame:
     return joined.drop("subtopics_list")
 
 
-@registered(query(_AUDIT, "topics", "assignments"), high=1)
+@registered(query(_AUDIT, "topics", "assignments"))
 def audit_all_layers(f: Fixture) -> DataFrame:
     return _flat_audit(audit.cluster_audit(f.topics, f.assignments))
 
 
-@registered(query(_AUDIT + " where t.layer = 1", "topics", "assignments"), high=1)
+@registered(query(_AUDIT + " where t.layer = 1", "topics", "assignments"))
 def audit_clusters(f: Fixture) -> DataFrame:
     return _flat_audit(audit.cluster_audit(f.topics, f.assignments, 1))
 
@@ -628,7 +616,6 @@ def audit_clusters(f: Fixture) -> DataFrame:
     coalesce(array_to_string(subtopics[1:5], ', '), '') as "Child Subtopics", coalesce(name, '') as "Final LLM Topic Name" from topics where layer = 1""",
         "topics",
     ),
-    high=1,
 )
 def audit_comparison(f: Fixture) -> DataFrame:
     return audit.comparison(f.topics, f.assignments, 1)
@@ -640,7 +627,6 @@ def audit_comparison(f: Fixture) -> DataFrame:
     from (select cluster, name, unnest(keyphrases) as k, generate_subscripts(keyphrases, 1) as i from topics where layer = 0)""",
         "topics",
     ),
-    high=1,
 )
 def audit_keyphrases(f: Fixture) -> DataFrame:
     return audit.keyphrase_analysis(f.topics, 0)
@@ -652,7 +638,6 @@ def audit_keyphrases(f: Fixture) -> DataFrame:
     cast(len(list_filter(keyphrases[1:10], lambda k: contains(lower(prompt), lower(k)))) as int) as num_keyphrases_in_prompt, name as topic_name, cast(length(name) as int) as topic_name_length from topics""",
         "topics",
     ),
-    high=1,
 )
 def audit_prompts(f: Fixture) -> DataFrame:
     return audit.prompt_analysis(f.topics)
@@ -663,13 +648,13 @@ def cluster_documents(f: Fixture) -> DataFrame:
     return audit.cluster_documents(f.assignments, f.objects, 2, 0)
 
 
-@registered(query("select layer, cluster, name, size, array_to_string(keyphrases, '|') as keyphrases, array_to_string(exemplars, '|') as exemplars, array_to_string(subtopics, '|') as subtopics, prompt from topics where layer = 2 and cluster = 1", "topics"), high=1)
+@registered(query("select layer, cluster, name, size, array_to_string(keyphrases, '|') as keyphrases, array_to_string(exemplars, '|') as exemplars, array_to_string(subtopics, '|') as subtopics, prompt from topics where layer = 2 and cluster = 1", "topics"))
 def cluster_details(f: Fixture) -> DataFrame:
     own = audit.cluster_details(f.topics, 2, 1)
     return own.withColumns({c: F.array_join(c, "|") for c in ("keyphrases", "exemplars", "subtopics")})
 
 
-@registered(query("select layer, string_agg(name, '|' order by cluster) as names from names group by layer", "names"), high=1)
+@registered(query("select layer, string_agg(name, '|' order by cluster) as names from names group by layer", "names"))
 def names_per_layer(f: Fixture) -> DataFrame:
     items = F.array_sort(F.collect_list(F.struct("cluster", "name")))
     return f.names.groupBy("layer").agg(F.array_join(F.transform(items, lambda s: s["name"]), "|").alias("names"))

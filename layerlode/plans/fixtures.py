@@ -15,8 +15,8 @@ KEYPHRASES, EXEMPLARS, MIN_OCCURRENCES = 10, 3, 2
 
 
 class Fixture:
-    def __init__(self, spark: SparkSession, folder: str, high: int = 4):
-        self.spark, self.folder, self.high = spark, folder, high
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
         return corpus.read(self.spark, self.folder, name)
@@ -27,7 +27,8 @@ class Fixture:
 
     @cached_property
     def objects(self) -> DataFrame:
-        return corpus.objects(self.table("documents"), self.table("embeddings"))
+        """Every document, with a vector."""
+        return corpus.objects(self.table("documents"), self.table("embeddings"), shared=True)
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -35,25 +36,25 @@ class Fixture:
 
     @cached_property
     def assignments(self) -> DataFrame:
-        return corpus.label_layers(self.objects)
+        return corpus.label_layers(self.objects.select("object_id", "label"))
 
     @cached_property
     def edges(self) -> DataFrame:
         return clustering.cluster_tree(self.assignments)
 
-    @cached_property
-    def grams(self) -> DataFrame:
-        return keyphrases.grams(self.objects, 1, self.high)
-
     # Scores read the counts several times over: they are written once, so texts aren't cut into n-grams for each reading.
 
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return store.written(keyphrases.tokens_of(self.documents), "tokens")
+
     @cached_property
     def terms(self) -> DataFrame:
-        return store.written(keyphrases.vocabulary(self.grams, min_occurrences=MIN_OCCURRENCES), "vocabulary")
+        return store.written(keyphrases.vocabulary(keyphrases.grams_of(self.tokens), min_occurrences=MIN_OCCURRENCES), "vocabulary")
 
     @cached_property
     def counts(self) -> DataFrame:
-        return store.written(keyphrases.term_counts(self.grams, self.terms), "term_counts")
+        return store.written(keyphrases.term_counts(keyphrases.grams_of(self.tokens), self.terms), "term_counts")
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -74,8 +75,7 @@ class Fixture:
     @cached_property
     def samples(self) -> DataFrame:
         chosen = exemplars.random_exemplars(self.assignments, EXEMPLARS)
-        texts = self.objects.select("object_id", F.substring("text", 1, 200).alias("text"))
-        return ordered_lists(chosen.join(texts, "object_id"), "text", "exemplars")
+        return ordered_lists(chosen.join(self.documents.select("object_id", "text"), "object_id"), "text", "exemplars")
 
     @cached_property
     def clusters(self) -> DataFrame:
@@ -88,10 +88,10 @@ class Fixture:
         keys = ["layer", "cluster"]
         out = base.join(self.names, keys, "left").join(ordered_lists(self.frequent, "term", "keyphrases"), keys, "left").join(self.samples, keys, "left").join(subs, keys, "left")
         out = out.join(prompts.major_minor(self.edges, self.names), keys, "left").join(prompts.inherited_names(self.edges, self.names).withColumnRenamed("name", "inherited"), keys, "left")
-        return out.join(F.broadcast(prompts.detail_levels(base).select("layer", "kind_index")), "layer")
+        return store.written(out.join(F.broadcast(prompts.detail_levels(base).select("layer", "kind_index")), "layer"), "clusters")
 
     @cached_property
     def topics(self) -> DataFrame:
-        """A row for each cluster with its prompt's text, as reports read it."""
+        """A row for each cluster with its prompt's text, as reports read it; written, as each part of it is read again."""
         prompt = prompts.name_prompts(self.clusters).select("layer", "cluster", F.col("prompt.combined").alias("prompt"))
-        return self.clusters.select("layer", "cluster", "name", "size", "keyphrases", "exemplars", "subtopics").join(prompt, ["layer", "cluster"])
+        return store.written(self.clusters.select("layer", "cluster", "name", "size", "keyphrases", "exemplars", "subtopics").join(prompt, ["layer", "cluster"]), "topics")

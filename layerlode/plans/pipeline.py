@@ -44,9 +44,11 @@ class PipelineConfig:
     namer: naming.Namer = field(default_factory=naming.TemplateNamer)
     embedder: Embedder = field(default_factory=HashedNgrams)
     object_to_text: object = None
+    #: Where every request, its reply and what was wrong with it are written as lines of JSON; null: nowhere.
+    events: str | None = None
 
 
-@dataclass
+@dataclass(repr=False)
 class TopicModel:
     """Frames of a fitted model. topics: layer, cluster, name, summary, explanation, size, keyphrases, exemplars, subtopics, prompt."""
 
@@ -57,6 +59,10 @@ class TopicModel:
     topics: DataFrame
     n_layers: int
 
+    def __repr__(self) -> str:
+        """Counts alone, as a job each on tables that are written."""
+        return f"TopicModel(n_samples={self.assignments.where('layer = 0').count()}, n_topics={self.topics.count()}, n_layers={self.n_layers})"
+
     def names_of_objects(self) -> DataFrame:
         return naming.names_of_objects(self.assignments, self.topics)
 
@@ -87,7 +93,12 @@ def cluster(vectors: DataFrame, config: PipelineConfig, metric: str = "cosine")
 
 def _asked(config: PipelineConfig, requests: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Replies to prompts, written at once so that no reply is asked for twice."""
-    return store.written(naming.replies(requests, config.namer, prompts.prompt_text(config.prompt_format), keys), name)
+    found = store.written(naming.replies(requests, config.namer, prompts.prompt_text(config.prompt_format), keys), name)
+    if config.events is not None:
+        asked = requests.select(*keys, prompts.prompt_text(config.prompt_format).alias("prompt"))
+        told = found.join(asked, keys).withColumns({"event": F.lit(name), "namer": F.lit(type(config.namer).__name__), "error": F.when(F.col("reply").isNull() | (F.col("reply") == ""), F.lit("no reply"))})
+        store.write_events(told, config.events)
+    return found
 
 
 def _named(config: PipelineConfig, requests: DataFrame) -> DataFrame:
@@ -108,7 +119,8 @@ def _told_apart(config: PipelineConfig, names: DataFrame, facts: DataFrame) -> D
             break
         vectors = embed_texts(own.select("layer", "cluster", F.col("name").alias("text")), ["layer", "cluster"], config.embedder).withColumnRenamed("vector", "v")
         groups = naming.chunked_groups(naming.rename_groups(own, vectors))
-        told = groups.join(own, ["layer", "cluster"]).join(facts.select("layer", "cluster", "keyphrases", "exemplars", "kind_index"), ["layer", "cluster"])
+        known = facts.select("layer", "cluster", "keyphrases", "exemplars", "kind_index", *[c for c in ("major", "minor", "subtopics") if c in facts.columns])
+        told = groups.join(own, ["layer", "cluster"]).join(known, ["layer", "cluster"])
         requests = store.written(prompts.rename_prompts(told, config.object_description, config.corpus_description, prompts.WORDINGS[config.wording]), "rename_prompts")
         if requests.isEmpty():
             break
@@ -141,7 +153,7 @@ def fit(objects: DataFrame, config: PipelineConfig | None = None, assignments: D
     if config.object_to_text is not None:
         objects = joined_texts(objects, chosen, config.object_to_text)
     terms, counts = config.keyphrase_builder.fit_transform(objects)
-    terms, counts = store.written(terms, "vocabulary"), store.written(counts, "term_counts")
+    counts = store.written(counts, "term_counts")
     ranked = store.written(phrases.candidates(counts, layers, terms, terms, config.n_keyphrases, "information_weighted"), "candidates") if config.keyphrase_method == "information_weighted" else None
     needed = terms.join(ranked.select("term_id").distinct(), "term_id", "left_semi") if ranked is not None else terms
     empty = needed.limit(0).select("term_id", F.array().cast("array<double>").alias("vector"))
@@ -165,9 +177,10 @@ def fit(objects: DataFrame, config: PipelineConfig | None = None, assignments: D
             listed = phrases.ordered_lists(picked.join(low.select(F.col("cluster").alias("sub_cluster"), item.alias("item")), "sub_cluster"), "item", "subtopics")
             inherited = prompts.inherited_names(edges.where(F.col("parent_layer") == layer), names).withColumnRenamed("name", "inherited")
             own = own.join(listed, keys, "left").join(prompts.major_minor(edges.where(F.col("parent_layer") == layer), names), keys, "left").join(inherited, keys, "left")
+        own = store.written(own, "described")
         requests = store.written(prompts.name_prompts(own, config.object_description, config.corpus_description, prompts.WORDINGS[config.wording], delimiters=config.delimiters), "prompts")
         found = store.written(_named(config, requests), "names")
-        apart = _told_apart(config, found, facts.where(F.col("layer") == layer))
+        apart = _told_apart(config, found, own)
         found = store.written(found.drop("name").join(apart, keys), "names")
         names = found if names is None else names.unionByName(found)
         texts = requests.select(*keys, F.col("prompt.combined").alias("prompt"))
@@ -182,6 +195,3 @@ def fit(objects: DataFrame, config: PipelineConfig | None = None, assignments: D
 def fit_predict(objects: DataFrame, config: PipelineConfig | None = None) -> DataFrame:
     """object_id and a column of names for each layer."""
     return fit(objects, config).names_wide()
-
-
-

@@ -52,15 +52,13 @@ _USER = " || ".join(
 
 PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "docs": ("select doc_id as object_id, text, lang, source from documents", ()),
-    "objects": ("select doc_id as object_id, text, lang, source, cast(embedding as double[]) as v, label from documents join embeddings on doc_id = vec_id", ()),
+    "objects": ("select doc_id as object_id, text, lang, source, cast(embedding as double[]) as v, label from documents join embeddings on vec_id = doc_id % (select max(vec_id) + 1 from embeddings)", ()),
     "assignments": (
         """select object_id, 0 as layer, label as cluster from objects union all select object_id, 1, label // 2 from objects
         union all select object_id, 2, case when label >= 8 then -1 else label // 4 end from objects""",
         ("objects",),
     ),
     **_grams("d4", "docs", 4),
-    **_grams("o4", "objects", 4),
-    **_grams("o1", "objects", 1),
     "sizes": ("select layer, cluster, count(*) as size from assignments where cluster >= 0 group by layer, cluster", ("assignments",)),
     "cells": ("select object_id, unnest(v) as x, generate_subscripts(v, 1) as pos from objects", ("objects",)),
     "centres": ("select layer, cluster, pos, avg(x) as m from assignments join cells using (object_id) where cluster >= 0 group by layer, cluster, pos", ("assignments", "cells")),
@@ -79,8 +77,8 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         ("assignments", "tops"),
     ),
     "frequent": (
-        "select * from (select layer, cluster, term, row_number() over (partition by layer, cluster order by c desc, term) as rank from o1_classes join o1_terms using (term_id)) where rank <= 10",
-        ("o1_classes", "o1_terms"),
+        "select * from (select layer, cluster, term, row_number() over (partition by layer, cluster order by c desc, term) as rank from d4_classes join d4_terms using (term_id)) where rank <= 10",
+        ("d4_classes", "d4_terms"),
     ),
     "names": ("select layer, cluster, term as name from frequent where rank = 1", ("frequent",)),
     "below": (
@@ -106,7 +104,7 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         "select * from (select layer, cluster, object_id, cast(row_number() over (partition by layer, cluster order by md5('s-' || object_id), object_id) as int) as rank from assignments where cluster >= 0)",
         ("assignments",),
     ),
-    "samples": ("select layer, cluster, list(substr(text, 1, 200) order by rank) as exemplars from chosen join objects using (object_id) where rank <= 3 group by layer, cluster", ("chosen", "objects")),
+    "samples": ("select layer, cluster, list(text order by rank) as exemplars from chosen join objects using (object_id) where rank <= 3 group by layer, cluster", ("chosen", "objects")),
     "clusters": (
         """select s.layer, s.cluster, size, n.name, k.keyphrases, exemplars, subtopics, major, minor, i.name as inherited, kind_index
         from sizes s left join names n using (layer, cluster) left join (select layer, cluster, list(term order by rank) as keyphrases from frequent group by layer, cluster) k using (layer, cluster)
