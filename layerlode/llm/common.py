@@ -81,6 +81,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Memory that this process freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` for a task; when it ends, memory that it freed goes back to the system, for a Python worker lives on and
     serves tasks of other operators."""
@@ -89,9 +96,7 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-                trim(0)
+            give_back()
 
     return wrapped
 

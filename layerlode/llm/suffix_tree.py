@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerlode.functions.partitions import spread
-from layerlode.llm.common import materialise, mix64, runs, small_batches, tidy
+from layerlode.llm.common import give_back, materialise, mix64, runs, small_batches, tidy
 
 #: Contexts of up to so many bytes are all counted; longer ones where a shorter one is open. Weight of the parent's
 #: distribution in smoothing, in observations. Lengths in a row that may fail the test before growth along them ends.
@@ -25,13 +25,15 @@ _TAILS = 1 << 16  # pairs of symbols
 _FILTER_BITS = 22
 #: Contexts of up to so many symbols are named by them, packed in 64 bits with the next one; longer ones by a hash.
 _PACKED = 7
-_RUN, _ROWS = 1 << 19, 1 << 16
+_RUN, _ROWS, _COLLECTED = 1 << 19, 1 << 16, 1 << 18
 #: Rows that a task adds up before they leave it, of packed and of hashed names; bytes of a split that it should have.
 _FLUSH, _FLUSH_HASHED, _SPLIT = 1 << 21, 1 << 20, 64 << 20
 #: Bytes of a slot, and slots for an entry at most.
 _SLOT = 16 * 3
 #: Lengths counted in one pass where the open contexts hold at most such a share of all bytes.
-_STEPS = ((0.002, 16), (0.02, 4), (1.0, 1))
+_STEPS = ((0.002, 16), (0.02, 4), (1.0, 2))
+#: Counts of several lengths that one task tests; more are tested by joins, with the same result.
+LOCAL_ROWS = 1_000_000
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -300,7 +302,7 @@ def _extend(shared, base: int, d: int, steps: int, part: int | None, parts: np.n
                 held = np.flatnonzero(shared.value.names.find(parent) >= 0)
                 at, parent = at[held], parent[held]
                 if d <= _PACKED:
-                    grams, n = _counted(own.grams[at], d)
+                    grams, n = _counted(own.grams[at], d + steps - 1)
                     yield from sums.add(grams.view(np.int64), n)
                     continue
                 for level in range(d, d + steps):
@@ -336,9 +338,57 @@ def _longer(texts: DataFrame, open_: DataFrame, many_open: int, base: int, d: in
         out = found if out is None else out.union(found)
     if d > _PACKED:
         return _added_up(out, "d", "ctx", "parent", "tail")
-    ctx = f"shiftrightunsigned(gram, 8) & {(1 << 8 * d) - 1}L"
-    out = _added_up(out, "gram")
-    return out.selectExpr(f"{d} as d", f"({ctx}) | {1 << 8 * d}L as ctx", f"({ctx} & {(1 << 8 * (d - 1)) - 1}L) | {1 << 8 * (d - 1)}L as parent", f"gram & {(1 << 8 * (base + 1)) - 1}L as tail", "n")
+    # The longest say what the shorter ones count.
+    own, every = _added_up(out, "gram"), None
+    if steps > 1:
+        own = materialise(own, "grams")
+    for level in range(d, d + steps):
+        ctx, low = f"shiftrightunsigned(gram, 8) & {(1 << 8 * level) - 1}L", (1 << 8 * (level - 1)) - 1
+        rows = own if level == d + steps - 1 else own.groupBy(F.expr(f"gram & {(1 << 8 * (level + 1)) - 1}L").alias("gram")).agg(F.sum("n").alias("n"))
+        rows = rows.selectExpr(f"{level} as d", f"({ctx}) | {1 << 8 * level}L as ctx", f"({ctx} & {low}L) | {low + 1}L as parent", f"gram & {(1 << 8 * (base + 1)) - 1}L as tail", "n")
+        every = rows if every is None else every.unionByName(rows)
+    return every
+
+
+_TESTED = "ctx bigint, d int, parent bigint, tail bigint, total bigint, fails int, varied boolean"
+
+
+def _test_levels(d: int, steps: int, half: float, lookahead: int):
+    """As ``tested``, length after length, for the rows of one task: those above have the length 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
+        if not held:
+            return
+        length, ctx, parent, tail, n, total, fails = (np.concatenate(c) for c in zip(*held, strict=True))
+        del held
+        above = np.flatnonzero(length == 0)
+        before = (ctx[above], tail[above] & 255, n[above], total[above], fails[above])
+        for level in range(d, d + steps):
+            table = Table(_entry_keys(before[0], before[1]), np.arange(len(before[0])))
+            at = np.flatnonzero(length == level)
+            slot = table.find(_entry_keys(parent[at], tail[at] & 255))
+            at, up = at[slot >= 0], table.values[slot[slot >= 0]]
+            order = np.argsort(ctx[at], kind="stable")
+            at, up = at[order], up[order]
+            if not len(at):
+                return
+            first = np.flatnonzero(np.concatenate([[True], np.diff(ctx[at]) != 0]))
+            each, k = n[at].astype(float), np.diff(first, append=len(at))
+            sums = np.add.reduceat(n[at], first)
+            gain = np.add.reduceat(each * np.log(each / before[2][up]), first) + sums * np.log(before[3][up[first]] / sums)
+            failed = np.where(gain >= half * k, 0, before[4][up[first]] + 1).astype(np.int32)
+            varied = sums * np.log(sums) - np.add.reduceat(each * np.log(each), first) >= half
+            one = at[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ctx[one]), pa.array(np.full(len(one), level, dtype=np.int32)), pa.array(parent[one]), pa.array(np.maximum.reduceat(tail[at], first)), pa.array(sums), pa.array(failed), pa.array(varied)],
+                names=["ctx", "d", "parent", "tail", "total", "fails", "varied"],
+            )
+            keep = np.repeat(varied & (failed <= lookahead), k)
+            rows = at[keep]
+            before = (ctx[rows], tail[rows] & 255, n[rows], np.repeat(sums, k)[keep], np.repeat(failed, k)[keep])
+
+    return run
 
 
 def _shorter(own: DataFrame) -> DataFrame:
@@ -347,7 +397,7 @@ def _shorter(own: DataFrame) -> DataFrame:
     return every.selectExpr("d", "(ctx & (shiftleft(1L, 8 * d) - 1)) | shiftleft(1L, 8 * d) as ctx").distinct()
 
 
-def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD, table_bytes: int = TABLE_BYTES) -> tuple[int, DataFrame]:
+def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD, table_bytes: int = TABLE_BYTES, local_rows: int = LOCAL_ROWS) -> tuple[int, DataFrame]:
     """(base, (d, ctx, parent, tail, n, total)): the distributions of all states of the tree, of every length."""
     base = BASE if depth is None else min(BASE, depth)
     dist = materialise(distributions(gram_counts(docs, base), base), "distributions")
@@ -375,10 +425,15 @@ def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD,
         d += 1
         if d > ahead:
             steps = next(n for share, n in _STEPS if held <= share * total or share == 1)
-            steps = 1 if d <= _PACKED else steps if depth is None else min(steps, depth - d + 1)
-            batch, ahead = materialise(_longer(texts, open_, many_open, base, d, steps, table_bytes), "levels"), d + steps - 1
+            steps = _PACKED - d + 1 if d <= _PACKED else steps
+            steps = steps if depth is None else min(steps, depth - d + 1)
+            batch, ahead, together = materialise(_longer(texts, open_, many_open, base, d, steps, table_bytes), "levels"), d + steps - 1, None
+            if steps > 1 and many_open <= local_rows and batch.count() <= local_rows:
+                up = above.selectExpr("0 as d", "ctx", "0L as parent", "cast(sym as bigint) as tail", "n", "total", "fails")
+                every = batch.selectExpr("d", "ctx", "parent", "tail", "n", "0L as total", "0 as fails").unionByName(up)
+                together = materialise(every.coalesce(1).mapInArrow(tidy(_test_levels(d, steps, half, lookahead)), _TESTED), "tested")
         rows = batch.where(f"d = {d}")
-        found = materialise(tested(rows, above, half), "tested")
+        found = together.where(f"d = {d}") if together is not None else materialise(tested(rows, above, half), "tested")
         levels.append((rows, found))
         open_ = found.where(f"varied and fails <= {lookahead}").select("ctx", "tail", "total", "fails")
     # Suffixes of states are states: from the longest down.
@@ -480,18 +535,24 @@ def _score(shared, base: int, part: int | None, parts: np.ndarray | None):
 
 
 def _scorer(entries: DataFrame, base: int, smoothing: float) -> Scorer:
-    """The driver takes a length at a time, so that it holds little besides the table itself."""
-    deepest = entries.agg(F.max("d")).first()[0]
+    """The driver takes some rows at a time, so that it holds little besides the table itself."""
+    sizes = {r["d"]: r["count"] for r in entries.groupBy("d").count().collect()}
 
     def levels() -> Iterator[tuple[np.ndarray, ...]]:
-        for d in range(-1 if deepest is None else deepest + 1):
-            rows = entries.where(f"d = {d}").selectExpr("ctx", "coalesce(parent, 0L) as parent", f"{_SYM} as sym", "n", "total").toArrow()
-            yield tuple(rows.column(c).to_numpy() for c in ("ctx", "parent", "sym", "n", "total"))
+        for d in range(len(sizes)):
+            many, parts = -(-sizes[d] // _COLLECTED), []
+            for k in range(many):
+                own = entries.where(f"d = {d}" + (f" and pmod(ctx, {many}) = {k}" if many > 1 else ""))
+                rows = own.selectExpr("ctx", "coalesce(parent, 0L) as parent", f"cast({_SYM} as smallint) as sym", "n", "total").toArrow()
+                parts.append([c.to_numpy() for c in rows.columns])
+                del rows
+                give_back()
+            yield tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
     return Scorer(levels(), base, smoothing)
 
 
-def suffix_tree_scores(docs: DataFrame, depth: int | None = None, smoothing: float = SMOOTHING, table_bytes: int = TABLE_BYTES, lookahead: int = LOOKAHEAD) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, depth: int | None = None, smoothing: float = SMOOTHING, table_bytes: int = TABLE_BYTES, lookahead: int = LOOKAHEAD, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Score every document with the suffix tree of the whole table.
 
     Counts of every byte after every context of up to 5 bytes are gathered over whole texts of all rows. Longer contexts
@@ -513,7 +574,7 @@ def suffix_tree_scores(docs: DataFrame, depth: int | None = None, smoothing: flo
         raise ValueError("depth must be at least 0")
     spark = docs.sparkSession
     small_batches(spark)
-    base, entries = grown(docs, depth, lookahead, table_bytes)
+    base, entries = grown(docs, depth, lookahead, table_bytes, local_rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     narrow = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     parts = parts_of(_tail_sizes(entries.where("d > 1")), table_bytes / _SLOT) if base > 1 and entries.count() * _SLOT > table_bytes else np.full(_TAILS, -1)

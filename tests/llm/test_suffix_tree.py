@@ -113,8 +113,8 @@ def brute_grown(texts, lookahead=LOOKAHEAD):
     return out, max(map(len, tree))
 
 
-@pytest.mark.parametrize("table_bytes", [1 << 30, 20_000])
-def test_tree_grows_past_the_base_as_far_as_the_test_says(spark, table_bytes):
+@pytest.mark.parametrize(("table_bytes", "local_rows"), [(1 << 30, 1_000_000), (20_000, 0)])
+def test_tree_grows_past_the_base_as_far_as_the_test_says(spark, table_bytes, local_rows):
     r = random.Random(8)
     rule = {f"{k:08b}": r.choice("01") for k in range(256)}
     made = []
@@ -127,7 +127,7 @@ def test_tree_grows_past_the_base_as_far_as_the_test_says(spark, table_bytes):
     want, deepest = brute_grown(texts)
     assert deepest > BASE + 1
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r["doc_id"]: r["log2_prob"] for r in suffix_tree_scores(df, table_bytes=table_bytes).collect()}
+    got = {r["doc_id"]: r["log2_prob"] for r in suffix_tree_scores(df, table_bytes=table_bytes, local_rows=local_rows).collect()}
     for i, score in enumerate(want):
         assert got[i] == pytest.approx(score, rel=1e-10, abs=1e-9)
 
