@@ -26,14 +26,14 @@ _FILTER_BITS = 22
 #: Contexts of up to so many symbols are named by them, packed in 64 bits with the next one; longer ones by a hash.
 _PACKED = 7
 _RUN, _ROWS, _COLLECTED = 1 << 19, 1 << 16, 1 << 18
-#: Rows that a task adds up before they leave it, of packed and of hashed names; bytes of a split that it should have.
-_FLUSH, _FLUSH_HASHED, _SPLIT = 1 << 21, 1 << 20, 64 << 20
+#: Bytes of a split that a task should have; slices of the keys that it adds up one after the other.
+_SPLIT, _SLICES = 64 << 20, 8
 #: Bytes of a slot, and slots for an entry at most.
 _SLOT = 16 * 3
 #: Lengths counted in one pass where the open contexts hold at most such a share of all bytes.
 _STEPS = ((0.002, 16), (0.02, 4), (1.0, 2))
-#: Counts of several lengths that one task tests; more are tested by joins, with the same result.
-LOCAL_ROWS = 1_000_000
+#: Counted rows of packed names, and four times those of hashed ones, that a task adds up before they leave it.
+LOCAL_ROWS = 1 << 22
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -90,39 +90,76 @@ def _cut(column: pa.Array) -> Iterator[tuple[Positions, int, int]]:
 
 
 class _Sums:
-    """Counted rows that are added up by key before they leave a task; a few million are held at most."""
-
-    def __init__(self, names: list[str]):
-        self.names, self.held, self.rows, self.base = names, [], 0, 0
-        self.most = _FLUSH if len(names) == 2 else _FLUSH_HASHED
-
-    def add(self, key: np.ndarray, n: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows with different keys in rising order."""
-        self.held.append((key, n, columns))
+    """Counted rows that are added up by key, a slice of the keys at a time."""
+
+    def __init__(self, most: int | None = None):
+        self.most, self.edges, self.held, self.rows, self.base = most, None, [], 0, 0
+
+    def add(self, key: np.ndarray, n: np.ndarray, *columns: np.ndarray) -> bool:
+        """Take rows with different keys in rising order; whether there are more than ``most`` now."""
+        if not len(key):
+            return False
+        if self.edges is None:
+            self.edges = key[np.arange(1, _SLICES) * len(key) // _SLICES]
+            self.held = [[] for _ in range(_SLICES)]
+        at = [0, *np.searchsorted(key, self.edges).tolist(), len(key)]
+        for held, i, j in zip(self.held, at, at[1:], strict=False):
+            if j > i:
+                held.append(tuple(c[i:j] for c in (key, n, *columns)))
         self.rows += len(key)
-        if self.rows > self.base + self.most // 2:
-            self._unite()
-            if self.rows > self.most:
-                yield from self.rest()
+        if self.rows <= 2 * self.base + (1 << 20 if self.most is None else min(self.most, 1 << 20)):
+            return False
+        self._unite()
+        return self.most is not None and self.rows > self.most
 
     def _unite(self) -> None:
-        key, n = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-        chosen = order[first]
-        columns = tuple(np.concatenate(c)[chosen] for c in zip(*[h[2] for h in self.held], strict=True))
-        self.held = [(key[first], np.add.reduceat(n[order], first) if len(key) else n, columns)]
-        self.rows = self.base = len(first)
-
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.rows:
-            self._unite()
-            key, n, columns = self.held[0]
-            own = (*columns, n) if columns else (key, n)
-            for i in range(0, len(n), _ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + _ROWS]) for c in own], names=self.names)
-        self.held, self.rows, self.base = [], 0, 0
+        self.rows = 0
+        for i, held in enumerate(self.held):
+            if len(held) > 1:
+                key, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                one = order[first]
+                self.held[i] = [(key[first], np.add.reduceat(n[order], first), *(np.concatenate([h[k] for h in held])[one] for k in range(2, len(held[0]))))]
+            self.rows += len(self.held[i][0][0]) if held else 0
+        self.base = self.rows
+
+    def take(self) -> list[np.ndarray] | None:
+        """Keys, in rising order, sums and other columns of all rows, which are held no longer."""
+        self._unite()
+        out = [np.concatenate(c) for c in zip(*(h[0] for h in self.held if h), strict=True)] or None
+        self.edges, self.held, self.rows, self.base = None, [], 0, 0
+        return out
+
+
+def _packed_rows(columns: list[np.ndarray]) -> bytes:
+    """Columns of 8 bytes, the first by differences, byte after byte and compressed."""
+    columns = [np.diff(columns[0].view(np.uint64), prepend=np.uint64(0)), *columns[1:]]
+    planes = np.concatenate([c.view(np.uint8).reshape(-1, 8).T.reshape(-1) for c in columns])
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked_rows(rows: bytes, many: int) -> list[np.ndarray]:
+    n = int.from_bytes(rows[:8], "little")
+    planes = np.frombuffer(pa.decompress(rows[8:], decompressed_size=n * 8 * many, codec="zstd", asbytes=True), dtype=np.uint8).reshape(many, 8, n)
+    columns = [np.ascontiguousarray(c.T).reshape(-1).view(np.int64) for c in planes]
+    return [np.cumsum(columns[0].view(np.uint64), dtype=np.uint64).view(np.int64), *columns[1:]]
+
+
+_SENT = "task int, kind int, rows binary"
+_COUNTS, _ABOVE = 0, 1
+
+
+def _sent(kind: int, root: np.ndarray, columns: list[np.ndarray], tasks: int) -> pa.RecordBatch:
+    """Rows for the tasks that their open contexts ``root`` go to, one package for each, in the order of the first column."""
+    task = ((root.view(np.uint64) * _K[0] >> np.uint64(33)) % np.uint64(tasks)).astype(np.int32)
+    order = np.lexsort((columns[0].view(np.uint64), task))
+    columns = [c[order] for c in columns]
+    to, first = np.unique(task[order], return_index=True)
+    ends = [*first[1:].tolist(), len(order)]
+    packages = [_packed_rows([c[i:j] for c in columns]) for i, j in zip(first.tolist(), ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.full(len(to), kind, dtype=np.int32)), pa.array(packages, pa.binary())], names=["task", "kind", "rows"])
 
 
 def _counted(grams: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,13 +172,20 @@ def _counted(grams: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(["gram", "n"])
+        sums = _Sums(LOCAL_ROWS)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, n = sums.take() or (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+            for i in range(0, len(n), _ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + _ROWS].view(np.int64)), pa.array(n[i : i + _ROWS])], names=["gram", "n"])
+
         for batch in batches:
             for own, *_ in _cut(batch.column(0)):
                 grams, n = _counted(own.grams, depth)
                 held = grams & np.uint64(255) != _START
-                yield from sums.add(grams[held].view(np.int64), n[held])
-        yield from sums.rest()
+                if sums.add(grams[held], n[held]):
+                    yield from out()
+        yield from out()
 
     return run
 
@@ -164,12 +208,8 @@ def _bytes(setting: str) -> int:
 
 def gram_counts(docs: DataFrame, depth: int = BASE) -> DataFrame:
     """(gram, n): how often each byte follows each context of ``depth`` symbols, over whole texts of all rows."""
-    return _added_up(_texts(docs).mapInArrow(tidy(_count(depth)), "gram bigint, n bigint"), "gram")
-
-
-def _added_up(counted: DataFrame, *keys: str) -> DataFrame:
-    """Sums of n. Tasks have added up their own rows: they are sent as they are, and added up where they arrive."""
-    return counted.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+    # Tasks have added up their own rows: they are sent as they are, and added up where they arrive.
+    return _texts(docs).mapInArrow(tidy(_count(depth)), "gram bigint, n bigint").repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def distributions(grams: DataFrame, depth: int = BASE) -> DataFrame:
@@ -286,28 +326,39 @@ def _pairs(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(8) & np.uint64(_TAILS - 1)).view(np.int64)
 
 
-def _extend(shared, base: int, d: int, steps: int, part: int | None, parts: np.ndarray | None):
+def _extend(shared, base: int, d: int, steps: int, part: int | None, parts: np.ndarray | None, tasks: int, local_rows: int):
     """Counts of the contexts of lengths from ``d`` on, ``steps`` of them, whose suffix of length ``d - 1`` is open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(["gram", "n"] if d <= _PACKED else ["d", "ctx", "parent", "tail", "n"])
+        sums = _Sums(local_rows if d <= _PACKED else local_rows // 4)
         low = np.uint64((1 << 8 * (base + 1)) - 1)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            own = sums.take()
+            if own is not None and d <= _PACKED:
+                yield _sent(_COUNTS, packed(own[0], d - 1), own[:2], tasks)
+            elif own is not None:
+                _, n, ctx, parent, tail, root = own
+                yield _sent(_COUNTS, root, [ctx, parent, tail, n], tasks)
+
         for batch in batches:
             for own, *_ in _cut(batch.column(0)):
                 at = np.flatnonzero(shared.value.filter[_slots(own.grams, base)])
                 if part is not None:
                     at = at[parts[_pairs(own.grams[at])] == part]
                 at = at[own.room(at, d)]
-                parent = own.names(d - 1, at)
-                held = np.flatnonzero(shared.value.names.find(parent) >= 0)
-                at, parent = at[held], parent[held]
+                root = own.names(d - 1, at)
+                held = np.flatnonzero(shared.value.names.find(root) >= 0)
+                at, root = at[held], root[held]
                 if d <= _PACKED:
-                    grams, n = _counted(own.grams[at], d + steps - 1)
-                    yield from sums.add(grams.view(np.int64), n)
+                    if sums.add(*_counted(own.grams[at], d + steps - 1)):
+                        yield from out()
                     continue
                 for level in range(d, d + steps):
+                    parent = root
                     if level > d:
-                        at = at[own.room(at, level)]
+                        room = own.room(at, level)
+                        at, root = at[room], root[room]
                         parent = own.names(level - 1, at)
                     if not len(at):
                         break
@@ -317,80 +368,117 @@ def _extend(shared, base: int, d: int, steps: int, part: int | None, parts: np.n
                     key = key[order]
                     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                     one = order[first]
-                    tail = (own.grams[at[one]] & low).view(np.int64)
-                    yield from sums.add(key[first], np.diff(first, append=len(key)), np.full(len(one), level, dtype=np.int32), own.names(level, at[one]), parent[one], tail)
-        yield from sums.rest()
+                    tail = (own.grams[at[one]] & low | np.uint64(level - d << 56)).view(np.int64)
+                    if sums.add(key[first], np.diff(first, append=len(key)), own.names(level, at[one]), parent[one], tail, root[one]):
+                        yield from out()
+        yield from out()
 
     return run
 
 
-def _longer(texts: DataFrame, open_: DataFrame, many_open: int, base: int, d: int, steps: int, table_bytes: int) -> DataFrame:
-    """(d, ctx, parent, tail, n) of the contexts of ``steps`` lengths from ``d`` on with a suffix in ``open_(ctx, tail)``."""
-    spark = texts.sparkSession
-    parts = parts_of(_tail_sizes(open_), table_bytes / _SLOT) if many_open * _SLOT > table_bytes else np.zeros(1, dtype=np.int32)
-    many = int(parts.max(initial=-1)) + 1
-    out = None
-    for part in range(many):
-        own = (open_ if many == 1 else _of_part(open_, parts, part)).select("ctx", "tail").toArrow()
-        shared = spark.sparkContext.broadcast(Open(own.column(0).to_numpy().astype(np.int64), own.column(1).to_numpy().astype(np.int64), base))
-        kind = "gram bigint, n bigint" if d <= _PACKED else "d int, ctx bigint, parent bigint, tail bigint, n bigint"
-        found = texts.mapInArrow(tidy(_extend(shared, base, d, steps, part if many > 1 else None, parts if many > 1 else None)), kind)
-        out = found if out is None else out.union(found)
-    if d > _PACKED:
-        return _added_up(out, "d", "ctx", "parent", "tail")
-    # The longest say what the shorter ones count.
-    own, every = _added_up(out, "gram"), None
-    if steps > 1:
-        own = materialise(own, "grams")
+def _send_above(tasks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                columns = [c.to_numpy() for c in batch.columns]
+                yield _sent(_ABOVE, columns[0], columns, tasks)
+
+    return run
+
+
+_LEVELS = "d int, ctx bigint, parent bigint, tail bigint, n bigint, total bigint, fails int, varied boolean, first boolean"
+
+
+def _lengths(grams: np.ndarray, n: np.ndarray, base: int, d: int, steps: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ctx, parent, tail, n) for each length from ``d`` on: the longest grams say what the shorter ones count."""
     for level in range(d, d + steps):
-        ctx, low = f"shiftrightunsigned(gram, 8) & {(1 << 8 * level) - 1}L", (1 << 8 * (level - 1)) - 1
-        rows = own if level == d + steps - 1 else own.groupBy(F.expr(f"gram & {(1 << 8 * (level + 1)) - 1}L").alias("gram")).agg(F.sum("n").alias("n"))
-        rows = rows.selectExpr(f"{level} as d", f"({ctx}) | {1 << 8 * level}L as ctx", f"({ctx} & {low}L) | {low + 1}L as parent", f"gram & {(1 << 8 * (base + 1)) - 1}L as tail", "n")
-        every = rows if every is None else every.unionByName(rows)
-    return every
+        own = grams & np.uint64((1 << 8 * (level + 1)) - 1)
+        order = np.argsort(own)
+        own = own[order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        each, own = np.add.reduceat(n[order], first), own[first]
+        yield packed(own, level), packed(own, level - 1), (own & np.uint64((1 << 8 * (base + 1)) - 1)).view(np.int64), each
 
 
-_TESTED = "ctx bigint, d int, parent bigint, tail bigint, total bigint, fails int, varied boolean"
+def _split(n: np.ndarray, ctx: np.ndarray, parent: np.ndarray, tail: np.ndarray, steps: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ctx, parent, tail, n) of each length, which the highest byte of ``tail`` says."""
+    level, tail = tail >> 56, tail & ((1 << 56) - 1)
+    for k in range(steps):
+        at = np.flatnonzero(level == k)
+        yield ctx[at], parent[at], tail[at], n[at]
 
 
-def _test_levels(d: int, steps: int, half: float, lookahead: int):
-    """As ``tested``, length after length, for the rows of one task: those above have the length 0."""
+def _test_levels(base: int, d: int, steps: int, half: float, lookahead: int):
+    """Add up what ``_extend`` counted and test it as ``tested`` does, length after length: rows of the contexts that
+    passed, or failed after at most ``lookahead`` lengths in a row. All rows of an open context are in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
-        if not held:
+        sums, above = _Sums(), []
+        for batch in batches:
+            for kind, rows in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = _unpacked_rows(rows.as_py(), 2 if kind == _COUNTS and d <= _PACKED else 4)
+                if kind == _ABOVE:
+                    above.append(own)
+                elif d <= _PACKED:
+                    sums.add(own[0].view(np.uint64), own[1])
+                else:
+                    ctx, parent, tail, n = own
+                    key = _entry_keys(ctx, tail & 255).view(np.uint64)
+                    order = np.argsort(key)
+                    sums.add(key[order], n[order], ctx[order], parent[order], tail[order])
+        counts = sums.take()
+        if counts is None or not above:
             return
-        length, ctx, parent, tail, n, total, fails = (np.concatenate(c) for c in zip(*held, strict=True))
-        del held
-        above = np.flatnonzero(length == 0)
-        before = (ctx[above], tail[above] & 255, n[above], total[above], fails[above])
-        for level in range(d, d + steps):
+        if d <= _PACKED:
+            levels = _lengths(counts[0], counts[1], base, d, steps)
+        else:
+            levels = _split(*counts[1:], steps)
+        ctx, sym, n, total = (np.concatenate(c) for c in zip(*above, strict=True))
+        before = (ctx, sym & 255, n, total, (sym >> 8).astype(np.int32))
+        for length, (ctx, parent, tail, n) in enumerate(levels, d):
             table = Table(_entry_keys(before[0], before[1]), np.arange(len(before[0])))
-            at = np.flatnonzero(length == level)
-            slot = table.find(_entry_keys(parent[at], tail[at] & 255))
-            at, up = at[slot >= 0], table.values[slot[slot >= 0]]
-            order = np.argsort(ctx[at], kind="stable")
-            at, up = at[order], up[order]
+            slot = table.find(_entry_keys(parent, tail & 255))
+            at = np.flatnonzero(slot >= 0)
+            at = at[np.argsort(ctx[at], kind="stable")]
             if not len(at):
                 return
-            first = np.flatnonzero(np.concatenate([[True], np.diff(ctx[at]) != 0]))
-            each, k = n[at].astype(float), np.diff(first, append=len(at))
-            sums = np.add.reduceat(n[at], first)
-            gain = np.add.reduceat(each * np.log(each / before[2][up]), first) + sums * np.log(before[3][up[first]] / sums)
+            up = table.values[slot[at]]
+            ctx, parent, tail, n = ctx[at], parent[at], tail[at], n[at]
+            first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+            each, k = n.astype(float), np.diff(first, append=len(at))
+            total = np.add.reduceat(n, first)
+            gain = np.add.reduceat(each * np.log(each / before[2][up]), first) + total * np.log(before[3][up[first]] / total)
             failed = np.where(gain >= half * k, 0, before[4][up[first]] + 1).astype(np.int32)
-            varied = sums * np.log(sums) - np.add.reduceat(each * np.log(each), first) >= half
-            one = at[first]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ctx[one]), pa.array(np.full(len(one), level, dtype=np.int32)), pa.array(parent[one]), pa.array(np.maximum.reduceat(tail[at], first)), pa.array(sums), pa.array(failed), pa.array(varied)],
-                names=["ctx", "d", "parent", "tail", "total", "fails", "varied"],
-            )
-            keep = np.repeat(varied & (failed <= lookahead), k)
-            rows = at[keep]
-            before = (ctx[rows], tail[rows] & 255, n[rows], np.repeat(sums, k)[keep], np.repeat(failed, k)[keep])
+            varied = total * np.log(total) - np.add.reduceat(each * np.log(each), first) >= half
+            lead = np.zeros(len(at), dtype=bool)
+            lead[first] = True
+            own = np.flatnonzero(np.repeat(failed <= lookahead, k))
+            total, failed, varied = np.repeat(total, k)[own], np.repeat(failed, k)[own], np.repeat(varied, k)[own]
+            columns = [np.full(len(own), length, dtype=np.int32), ctx[own], parent[own], tail[own], n[own], total, failed, varied, lead[own]]
+            for i in range(0, len(own), _ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + _ROWS]) for c in columns], names=["d", "ctx", "parent", "tail", "n", "total", "fails", "varied", "first"])
+            own = own[varied]
+            before = (ctx[own], tail[own] & 255, n[own], total[varied], failed[varied])
 
     return run
 
 
+def _longer(texts: DataFrame, above: DataFrame, open_: DataFrame, many_open: int, base: int, d: int, steps: int, half: float, table_bytes: int, lookahead: int, local_rows: int) -> DataFrame:
+    """Tested rows, with what ``_LEVELS`` names, of the contexts of ``steps`` lengths from ``d`` on with a suffix in
+    ``open_(ctx, tail)``; ``above(ctx, sym, n, total, fails)`` has the distributions of those."""
+    spark = texts.sparkSession
+    parts = parts_of(_tail_sizes(open_), table_bytes / _SLOT) if many_open * _SLOT > table_bytes else np.zeros(1, dtype=np.int32)
+    many = int(parts.max(initial=-1)) + 1
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * texts.rdd.getNumPartitions())
+    sent = above.selectExpr("ctx", "cast(sym + 256 * fails as bigint) as sym", "n", "total").mapInArrow(_send_above(tasks), _SENT)
+    for part in range(many):
+        own = (open_ if many == 1 else _of_part(open_, parts, part)).select("ctx", "tail").toArrow()
+        shared = spark.sparkContext.broadcast(Open(own.column(0).to_numpy().astype(np.int64), own.column(1).to_numpy().astype(np.int64), base))
+        counted = _extend(shared, base, d, steps, part if many > 1 else None, parts if many > 1 else None, tasks, local_rows)
+        sent = sent.union(texts.mapInArrow(tidy(counted), _SENT))
+    return sent.repartitionById(tasks, F.col("task")).mapInArrow(tidy(_test_levels(base, d, steps, half, lookahead)), _LEVELS)
+
+
 def _shorter(own: DataFrame) -> DataFrame:
     """(d, ctx): packed contexts ``own(d, ctx)`` with all their suffixes."""
     every = own.select("ctx", F.explode(F.expr("sequence(0, d)")).alias("d"))
@@ -412,45 +500,46 @@ def grown(docs: DataFrame, depth: int | None = None, lookahead: int = LOOKAHEAD,
     for _ in range(lookahead if base > 1 else 0):
         suffix = low.selectExpr("ctx as up", "parent as next", "fails as more")
         last = last.join(suffix, "up", "left").selectExpr("ctx", "tail", "total", "next as up", "if(done, fails, fails + coalesce(more, 0)) as fails", "done or coalesce(more, 0) = 0 as done")
-    levels: list[tuple[DataFrame, DataFrame]] = []
+    levels: list[tuple[int, DataFrame]] = []
     texts = _texts(docs)
     open_ = last.where(f"fails <= {lookahead}").select("ctx", "tail", "total", "fails")
     open_ = materialise(open_, "open") if lookahead else open_
-    rows, d, ahead = dist.where(f"d = {base}"), base, base
+    above, d = dist.where(f"d = {base}").join(open_.select("ctx", "total", "fails"), "ctx"), base
     while base and (depth is None or d < depth):
         many_open, held = open_.agg(F.count("*"), F.sum("total")).first()
         if not many_open:
             break
-        above = rows.join(open_.select("ctx", "total", "fails"), "ctx").selectExpr("ctx", f"{_SYM} as sym", "n", "total", "fails")
         d += 1
-        if d > ahead:
-            steps = next(n for share, n in _STEPS if held <= share * total or share == 1)
-            steps = _PACKED - d + 1 if d <= _PACKED else steps
-            steps = steps if depth is None else min(steps, depth - d + 1)
-            batch, ahead, together = materialise(_longer(texts, open_, many_open, base, d, steps, table_bytes), "levels"), d + steps - 1, None
-            if steps > 1 and many_open <= local_rows and batch.count() <= local_rows:
-                up = above.selectExpr("0 as d", "ctx", "0L as parent", "cast(sym as bigint) as tail", "n", "total", "fails")
-                every = batch.selectExpr("d", "ctx", "parent", "tail", "n", "0L as total", "0 as fails").unionByName(up)
-                together = materialise(every.coalesce(1).mapInArrow(tidy(_test_levels(d, steps, half, lookahead)), _TESTED), "tested")
-        rows = batch.where(f"d = {d}")
-        found = together.where(f"d = {d}") if together is not None else materialise(tested(rows, above, half), "tested")
-        levels.append((rows, found))
-        open_ = found.where(f"varied and fails <= {lookahead}").select("ctx", "tail", "total", "fails")
-    # Suffixes of states are states: from the longest down.
-    parents, entries = None, None
-    for rows, found in reversed(levels):
-        own = found.where("fails = 0").select("ctx", "parent")
-        if parents is not None and lookahead:
-            own = materialise(own.union(found.select("ctx", "parent").join(parents, "ctx", "left_semi")).distinct(), "states")
-        part = rows.join(own.select("ctx"), "ctx", "left_semi").select("d", "ctx", "parent", "tail", "n")
-        entries = part if entries is None else entries.unionByName(part)
-        parents = own.select(F.col("parent").alias("ctx")).distinct()
-    if parents is not None:
-        ends = ends.union(parents.select(F.lit(base).alias("d"), "ctx"))
-    part = dist.join(_shorter(ends), ["d", "ctx"], "left_semi").select("d", "ctx", "parent", "tail", "n")
-    entries = part if entries is None else entries.unionByName(part)
-    entries = entries.join(entries.groupBy("ctx").agg(F.sum("n").alias("total")), "ctx")
-    return base, materialise(entries, "entries")
+        steps = _PACKED - d + 1 if d <= _PACKED else next(n for share, n in _STEPS if held <= share * total or share == 1)
+        steps = steps if depth is None else min(steps, depth - d + 1)
+        own = above.selectExpr("ctx", f"{_SYM} as sym", "n", "total", "fails")
+        found = materialise(_longer(texts, own, open_, many_open, base, d, steps, half, table_bytes, lookahead, local_rows), "levels")
+        levels += [(length, found) for length in range(d, d + steps)]
+        d += steps - 1
+        above = found.where(f"d = {d} and varied")
+        open_ = above.where("first").select("ctx", "tail", "total", "fails")
+    entry = ["d", "ctx", "parent", "tail", "n", "total"]
+    entries = None
+    if lookahead:
+        # Suffixes of states are states: from the longest down.
+        parents = None
+        for length, found in reversed(levels):
+            rows = found.where(f"d = {length}")
+            own = rows.where("fails = 0 and first").select("ctx", "parent")
+            if parents is not None:
+                own = materialise(own.union(rows.where("first").select("ctx", "parent").join(parents, "ctx", "left_semi")).distinct(), "states")
+            part = rows.join(own.select("ctx"), "ctx", "left_semi").select(entry)
+            entries = part if entries is None else entries.unionByName(part)
+            parents = own.select(F.col("parent").alias("ctx")).distinct()
+        if parents is not None:
+            ends = ends.union(parents.select(F.lit(base).alias("d"), "ctx"))
+    else:
+        # Only states were extended, and every found row is one's.
+        for length, found in levels:
+            if not any(found is f for k, f in levels if k < length):
+                entries = found.select(entry) if entries is None else entries.unionByName(found.select(entry))
+    part = dist.join(_shorter(ends), ["d", "ctx"], "left_semi").join(sums, "ctx").select(entry)
+    return base, materialise(part if entries is None else entries.unionByName(part), "entries")
 
 
 def _entry_keys(ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
@@ -568,7 +657,8 @@ def suffix_tree_scores(docs: DataFrame, depth: int | None = None, smoothing: flo
     bytes, score 0 and a null bits_per_byte. Repeated rows are counted and scored as often as they occur; doc_id may be
     null. An empty table gives no rows; other columns aren't read. Open contexts and the tree are broadcast if their
     hash tables take at most ``table_bytes``. Else they are cut by the last two bytes of a context into parts of about
-    that size, with a pass over the texts for each; the results are equal but for the order of a sum.
+    that size, with a pass over the texts for each; the results are equal but for the order of a sum. So they are for any
+    ``local_rows``, the counted rows that a task adds up before they leave it.
     """
     if depth is not None and depth < 0:
         raise ValueError("depth must be at least 0")
