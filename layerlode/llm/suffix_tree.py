@@ -25,7 +25,7 @@ _TAILS = 1 << 16  # pairs of symbols
 _FILTER_BITS = 22
 #: Contexts of up to so many symbols are named by them, packed in 64 bits with the next one; longer ones by a hash.
 _PACKED = 7
-_RUN, _ROWS, _COLLECTED = 1 << 19, 1 << 16, 1 << 18
+_RUN, _ROWS, _COLLECTED = 1 << 20, 1 << 16, 1 << 18
 #: Bytes of a split that a task should have; slices of the keys that it adds up one after the other.
 _SPLIT, _SLICES = 64 << 20, 8
 #: Bytes of a slot, and slots for an entry at most.
@@ -79,7 +79,7 @@ def packed(grams: np.ndarray, d: int) -> np.ndarray:
 
 
 def _cut(column: pa.Array) -> Iterator[tuple[Positions, int, int]]:
-    """Positions of runs of about half a MB of texts, with the rows that they cover."""
+    """Positions of runs of about a MB of texts, with the rows that they cover."""
     column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
     joined = pc.binary_join_element_wise(pa.scalar(_PAD, pa.large_binary()), column, pa.scalar(b"", pa.large_binary()))
     _, offsets, data = joined.buffers()
@@ -117,7 +117,7 @@ class _Sums:
         for i, held in enumerate(self.held):
             if len(held) > 1:
                 key, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-                order = np.argsort(key, kind="stable")
+                order = np.argsort(key)
                 key = key[order]
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 one = order[first]
@@ -154,7 +154,8 @@ _COUNTS, _ABOVE = 0, 1
 def _sent(kind: int, root: np.ndarray, columns: list[np.ndarray], tasks: int) -> pa.RecordBatch:
     """Rows for the tasks that their open contexts ``root`` go to, one package for each, in the order of the first column."""
     task = ((root.view(np.uint64) * _K[0] >> np.uint64(33)) % np.uint64(tasks)).astype(np.int32)
-    order = np.lexsort((columns[0].view(np.uint64), task))
+    order = np.argsort(columns[0].view(np.uint64))
+    order = order[np.argsort(task[order].astype(np.uint16) if tasks <= 1 << 16 else task[order], kind="stable")]
     columns = [c[order] for c in columns]
     to, first = np.unique(task[order], return_index=True)
     ends = [*first[1:].tolist(), len(order)]
@@ -554,17 +555,25 @@ class Scorer:
     def __init__(self, levels: Iterator[tuple[np.ndarray, ...]], base: int, smoothing: float):
         """``levels``: contexts, suffixes, next symbols, their counts and all counts of the contexts, from length 0 on."""
         self.base, self.deepest = base, -1
-        keys, logs, before = [], [], None
+        keys, logs, longer, before = [], [], [], None
         for ctx, parent, sym, n, total in levels:
             own = _entry_keys(ctx, sym)
             # Suffixes of states are states and have seen all that their extensions have, so every key is there.
-            above = 1 / 256 if before is None else before.values[before.find(_entry_keys(parent, sym))]
+            if before is not None:
+                longer.append(_entry_keys(parent, sym))
+            above = 1 / 256 if before is None else before.values[before.find(longer[-1])]
             prob = (n + smoothing * above) / (total + smoothing)
             keys.append(own)
             logs.append(np.log2(prob))
             before = Table(own, prob)
             self.deepest += 1
+        del before
         self.entries = Table(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), np.concatenate(logs) if logs else np.zeros(0))
+        # Entries that a longer one extends: beyond others no search is needed.
+        self.more = np.zeros(len(self.entries.keys), dtype=bool)
+        for own in longer:
+            for i in range(0, len(own), _COLLECTED):
+                self.more[self.entries.find(own[i : i + _COLLECTED])] = True
 
     def log2(self, own: Positions, which: np.ndarray) -> np.ndarray:
         """log2 of the probability of each byte at ``which`` in the longest state that its context ends with."""
@@ -584,8 +593,8 @@ class Scorer:
             hit = at >= 0
             if d == start:
                 below = todo[~hit]
-            todo = todo[hit]
-            found[todo] = at[hit]
+            found[todo[hit]] = at[hit]
+            todo = todo[hit][self.more[at[hit]]]
         for d in range(start - 1, -1, -1):
             found[below] = self.entries.find(_entry_keys(packed(grams[below], d), sym[below]))
             below = below[found[below] < 0]
@@ -599,8 +608,9 @@ class Scorer:
             for d in range(self.base + 1, self.deepest + 1):
                 todo = todo[own.room(which[todo], d)]
                 at = self.entries.find(_entry_keys(own.names(d, which[todo]), own.bytes[which[todo]]))
-                todo = todo[at >= 0]
-                slots[todo] = at[at >= 0]
+                todo, at = todo[at >= 0], at[at >= 0]
+                slots[todo] = at
+                todo = todo[self.more[at]]
                 if not len(todo):
                     break
         return np.where(slots >= 0, self.entries.values[slots], -8.0)
