@@ -26,6 +26,8 @@ _FILTER_BITS = 22
 #: Contexts of up to so many symbols are named by them, packed in 64 bits with the next one; longer ones by a hash.
 _PACKED = 7
 _RUN, _ROWS, _COLLECTED = 1 << 20, 1 << 16, 1 << 18
+#: Bytes of the runs that are scored; a scorer remembers 2 to so many bytes with their base contexts.
+_SCORED, _KNOWN_BITS, _LONGER = 1 << 18, 20, np.uint64(1 << 63)
 #: Bytes of a split that a task should have; slices of the keys that it adds up one after the other.
 _SPLIT, _SLICES = 64 << 20, 8
 #: Bytes of a slot, and slots for an entry at most.
@@ -78,14 +80,14 @@ def packed(grams: np.ndarray, d: int) -> np.ndarray:
     return ((grams >> np.uint64(8) & (bit - np.uint64(1))) | bit).view(np.int64)
 
 
-def _cut(column: pa.Array) -> Iterator[tuple[Positions, int, int]]:
-    """Positions of runs of about a MB of texts, with the rows that they cover."""
+def _cut(column: pa.Array, most: int = _RUN) -> Iterator[tuple[Positions, int, int]]:
+    """Positions of runs of texts of about ``most`` bytes, with the rows that they cover."""
     column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
     joined = pc.binary_join_element_wise(pa.scalar(_PAD, pa.large_binary()), column, pa.scalar(b"", pa.large_binary()))
     _, offsets, data = joined.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
-    for first, last in runs(offsets, _RUN):
+    for first, last in runs(offsets, most):
         yield Positions(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]), first, last
 
 
@@ -554,7 +556,7 @@ class Scorer:
 
     def __init__(self, levels: Iterator[tuple[np.ndarray, ...]], base: int, smoothing: float):
         """``levels``: contexts, suffixes, next symbols, their counts and all counts of the contexts, from length 0 on."""
-        self.base, self.deepest = base, -1
+        self.base, self.deepest, self.known = base, -1, None
         keys, logs, longer, before = [], [], [], None
         for ctx, parent, sym, n, total in levels:
             own = _entry_keys(ctx, sym)
@@ -575,16 +577,10 @@ class Scorer:
             for i in range(0, len(own), _COLLECTED):
                 self.more[self.entries.find(own[i : i + _COLLECTED])] = True
 
-    def log2(self, own: Positions, which: np.ndarray) -> np.ndarray:
-        """log2 of the probability of each byte at ``which`` in the longest state that its context ends with."""
-        if self.deepest < 0 or not len(which):
-            return np.full(len(which), -8.0)
-        # Each byte with its base context once; suffixes of states are states, so a length that is none ends the search.
-        grams = own.grams[which] & np.uint64((1 << 8 * (self.base + 1)) - 1)
-        order = np.argsort(grams)
-        grams = grams[order]
-        new = np.concatenate([[True], grams[1:] != grams[:-1]])
-        grams = grams[new]
+    def _in_base(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of different bytes with their base contexts: log2 of the probability in the longest state of up to ``base``
+        symbols, and whether a longer one may have seen the byte."""
+        # Suffixes of states are states, so a length that is none ends the search.
         sym, found = grams & np.uint64(255), np.full(len(grams), -1, dtype=np.int64)
         start = min(3, self.deepest, self.base)
         todo, below = np.arange(len(grams)), np.zeros(0, dtype=np.int64)
@@ -598,29 +594,53 @@ class Scorer:
         for d in range(start - 1, -1, -1):
             found[below] = self.entries.find(_entry_keys(packed(grams[below], d), sym[below]))
             below = below[found[below] < 0]
-        group = np.cumsum(new) - 1
-        slots = np.empty(len(which), dtype=np.int64)
-        slots[order] = found[group]
-        if self.deepest > self.base:
-            long = np.zeros(len(grams), dtype=bool)
-            long[todo] = True
-            todo = order[long[group]]
-            for d in range(self.base + 1, self.deepest + 1):
-                todo = todo[own.room(which[todo], d)]
-                at = self.entries.find(_entry_keys(own.names(d, which[todo]), own.bytes[which[todo]]))
-                todo, at = todo[at >= 0], at[at >= 0]
-                slots[todo] = at
-                todo = todo[self.more[at]]
-                if not len(todo):
-                    break
-        return np.where(slots >= 0, self.entries.values[slots], -8.0)
+        longer = np.zeros(len(grams), dtype=bool)
+        longer[todo] = self.deepest > self.base
+        return np.where(found >= 0, self.entries.values[found], -8.0), longer
+
+    def log2(self, own: Positions, which: np.ndarray) -> np.ndarray:
+        """log2 of the probability of each byte at ``which`` in the longest state that its context ends with."""
+        if self.deepest < 0 or not len(which):
+            return np.full(len(which), -8.0)
+        if self.known is None:
+            # Made where texts are scored, so it isn't sent. Pairs of 8 bytes, moved as one number: a gram, above it whether it
+            # needs a longer search, and the bits of its log2. Gram 0 has slot 0: another gram there says that it is empty.
+            self.known = np.zeros(1 << _KNOWN_BITS, dtype=np.complex128)
+            self.known.view(np.uint64)[0] = 1
+        grams = own.grams[which]
+        grams &= np.uint64((1 << 8 * (self.base + 1)) - 1)
+        slots = (grams * _K[0] >> np.uint64(64 - _KNOWN_BITS)).view(np.int64)
+        pairs = self.known[slots]
+        new = np.flatnonzero(pairs.view(np.uint64)[::2] & ~_LONGER != grams)
+        if len(new):
+            each, one, group = np.unique(grams[new], return_index=True, return_inverse=True)
+            log, longer = self._in_base(each)
+            found = np.stack([np.where(longer, each | _LONGER, each), log.view(np.uint64)], axis=1).view(np.complex128)[:, 0]
+            pairs[new] = found[group]
+            self.known[slots[new[one]]] = found
+        out, more = pairs.view(np.float64)[1::2].copy(), pairs.view(np.uint64)[::2] >= _LONGER
+        todo = np.flatnonzero(more)
+        at = which[todo]
+        for d in range(self.base + 1, self.deepest + 1):
+            if not len(todo):
+                break
+            if d > _PACKED:
+                room = own.room(at, d)
+                todo, at = todo[room], at[room]
+            slots = self.entries.find(_entry_keys(own.names(d, at), own.bytes[at]))
+            hit = np.flatnonzero(slots >= 0)
+            slots, todo = slots[hit], todo[hit]
+            out[todo] = self.entries.values[slots]
+            more = self.more[slots]
+            todo, at = todo[more], at[hit[more]]
+        return out
 
 
 def _score(shared, base: int, part: int | None, parts: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, sums = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
-            for own, first, last in _cut(batch.column(1)):
+            for own, first, last in _cut(batch.column(1), _SCORED):
                 which = own.texts()
                 if part is not None:
                     which = which[np.maximum(parts[_pairs(own.grams[which])], 0) == part]

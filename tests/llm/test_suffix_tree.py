@@ -2,8 +2,11 @@ import random
 from collections import Counter, defaultdict
 from math import log, log2
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from layerlode.llm import suffix_tree
 from layerlode.llm.suffix_tree import BASE, LOOKAHEAD, SMOOTHING, suffix_tree_scores
 
 from tests.llm.conftest import prose
@@ -146,3 +149,28 @@ def test_depth_is_a_bound_only_where_given(spark):
         assert all(r["log2_prob"] < 0 for r in suffix_tree_scores(df, depth=depth).collect())
     with pytest.raises(ValueError):
         suffix_tree_scores(df, depth=-1)
+
+
+def test_base_contexts_are_looked_up_once_and_forgetting_changes_nothing(spark, monkeypatch):
+    r = random.Random(8)
+    rule = {f"{k:07b}": r.choice("01") for k in range(128)}
+    texts = ["\0" * 40, "\0\0ab" * 20, "é", "", None]
+    for i in range(20):  # the next digit hangs on the seven before it
+        text = "".join(r.choices("01", k=7))
+        while len(text) < 800:
+            text += rule[text[-7:]] if r.random() < 0.9 else r.choice("01")
+        texts += [text, prose(i, 60, 12)]
+    base, entries = suffix_tree.grown(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+
+    def logs(scorer):
+        return np.concatenate([scorer.log2(own, own.texts()) for own, *_ in suffix_tree._cut(pa.array(texts), 500)])
+
+    scorer = suffix_tree._scorer(entries, base, SMOOTHING)
+    assert scorer.deepest > base
+    first, asked = logs(scorer), []
+    in_base = suffix_tree.Scorer._in_base
+    monkeypatch.setattr(suffix_tree.Scorer, "_in_base", lambda self, grams: asked.append(len(grams)) or in_base(self, grams))
+    assert np.array_equal(logs(scorer), first) and sum(asked) < len(first) / 100
+    monkeypatch.setattr(suffix_tree, "_KNOWN_BITS", 2)
+    asked.clear()
+    assert np.array_equal(logs(suffix_tree._scorer(entries, base, SMOOTHING)), first) and sum(asked) > len(first) / 100
