@@ -644,9 +644,11 @@ def _score(shared, base: int, part: int | None, parts: np.ndarray | None):
                 which = own.texts()
                 if part is not None:
                     which = which[np.maximum(parts[_pairs(own.grams[which])], 0) == part]
-                total = np.concatenate([[0.0], np.cumsum(shared.value.log2(own, which))])
-                ends = total[np.searchsorted(which, own.starts - 7)]
-                sums[first:last] = np.diff(ends)
+                ends = np.searchsorted(which, own.starts - 7)
+                held = np.flatnonzero(np.diff(ends))
+                if len(held):
+                    # Each text by itself: equal texts have equal sums, whatever comes before them.
+                    sums[first + held] = np.add.reduceat(shared.value.log2(own, which), ends[held])
                 sizes[first:last] = np.diff(own.starts) - len(_PAD)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums)], names=["id", "n_bytes", "log2_prob"])
 

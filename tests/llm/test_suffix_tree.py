@@ -174,3 +174,11 @@ def test_base_contexts_are_looked_up_once_and_forgetting_changes_nothing(spark,
     monkeypatch.setattr(suffix_tree, "_KNOWN_BITS", 2)
     asked.clear()
     assert np.array_equal(logs(suffix_tree._scorer(entries, base, SMOOTHING)), first) and sum(asked) > len(first) / 100
+
+
+def test_equal_texts_have_equal_scores_wherever_they_are(spark):
+    texts = [prose(1, 50)] + [prose(i, 20 + i) for i in range(40)]
+    mixed = [t for text in texts[1:] for t in (text, texts[0], "")]
+    rows = suffix_tree_scores(spark.createDataFrame(list(enumerate(mixed)), "doc_id bigint, text string").coalesce(1)).collect()
+    assert len({r["log2_prob"] for r in rows if r["doc_id"] % 3 == 1}) == 1
+    assert {r["log2_prob"] for r in rows if r["doc_id"] % 3 == 2} == {0.0}
