@@ -42,6 +42,13 @@ def cluster_tree(assignments: DataFrame) -> DataFrame:
     return parents.select(F.coalesce("p.l", "top").alias("parent_layer"), F.coalesce("p.c", F.lit(0)).alias("parent_cluster"), "child_layer", "child_cluster")
 
 
+def places(assignments: DataFrame) -> DataFrame:
+    """(object_id, places, kind), written: all (layer, cluster) of each clustered object as one array, and a number for it;
+    layers that nest have few."""
+    own = assignments.where("cluster >= 0").groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("layer", "cluster"))).alias("places"))
+    return written(own.withColumn("kind", F.xxhash64("places")), "places")
+
+
 def next_min_cluster_size(assignments: DataFrame, quantile: float = 0.8) -> DataFrame:
     """(layer, next_size): the quantile of the layer's cluster sizes, cut to an integer."""
     sizes = assignments.where("cluster >= 0").groupBy("layer", "cluster").count()

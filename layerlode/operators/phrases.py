@@ -11,6 +11,7 @@ from layerlode.functions.vectors import mean_vectors
 from layerlode.operators.ranking import bm25, central_terms, class_counts, information_scores, top_terms
 from layerlode.operators.selection import collapse_longest, diversify_at_least, similarities, submodular
 from layerlode.schemas import NO_KEYPHRASES
+from layerlode.sources.store import written
 
 METHODS = ("information_weighted", "central", "bm25", "saturated_coverage", "facility_location", "graph_cut")
 _ROWS = "layer int, cluster int, rank int, term string"
@@ -46,7 +47,7 @@ def _cover(n: int, function: str):
 
 def candidates(counts: DataFrame, assignments: DataFrame, terms: DataFrame, vectors: DataFrame, n: int = 16, method: str = "information_weighted") -> DataFrame:
     """(layer, cluster, rank, term_id, term, score) before any selection, cut to what the selection looks at."""
-    classes = class_counts(counts, assignments)
+    classes = written(class_counts(counts, assignments), "class_counts")
     if method == "central":
         return central_terms(classes, vectors, terms, n).withColumn("score", 1 - F.col("distance")).drop("distance")
     if method == "bm25":

@@ -109,17 +109,17 @@ def vocabulary(f: Fixture) -> DataFrame:
 
 @registered(query("select term, count(*) as occurrences from d4_grams group by term qualify rank() over (order by count(*) desc) <= 1000", "d4_grams"))
 def vocabulary_with_ties(f: Fixture) -> DataFrame:
-    return keyphrases.tie_keeping_top(store.written(keyphrases.grams_of(f.tokens).groupBy("term").agg(F.count("*").alias("occurrences")), "terms"), 1000)
+    return keyphrases.tie_keeping_top_of(f.tokens, 1000)
 
 
 @registered(query("select object_id, term_id, n from d4_counts", "d4_counts"))
 def term_counts_coo(f: Fixture) -> DataFrame:
-    return keyphrases.term_counts(keyphrases.grams_of(f.tokens), f.terms)
+    return f.counts
 
 
 @registered(query("select layer, cluster, object_id, term_id, n from d4_counts join assignments using (object_id) where cluster >= 0", "d4_counts", "assignments"))
 def term_counts_trimmed(f: Fixture) -> DataFrame:
-    return keyphrases.trimmed_counts(f.counts, f.assignments)
+    return keyphrases.trimmed_counts(f.cells, f.assignments)
 
 
 @registered()
@@ -250,7 +250,7 @@ def pairwise_cosine(f: Fixture) -> DataFrame:
     ),
 )
 def term_vectors(f: Fixture) -> DataFrame:
-    own = ranking.term_vectors(f.counts, f.vectors)
+    own = ranking.term_vectors(f.cells, f.vectors)
     return own.select("term_id", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
@@ -321,12 +321,12 @@ select layer, cluster, cast(rank as int) as rank, term_id, term, distance from (
     ).replace("\n, vecs", ", vecs"),
 )
 def central_keyphrase_order(f: Fixture) -> DataFrame:
-    return ranking.central_terms(f.classes, ranking.term_vectors(f.counts, f.vectors), f.terms, 8)
+    return ranking.central_terms(f.classes, ranking.term_vectors(f.cells, f.vectors), f.terms, 8)
 
 
 def _keyphrases(method: str) -> Callable[[Fixture], DataFrame]:
     def run(f: Fixture) -> DataFrame:
-        return phrases.keyphrases(f.counts, f.assignments, f.terms, ranking.term_vectors(f.counts, f.vectors), 8, method)
+        return phrases.keyphrases(f.cells, f.assignments, f.terms, ranking.term_vectors(f.cells, f.vectors), 8, method)
 
     run.__name__ = f"keyphrases_{method}"
     return run

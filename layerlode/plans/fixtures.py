@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from layerlode.operators import clustering, exemplars, keyphrases, prompts, ranking
+from layerlode.operators import clustering, exemplars, grams, keyphrases, prompts, ranking
 from layerlode.operators.phrases import ordered_lists
 from layerlode.sources import corpus, store
 
@@ -50,15 +50,20 @@ class Fixture:
 
     @cached_property
     def terms(self) -> DataFrame:
-        return store.written(keyphrases.vocabulary(keyphrases.grams_of(self.tokens), min_occurrences=MIN_OCCURRENCES), "vocabulary")
+        return store.written(keyphrases.vocabulary_of(self.tokens, min_occurrences=MIN_OCCURRENCES), "vocabulary")
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """(object_id, term_ids, ns): the counts, packed."""
+        return store.written(keyphrases.packed_counts_of(self.tokens, self.terms), "term_counts")
 
     @cached_property
     def counts(self) -> DataFrame:
-        return store.written(keyphrases.term_counts(keyphrases.grams_of(self.tokens), self.terms), "term_counts")
+        return grams.unpacked(self.cells, "object_id")
 
     @cached_property
     def classes(self) -> DataFrame:
-        return store.written(ranking.class_counts(self.counts, self.assignments), "class_counts")
+        return store.written(ranking.class_counts(self.cells, self.assignments), "class_counts")
 
     @cached_property
     def frequent(self) -> DataFrame:
