@@ -179,7 +179,7 @@ def top_grams(tokens: DataFrame, low: int = 1, high: int = 4, stop: Collection[s
         least = max(1, -(-reached // runs)) if least is None else 1
         sent = None
     upper = F.col("n") - F.col("t") + unseen
-    some = sums.where("hash is not null").where(upper >= reached).select("hash").limit(candidates + 1).toPandas()["hash"].to_numpy("int64")
+    some = sums.where("hash is not null").where(upper >= reached).select("hash").limit(candidates + 1).toArrow().column("hash").to_numpy()
     if len(some) > candidates:
         return None
     held = spark.sparkContext.broadcast(np.sort(some.view(np.uint64)))

@@ -148,3 +148,51 @@ def test_sizes_fill_gaps_and_relabel_closes_them(spark):
     assert {tuple(r) for r in clustering.relabel(a).collect()} == {(1, 0, 0), (2, 0, 1), (3, 0, -1), (1, 1, 0), (2, 1, 0), (3, 1, 0)}
     assert {r["layer"] for r in clustering.relabel(a, min_clusters=2).collect()} == {0}
     assert clustering.relabel(a.limit(0)).count() == 0 and clustering.cluster_sizes(a.limit(0)).count() == 0
+
+
+def crowded(seed=4, n=150):
+    """Points with copies, ties and a far cluster: ids in no order."""
+    rng = np.random.default_rng(seed)
+    own = np.concatenate([rng.integers(-2, 3, size=(n // 3, 3)).astype(float), rng.normal(size=(n // 3, 3)), rng.normal(size=(n // 3, 3)) * 0.01 + 50])
+    x = own[rng.integers(0, len(own), 3 * n)]
+    return rng.permutation(10 * len(x))[: len(x)], x
+
+
+@pytest.mark.parametrize("k", [1, 3, 9])
+@pytest.mark.parametrize("near", [1, 12])
+def test_rounds_over_blocks_equal_brute_force_with_copies_and_ties(spark, monkeypatch, k, near):
+    monkeypatch.setattr(density, "NEAR", near)
+    monkeypatch.setattr(density, "TILE", 16)
+    monkeypatch.setattr(density, "WIDE", 24)
+    ids, x = crowded()
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "object_id bigint, embedding array<double>")
+    far = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(far, np.inf)
+    core = np.sort(far, axis=1)[:, k - 1]
+    got = {r["object_id"]: r["core_distance"] for r in density.core_distances(df, k, 40).collect()}
+    assert all(abs(got[int(i)] - c) < 1e-5 for i, c in zip(ids, core, strict=True)) and len(got) == len(ids)
+    reach = np.maximum(np.maximum(far, core[:, None]), core[None, :])
+    left, best, want = np.ones(len(ids), dtype=bool), reach[0].copy(), []
+    left[0] = False
+    while left.any():
+        at = int(np.argmin(np.where(left, best, np.inf)))
+        want.append(best[at])
+        left[at], best = False, np.minimum(best, reach[at])
+    tree = density.spanning_tree(df, k, 40).toPandas()
+    place = {int(i): k for k, i in enumerate(ids)}
+    assert (tree["u"] < tree["v"]).all() and np.allclose(sorted(want), tree["w"], atol=1e-5)
+    assert all(abs(reach[place[u], place[v]] - w) < 1e-5 for u, v, w in tree.itertuples(index=False))
+
+
+def test_copies_of_a_point_are_compared_once(spark, monkeypatch):
+    seen = []
+    pairs = density._block_pairs
+    monkeypatch.setattr(density, "_block_pairs", lambda points, *a: seen.append(points.count()) or pairs(points, *a))
+    df = spark.range(400).selectExpr("id as object_id", "array(double(id % 8), 1.0D) as embedding")
+    tree = density.spanning_tree(df, 3, 100).toPandas()
+    assert max(seen) == 8 and len(tree) == 399 and (tree["w"] > 0).sum() == 7
+
+
+def test_tree_of_more_points_than_the_driver_takes(points):
+    with pytest.raises(ValueError, match="more than the driver"):
+        density.spanning_tree(points, 5, 50, driver_edges=100)
