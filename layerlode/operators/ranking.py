@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from layerlode.functions.vectors import cosine_distance, mean_vectors, minus
 from layerlode.operators.clustering import places
 from layerlode.operators.grams import packed, unpacked
+from layerlode.sources.store import written
 
 #: Scores are rounded to so many digits before they rank, so that a sum's order can't change a rank.
 DIGITS = 6
@@ -110,7 +111,7 @@ def _table(lists: pa.Array, rows: int) -> np.ndarray:
 
 
 def term_vectors(counts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(term_id, vector): the mean of the vectors of the objects that hold a term, by its count in them.
+    """(term_id, vector), written: the mean of the vectors of the objects that hold a term, by its count in them.
 
     An object's vector moves once, with all of its cells; tasks send sums for each term, not a vector for each cell.
     """
@@ -153,7 +154,8 @@ def term_vectors(counts: DataFrame, vectors: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array(terms), lists], names=["term_id", "vector"])
 
     parts = own.mapInArrow(sums, f"term_id {kind}, weight double, vector array<double>")
-    return parts.groupBy((F.col("term_id") / TERMS).cast("bigint").alias("_terms")).applyInArrow(means, f"term_id {kind}, vector array<double>")
+    found = parts.groupBy((F.col("term_id") / TERMS).cast("bigint").alias("_terms")).applyInArrow(means, f"term_id {kind}, vector array<double>")
+    return written(found, "term_vectors")
 
 
 def missing_vectors(terms: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -321,12 +321,12 @@ select layer, cluster, cast(rank as int) as rank, term_id, term, distance from (
     ).replace("\n, vecs", ", vecs"),
 )
 def central_keyphrase_order(f: Fixture) -> DataFrame:
-    return ranking.central_terms(f.classes, ranking.term_vectors(f.cells, f.vectors), f.terms, 8)
+    return ranking.central_terms(f.classes, f.term_vectors, f.terms, 8)
 
 
 def _keyphrases(method: str) -> Callable[[Fixture], DataFrame]:
     def run(f: Fixture) -> DataFrame:
-        return phrases.keyphrases(f.cells, f.assignments, f.terms, ranking.term_vectors(f.cells, f.vectors), 8, method)
+        return phrases.keyphrases(f.cells, f.assignments, f.terms, f.term_vectors, 8, method)
 
     run.__name__ = f"keyphrases_{method}"
     return run

@@ -65,6 +65,10 @@ class Fixture:
     def classes(self) -> DataFrame:
         return store.written(ranking.class_counts(self.cells, self.assignments), "class_counts")
 
+    @cached_property
+    def term_vectors(self) -> DataFrame:
+        return ranking.term_vectors(self.cells, self.vectors)
+
     @cached_property
     def frequent(self) -> DataFrame:
         """(layer, cluster, rank, term): the most frequent terms of each cluster, a few for each."""

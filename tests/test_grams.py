@@ -116,12 +116,14 @@ def test_term_vectors_equal_plain_means(spark, kind):
     assert all(np.allclose(got[t], sums[t] / weights[t], atol=1e-12) for t in sums)
 
 
-def test_term_vectors_sum_before_vectors_move(spark):
+def test_term_vectors_sum_before_vectors_move_and_are_made_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(ranking, "written", lambda df, name: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or df)
     counts = spark.createDataFrame(cells_of(spark), "object_id bigint, term_id int, n bigint")
     vectors = spark.range(40).select(F.col("id").alias("object_id"), F.array(F.col("id").cast("double")).alias("embedding"))
-    plan = ranking.term_vectors(counts, vectors)._jdf.queryExecution().sparkPlan().toString()
+    ranking.term_vectors(counts, vectors)
     # An aggregate of vectors by term in the JVM sorts a vector for each cell once a task has more than 128 terms.
-    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    assert len(plans) == 1 and "ObjectHashAggregate" not in plans[0] and "SortAggregate" not in plans[0]
 
 
 def test_sums_of_a_task_by_term(spark):
