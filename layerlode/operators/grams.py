@@ -19,13 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerlode.functions.memory import tidy
 from layerlode.functions.text import STOP_WORDS
 from layerlode.sources.store import written
 
 #: Grams of a sorted run; tokens that are looked at together.
-RUN, SLICE = 1 << 23, 1 << 20
+RUN, SLICE = 1 << 22, 1 << 18
 #: A run sends at most so many counts for each gram that is asked for, in the first pass.
-SENT = 4
+SENT = 2
 #: Candidates that the driver takes and every task holds.
 CANDIDATES = 2_000_000
 
@@ -155,7 +156,7 @@ def _bounded_counts(tokens: DataFrame, low: int, high: int, stop: Collection[str
         if total:
             yield flush()
 
-    sent_rows = tokens.select("tokens").mapInArrow(tops, "hash bigint, n bigint, t bigint")
+    sent_rows = tokens.select("tokens").mapInArrow(tidy(tops), "hash bigint, n bigint, t bigint")
     return written(sent_rows.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "gram_bounds")
 
 
@@ -199,7 +200,7 @@ def top_grams(tokens: DataFrame, low: int = 1, high: int = 4, stop: Collection[s
             own = np.array(sorted(names))
             yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in own.tolist()], pa.string()), pa.array(counts[own])], names=["term", "occurrences"])
 
-    found = tokens.select("tokens").mapInArrow(exact, "term string, occurrences bigint")
+    found = tokens.select("tokens").mapInArrow(tidy(exact), "term string, occurrences bigint")
     return found.groupBy("term").agg(F.sum("occurrences").alias("occurrences")).where(F.col("occurrences") >= min_occurrences)
 
 
@@ -239,7 +240,7 @@ def gram_cells(tokens: DataFrame, terms: DataFrame, low: int = 1, high: int = 4,
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[which], counts.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column("object_id").take(pa.array(rows)), *lists], names=["object_id", "term_ids", "ns"])
 
-    return tokens.select("object_id", "tokens").mapInArrow(cells, f"object_id {kinds['object_id']}, term_ids array<{kinds['term_id']}>, ns array<bigint>")
+    return tokens.select("object_id", "tokens").mapInArrow(tidy(cells), f"object_id {kinds['object_id']}, term_ids array<{kinds['term_id']}>, ns array<bigint>")
 
 
 def packed(counts: DataFrame) -> DataFrame:

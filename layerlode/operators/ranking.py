@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from layerlode.functions.memory import tidy
 from layerlode.functions.vectors import cosine_distance, mean_vectors, minus
 from layerlode.operators.clustering import places
 from layerlode.operators.grams import packed, unpacked
@@ -153,7 +154,7 @@ def term_vectors(counts: DataFrame, vectors: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(terms) + 1, dtype=np.int32) * x.shape[1]), pa.array((np.add.reduceat(x[order], first, axis=0) / weights[:, None]).ravel()))
         return pa.Table.from_arrays([pa.array(terms), lists], names=["term_id", "vector"])
 
-    parts = own.mapInArrow(sums, f"term_id {kind}, weight double, vector array<double>")
+    parts = own.mapInArrow(tidy(sums), f"term_id {kind}, weight double, vector array<double>")
     found = parts.groupBy((F.col("term_id") / TERMS).cast("bigint").alias("_terms")).applyInArrow(means, f"term_id {kind}, vector array<double>")
     return written(found, "term_vectors")
 
