@@ -119,7 +119,9 @@ def term_vectors(counts: DataFrame, vectors: DataFrame) -> DataFrame:
     cells = packed(counts)
     kind = cells.schema["term_ids"].dataType.elementType.simpleString()
     held = vectors.select("object_id", "embedding").where("embedding is not null")
-    own = cells.join(held.hint("shuffle_hash"), "object_id").select("term_ids", "ns", F.col("embedding").cast("array<double>").alias("embedding"))
+    own = cells.join(held.hint("merge"), "object_id").select("term_ids", "ns", F.col("embedding").cast("array<double>").alias("embedding"))
+    # Each task sends up to a row for each term, so there are as many as cores ask for, however large the tables are.
+    own = own.coalesce(2 * cells.sparkSession.sparkContext.defaultParallelism)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, out = None, pa.int64()
